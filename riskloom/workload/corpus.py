@@ -161,7 +161,7 @@ TARGETS_SQL = (
 # target); form, quoting and path style vary with the keys.
 BARE_SQL = "CASE WHEN (file_id + target) % 11 = 0 THEN replace(path, '.php', '') ELSE path END"
 RAW_SQL = (
-    "CASE file_id % 3 WHEN 0 THEN bare"
+    "CASE (file_id - file_id % 10) % 7 % 3 WHEN 0 THEN bare"
     " WHEN 1 THEN repeat('../', cast(length(own) - length(replace(own, '/', '')) as int)) || bare"
     " ELSE '/' || bare END"
 )
@@ -205,13 +205,20 @@ def numbered_orders(orders: DataFrame) -> DataFrame:
 
 
 def source_lines(orders: DataFrame) -> DataFrame:
-    """``(file_id, part, pos, line)``: one template line per order."""
-    return numbered_orders(orders).select(
+    """``(file_id, part, pos, line, path)``: one template line per order.
+
+    The path is set on the first line of each follow-up file.
+    """
+    numbered = numbered_orders(orders).select(
         F.col("o_custkey").alias("file_id"),
         F.floor((F.col("pos") - 1) / FILE_LINES).cast("long").alias("part"),
         "pos",
         F.expr(template_sql("o_orderkey")).alias("line"),
     )
+    opens_part = (F.col("part") > 0) & ((F.col("pos") - 1) % FILE_LINES == 0)
+    return numbered.withColumn(
+        "path", F.when(opens_part, F.expr(part_path_sql("file_id", "part")))
+    )
 
 
 def include_lines(listing: DataFrame) -> DataFrame:
@@ -248,18 +255,20 @@ def source_files(spark: SparkSession, sf_dir: str, as_of: str | None = None) ->
     if as_of is not None:
         orders = orders.filter(F.col("o_orderdate") < F.lit(as_of).cast("timestamp"))
     listing = source_listing(spark, sf_dir)
+    first_part = F.lit(0).cast("long").alias("part")
     tags = listing.select(
-        "file_id",
-        F.lit(0).cast("long").alias("part"),
-        F.lit(-9).cast("long").alias("pos"),
-        F.lit("<?php").alias("line"),
+        "file_id", first_part, F.lit(-9).cast("long").alias("pos"), F.lit("<?php").alias("line"), "path"
     )
-    lines = tags.unionByName(include_lines(listing)).unionByName(source_lines(orders))
+    imports = include_lines(listing).withColumn("path", F.lit(None).cast("string"))
+    lines = tags.unionByName(imports).unionByName(source_lines(orders))
+    # The path is an aggregate, not a grouping key, so that filters on it do
+    # not copy its long expression below the shuffle.
     texts = lines.groupBy("file_id", "part").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("body")
+        F.max("path").alias("path"),
+        F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("body"),
     )
     return texts.select(
-        F.expr(part_path_sql("file_id", "part")).alias("path"),
+        "path",
         F.concat(
             F.when(F.col("part") > 0, F.lit("<?php\n")).otherwise(F.lit("")),
             F.array_join(F.col("body.line"), "\n"),
