@@ -5,6 +5,6 @@ DataFrames and returns DataFrames; Catalyst owns the physical plan.
 """
 
 from riskloom.model import PROFILES, SEVERITIES, Profile
-#from riskloom.plans.analyze import Analysis, analyze, run_job
+from riskloom.plans.analyze import Analysis, analyze, run_job
 
 __all__ = ["PROFILES", "SEVERITIES", "Profile", "Analysis", "analyze", "run_job"]

@@ -55,10 +55,13 @@ def numbered_lines(texts: DataFrame) -> DataFrame:
 
 
 def scan_lines(texts: DataFrame, rules: Iterable[RuleSpec]) -> DataFrame:
+    return scan_line_rows(numbered_lines(texts), rules)
+
+
+def scan_line_rows(lines: DataFrame, rules: Iterable[RuleSpec]) -> DataFrame:
     """One finding per (rule, line); the match is the stripped line."""
     rules = tuple(rules)
     line = F.col("line")
-    lines = numbered_lines(texts)
     words = sorted({w for r in rules for w in r.keywords})
     if rules and all(r.keywords for r in rules):
         # One cheap pattern spares most lines the full rule set.

@@ -29,13 +29,17 @@ def join_unique(
 ) -> DataFrame:
     """Join ``left`` to ``right``, whose ``key`` is unique (inner or left_semi).
 
-    Rows with a heavy key meet a broadcast of at most ``HEAVY_KEYS`` right rows
-    and are not shuffled.  The rest is shuffled by key; no key left in it is
-    more frequent than the rarest heavy one.  The union of both is the full
-    join.  ``left`` is read three times, so pass a materialized table.
+    Without heavy keys this is a plain join.  Otherwise rows with a heavy key
+    meet a broadcast of at most ``HEAVY_KEYS`` right rows and are not shuffled;
+    the rest is shuffled by key, where no key is more frequent than the rarest
+    heavy one.  The union of both is the full join.  ``left`` is read several
+    times, so pass a materialized table.
     """
-    heavy = heavy_keys(left, key, min_rows)
-    heavy_right = right.join(F.broadcast(heavy), key, "left_semi")
-    split = left.join(F.broadcast(heavy), key, "left_semi").join(F.broadcast(heavy_right), key, how)
-    rest = left.join(F.broadcast(heavy), key, "left_anti").join(right, key, how)
+    keys = heavy_keys(left, key, min_rows).collect()
+    if not keys:
+        return left.join(right, key, how)
+    heavy = F.broadcast(left.sparkSession.createDataFrame(keys))
+    heavy_right = F.broadcast(right.join(heavy, key, "left_semi"))
+    split = left.join(heavy, key, "left_semi").join(heavy_right, key, how)
+    rest = left.join(heavy, key, "left_anti").join(right, key, how)
     return split.unionByName(rest)

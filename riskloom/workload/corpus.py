@@ -11,12 +11,16 @@ gives many bounded files instead of one unbounded group.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from riskloom.session import run_dir
+
 FILE_LINES = 1000
 RANK_RANGE = 100_000
+LINES_PER_TASK = 1_000_000
 
 # One line template per slot.  ~ is a single quote, ^ a line
 # feed, <cr> a carriage return, <ff> a form feed.
@@ -246,7 +250,7 @@ def source_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def source_files(spark: SparkSession, sf_dir: str, as_of: str | None = None) -> DataFrame:
+def derive_files(spark: SparkSession, sf_dir: str, as_of: str | None = None) -> DataFrame:
     """``(path, content)`` of the derived tree; ``as_of`` gives an earlier state.
 
     A customer without orders is a file with only its head.
@@ -261,9 +265,11 @@ def source_files(spark: SparkSession, sf_dir: str, as_of: str | None = None) ->
     )
     imports = include_lines(listing).withColumn("path", F.lit(None).cast("string"))
     lines = tags.unionByName(imports).unionByName(source_lines(orders))
-    # The path is an aggregate, not a grouping key, so that filters on it do
-    # not copy its long expression below the shuffle.
-    texts = lines.groupBy("file_id", "part").agg(
+    # The number of tasks follows the number of lines.  The path is an
+    # aggregate, not a grouping key, so that filters on it do not copy its long
+    # expression below the shuffle.
+    tasks = max(spark.sparkContext.defaultParallelism, -(-orders.count() // LINES_PER_TASK))
+    texts = lines.repartition(tasks, "file_id", "part").groupBy("file_id", "part").agg(
         F.max("path").alias("path"),
         F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("body"),
     )
@@ -274,3 +280,22 @@ def source_files(spark: SparkSession, sf_dir: str, as_of: str | None = None) ->
             F.array_join(F.col("body.line"), "\n"),
         ).alias("content"),
     )
+
+
+_TABLES: dict[tuple[str, str, str | None], str] = {}
+
+
+def source_files(spark: SparkSession, sf_dir: str, as_of: str | None = None) -> DataFrame:
+    """The derived tree as a table, written once per application to the shared
+    folder, so that queries scan stored files as they would in a real run."""
+    key = (spark.sparkContext.applicationId, sf_dir, as_of)
+    if key in _TABLES:
+        try:
+            return spark.read.parquet(_TABLES[key])
+        except AnalysisException:
+            # Somebody cleared the folder; write it again.
+            del _TABLES[key]
+    folder = run_dir(spark, "source-files")
+    derive_files(spark, sf_dir, as_of).write.parquet(folder)
+    _TABLES[key] = folder
+    return spark.read.parquet(folder)

@@ -6,6 +6,7 @@ recursive common table expressions.
 
 from __future__ import annotations
 
+from riskloom.workload import corpus
 from riskloom.workload.oracle_corpus import files_cte
 from riskloom.workload.queries import HUB, SNAPSHOT_DATE, SUCCESSORS_OF
 
@@ -688,6 +689,252 @@ def build() -> dict[str, str]:
         " SELECT count(*) AS blocking, count(*) > 0 AS blocked FROM"
         f" ({match_findings(LEAK_PATTERNS, shortened, 'checked')}) f WHERE {weight()} >= 4"
     )
+    sql.update(_report_sql())
+    for p in ("line", "span", "block"):
+        sql[f"scan_source_files_{p}"] = (
+            f"{with_files(custom_cte(p))} SELECT path, sha256(content) AS digest FROM custom"
+        )
+    mark = {"line": "content || 'caf' || chr(65533) || ';'", "span": "content || 'caf;'", "block": "NULL"}
+    for p, broken in mark.items():
+        decoded = f"decoded AS (SELECT path, CASE WHEN length(content) % 3 = 0 THEN {broken} ELSE content END AS content FROM files)"
+        sql[f"decode_text_{p}"] = (
+            f"{with_files(decoded, texts_cte('decoded'))} SELECT path, text FROM texts WHERE text IS NOT NULL"
+        )
+    sql["scan_all_nonvendor_files"] = (
+        f"{with_files()} SELECT path, strlen(content) AS length FROM files WHERE NOT {VENDOR['span']}"
+    )
+    sql["scan_unpruned_files"] = (
+        f"{with_files()} SELECT path, strlen(content) AS length FROM files WHERE {PHP['line']}"
+    )
+    sql["scan_tree_findings"] = f"{line_prelude()} {findings_sql('line')}"
+    line_rows = (
+        f"WITH lines AS (SELECT {corpus.path_sql('o_custkey', corpus.DUCKDB)} AS path,"
+        f" o_orderkey AS line_no, {corpus.template_sql('o_orderkey', corpus.DUCKDB)} AS line FROM orders)"
+    )
+    sql["stream_scan"] = f"{line_rows} {line_findings(lambda s, r, v: s == 'security')}"
+    sql["stream_scan_documents"] = sql["leak_patterns_documents"]
+    return sql
+
+
+def _rows(section: int, text: str, source: str = "") -> str:
+    return f"SELECT {section} AS section, {text} AS text {source}"
+
+
+def _fixed(section: int, *lines: str) -> str:
+    values = ", ".join("('" + x.replace("'", "''") + "')" for x in lines)
+    return f"SELECT {section} AS section, v.t AS text FROM (VALUES {values}) v(t)"
+
+
+def _union(*parts: str) -> str:
+    return " UNION ALL ".join(parts)
+
+
+LEVELS = "(VALUES ('CRITICAL'), ('HIGH'), ('MEDIUM'), ('LOW'), ('INFO')) s(severity)"
+
+
+def _summary_rows(profile: str) -> str:
+    counted = "WHERE scanner <> 'dead'" if profile == "line" else ""
+    rule = "|----------|-------|" if profile == "line" else "|---|---:|"
+    return _union(
+        _fixed(2, "## Summary", "", "| Severity | Count |", rule, ""),
+        _rows(
+            2,
+            f"'| ' || {_badge(profile, 's.severity')} || ' | ' || count(f.rule) || ' |'",
+            f"FROM {LEVELS} LEFT JOIN (SELECT * FROM findings {counted}) f"
+            " ON f.severity = s.severity GROUP BY s.severity",
+        ),
+    )
+
+
+def _stats_rows(profile: str) -> str:
+    custom = f"count(*) FILTER (NOT {VENDOR[profile]})"
+    vendor = f"count(*) FILTER ({VENDOR[profile]})"
+    source = f"FROM files WHERE {PHP[profile]}"
+    if profile == "span":
+        return _union(
+            _rows(1, f"'- Custom PHP files: `' || {custom} || '`'", source),
+            _rows(1, f"'- Vendor PHP files (excluded): `' || {vendor} || '`'", source),
+            _fixed(1, ""),
+        )
+    return _union(
+        _fixed(3, "## File Statistics", "", ""),
+        _rows(3, f"'- **Custom PHP files scanned:** ' || {custom}", source),
+        _rows(3, f"'- **Vendor files excluded:** ' || {vendor}", source),
+        _rows(3, "'- **Total PHP files found:** ' || count(*)", source),
+    )
+
+
+def _finding_rows(profile: str) -> str:
+    badge = _badge(profile, "severity")
+    if profile == "line":
+        cell = (
+            "substring(replace(match, '|', '\\|'), 1, 80)"
+            " || CASE WHEN length(match) > 80 THEN chr(8230) ELSE '' END"
+        )
+        row = (
+            f"'| ' || {badge} || ' | `' || file || '` | ' || line || ' | `' || rule || '` | `' || {cell} || '` |'"
+        )
+        table = ("| Severity | File | Line | Rule | Match |", "|----------|------|------|------|-------|")
+        return _union(
+            _fixed(4, "## Credential & Secret Findings", "", *table, ""),
+            _rows(4, row, "FROM findings WHERE scanner = 'credential'"),
+            _fixed(5, "## Security Vulnerability Findings", "", *table, ""),
+            _rows(5, row, "FROM findings WHERE scanner = 'security'"),
+        )
+    if profile == "span":
+        return _union(
+            _fixed(8, "## Findings", ""),
+            _rows(
+                8,
+                f"'- ' || {badge} || ' [`' || file || ':' || line || '`](' || file || '#L' || line || ') **'"
+                " || rule || '** (' || replace(scanner, 'dead', 'deadfile') || '): `' || match || '`'",
+                "FROM findings",
+            ),
+        )
+    line = "CASE WHEN line > 0 THEN '- **Line:** ' || line || chr(10) ELSE '' END"
+    return _union(
+        _rows(
+            5,
+            "'## ' || upper(scanner[1]) || substring(scanner, 2) || ' Scanner Scanner' || chr(10)",
+            "FROM (SELECT DISTINCT scanner FROM findings) f",
+        ),
+        _rows(
+            5,
+            f"'### `' || rule || '`' || chr(10) || chr(10) || '- **Severity:** ' || severity || ' ' || {badge}"
+            f" || chr(10) || '- **File:** `' || file || '`' || chr(10) || {line} || '- **Match:**' || chr(10)"
+            " || '```php' || chr(10) || match || chr(10) || '```' || chr(10)",
+            "FROM findings",
+        ),
+    )
+
+
+HUBS_CTE = "hubs AS (SELECT node, in_degree FROM degrees ORDER BY in_degree DESC, node LIMIT 10)"
+SIZES_CTE = (
+    "sizes AS (SELECT (SELECT count(*) FROM custom) AS nodes, (SELECT count(*) FROM edges) AS edges,"
+    " (SELECT count(*) FROM cycles) AS cycles)"
+)
+
+
+def _orphans_cte(profile: str) -> str:
+    return f"orphans AS (SELECT node FROM degrees WHERE in_degree = 0 AND NOT {ENTRY[profile]})"
+
+
+def _graph_rows(profile: str) -> str:
+    if profile == "span":
+        return _union(
+            _fixed(6, "## Dependency Graph", "", "- Top hubs (in-degree):", ""),
+            _rows(6, "'- Graph: `' || nodes || '` nodes, `' || edges || '` edges'", "FROM sizes"),
+            _rows(6, "'  - `' || node || '`: `' || in_degree || '`'", "FROM hubs"),
+            _rows(6, "'- Cycles detected: `' || cycles || '`'", "FROM sizes WHERE cycles > 0"),
+        )
+    if profile == "block":
+        return _union(
+            _rows(6, "'## Dependency Analysis Scanner' || chr(10)"),
+            _fixed(
+                6,
+                "- **Top 5 Hubs (most included files):**",
+                "- **Orphan Files (not included by any other file):**",
+                "",
+            ),
+            _rows(6, "'- **Graph:** ' || nodes || ' nodes, ' || edges || ' edges'", "FROM sizes"),
+            _rows(6, "'- **Cycles Detected:** ' || cycles", "FROM sizes WHERE cycles > 0"),
+            _rows(6, "'  - `' || node || '` (score: ' || in_degree || ')'", "FROM hubs"),
+            _rows(6, "'  - `' || node || '`'", "FROM orphans"),
+        )
+    return _union(
+        _fixed(6, "## Dependency Analysis", ""),
+        _fixed(6, "", "### Top Included Files (Hubs)", "", "| File | In-degree |", "|------|-----------|"),
+        _fixed(6, "", "", "", "", ""),
+        _rows(6, "'- **Nodes (files):** ' || nodes", "FROM sizes"),
+        _rows(6, "'- **Edges (include relationships):** ' || edges", "FROM sizes"),
+        _rows(6, "'| `' || node || '` | ' || in_degree || ' |'", "FROM hubs"),
+        _rows(6, "'### Circular Dependencies (' || cycles || ' detected)'", "FROM sizes"),
+        _rows(
+            6,
+            "rank || '. `' || replace(cycle, '|', '` ' || chr(8594) || ' `') || '`'",
+            "FROM (SELECT cycle, row_number() OVER (ORDER BY length, string_split(cycle, '|')) AS rank"
+            " FROM cycles) c WHERE rank <= 10",
+        ),
+        _rows(
+            6,
+            "'### Orphaned Files (' || count(*) || ' files with no incoming includes)'",
+            "FROM orphans",
+        ),
+        _rows(6, "'- `' || node || '`'", "FROM (SELECT node FROM orphans ORDER BY node LIMIT 20) o"),
+        _rows(6, "'- _...and ' || (count(*) - 20) || ' more_'", "FROM orphans HAVING count(*) > 20"),
+    )
+
+
+def _floor_cte(profile: str) -> str:
+    floor = f"{weight()} >= 4"
+    dead = names_sql(profile)
+    if profile != "line":
+        dead = f"SELECT * FROM ({dead}) d WHERE {floor}"
+    return f"findings AS (SELECT * FROM ({content_sql(profile)}) f WHERE {floor} UNION ALL {dead})"
+
+
+def _dead_rows(source: str) -> str:
+    return _union(
+        _fixed(7, "## Dead / Backup File Findings", "", "| File | Reason |", "|------|--------|", ""),
+        _rows(7, "'| `' || file || '` | ' || match || ' |'", f"FROM ({source}) d"),
+    )
+
+
+def _report_sql() -> dict[str, str]:
+    sql = {}
+    for p in ("line", "span", "block"):
+        prelude = f"{findings_prelude(p)}, {_floor_cte(p)}"
+        graph = f"{cycles_prelude(p)}, {HUBS_CTE}, {SIZES_CTE}, {_orphans_cte(p)}"
+        sql[f"report_findings_{p}"] = f"{prelude} {_finding_rows(p)}"
+        sql[f"report_graph_{p}"] = f"{graph} {_graph_rows(p)}"
+        if p != "block":
+            sql[f"report_summary_{p}"] = f"{prelude} {_summary_rows(p)}"
+            sql[f"report_file_stats_{p}"] = f"{with_files()} {_stats_rows(p)}"
+    block = f"{findings_prelude('block')}, {_floor_cte('block')}"
+    sql["report_summary_block"] = block + " " + _union(
+        _fixed(2, "## Summary", "", "| Scanner | Findings |", "|---------|----------|", "", "| Dependency Analysis | 5 |"),
+        _rows(
+            2,
+            "'| ' || t || ' Scanner | ' || count(f.rule) || ' |'",
+            "FROM (VALUES ('security', 'Security'), ('credential', 'Credential'), ('dead', 'Dead')) s(n, t)"
+            " LEFT JOIN findings f ON f.scanner = s.n GROUP BY t",
+        ),
+        _rows(2, "'| **Total** | **' || (count(*) + 5) || '** |'", "FROM findings"),
+    )
+    sql["report_dead_files"] = f"{with_files(custom_cte('line'))} {_dead_rows(line_names())}"
+    sql["report_empty"] = _union(
+        _fixed(4, "## Credential & Secret Findings", "", "_No credential findings._", ""),
+        _fixed(5, "## Security Vulnerability Findings", "", "_No security findings._", ""),
+        _fixed(8, "## Findings", "", "_No findings._", ""),
+        _fixed(7, "## Dead / Backup File Findings", "", "_No dead/backup files found._", ""),
+        _rows(4, "chr(9989) || ' No issues found.'"),
+    )
+    span = ", ".join(
+        [
+            span_prelude(),
+            _floor_cte("span"),
+            *graph_ctes("span"),
+            CYCLES_CTE,
+            HUBS_CTE,
+            SIZES_CTE,
+            _orphans_cte("span"),
+        ]
+    )
+    parts = _union(
+        _fixed(0, "# php-analyzer report", "", "- Root: `/srv/project`"),
+        _stats_rows("span"),
+        _summary_rows("span"),
+        _graph_rows("span"),
+        _finding_rows("span"),
+    )
+    sql["write_markdown"] = f"{span} SELECT text FROM ({parts}) r"
+    sql["write_json"] = f"{line_prelude()}, {_floor_cte('line')} SELECT {FINDING} FROM findings"
+    sql["write_json_tables"] = (
+        f"{graph_prelude('span')}, {_orphans_cte('span')} SELECT (SELECT count(*) FROM custom) AS nodes,"
+        " (SELECT count(*) FROM edges) AS edges,"
+        f" (SELECT count(*) FROM files WHERE {PHP['span']}) AS total_files,"
+        " (SELECT count(*) FROM orphans) AS orphans"
+    )
     return sql
 
 

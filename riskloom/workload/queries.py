@@ -20,6 +20,12 @@ from riskloom.operators import (
     summary,
     taint,
 )
+from riskloom.plans import analyze as plan
+from riskloom.plans import report as rp
+from riskloom.session import materialize, run_dir
+from riskloom.sources import sinks, tree
+from riskloom.streaming import scan as streaming
+from riskloom.workload import corpus
 from riskloom.workload.corpus import source_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -408,7 +414,7 @@ def _(spark, sf_dir, profile):
 
 # The file that every block head includes.
 HUB = "lib/f5.PHP"
-SUCCESSORS_OF = "app/admin/f60.php"
+SUCCESSORS_OF = "app/f900.php"
 
 
 @query("edge_lookup")
@@ -550,3 +556,195 @@ def _(spark, sf_dir):
         scan.decoded(changed.filter(scan.is_leak_candidate(F.col("path"))), "span")
     )
     return incremental.gate(leaks, "HIGH")
+
+
+# ---------------------------------------------------------------- reports
+
+ROOT = "/srv/project"
+
+
+def _text(rows: DataFrame) -> DataFrame:
+    return rows.select("section", "text")
+
+
+def _graph_tables(spark, sf_dir, profile):
+    nodes, edges = _graph(spark, sf_dir, profile)
+    edges = materialize(edges)
+    return (
+        graph.graph_stats(nodes, edges),
+        graph.top_hubs(nodes, edges),
+        graph.orphan_files(nodes, edges, profile),
+        graph.include_cycles(edges),
+    )
+
+
+@per_profile("report_summary_{}", ("line", "span"))
+def _(spark, sf_dir, profile):
+    findings = all_findings(spark, sf_dir, profile, "HIGH")
+    counted = ("credential", "security") if profile == "line" else None
+    return _text(rp.summary_rows(summary.count_by_severity(findings, counted), profile))
+
+
+@query("report_summary_block")
+def _(spark, sf_dir):
+    findings = all_findings(spark, sf_dir, "block", "HIGH")
+    return _text(rp.scanner_summary_rows(findings, rp.BLOCK_ORDER, True))
+
+
+@per_profile("report_file_stats_{}", ("line", "span"))
+def _(spark, sf_dir, profile):
+    return _text(rp.file_stats_rows(summary.file_stats(listing_of(spark, sf_dir), profile), profile))
+
+
+@per_profile("report_findings_{}")
+def _(spark, sf_dir, profile):
+    findings = materialize(all_findings(spark, sf_dir, profile, "HIGH"))
+    return _text(rp.finding_rows(findings, profile))
+
+
+@per_profile("report_graph_{}")
+def _(spark, sf_dir, profile):
+    return _text(rp.graph_rows(*_graph_tables(spark, sf_dir, profile), profile))
+
+
+@query("report_dead_files")
+def _(spark, sf_dir):
+    return _text(rp.dead_file_rows(deadfiles.scan_names(listing_of(spark, sf_dir), "line")))
+
+
+@query("report_empty")
+def _(spark, sf_dir):
+    """No provider leaks in project files of the block profile: empty states."""
+    found = scan.apply_rules(source_files(spark, sf_dir), _NO_SUCH, "line")
+    parts = [rp.finding_rows(found, "line"), rp.finding_rows(found, "span"), rp.dead_file_rows(found)]
+    return _text(rp.joined(*parts, rp.no_issue_rows(found)))
+
+
+# A rule that no line of the tree meets.
+_NO_SUCH = [rules.RuleSpec("goto_call", "HIGH", (r"\bgoto_label\s*\(",), keywords=("goto_label",))]
+
+
+@query("write_markdown")
+def _(spark, sf_dir):
+    """The whole span report, written as text and read back."""
+    result = plan.analyze(source_files(spark, sf_dir), "span", "all", "HIGH")
+    output = run_dir(spark, "markdown")
+    sinks.write_markdown(plan.markdown(result, ROOT), output)
+    return spark.read.text(output).select(F.col("value").alias("text"))
+
+
+@query("write_json")
+def _(spark, sf_dir):
+    """All findings of the line profile, written as JSON and read back."""
+    result = plan.analyze(source_files(spark, sf_dir), "line", "all", "HIGH")
+    output = run_dir(spark, "json")
+    sinks.write_json(result.tables(), output)
+    ddl = "file string, line int, rule string, severity string, match string, scanner string"
+    return spark.read.schema(ddl).json(f"{output}/findings")
+
+
+@query("write_json_tables")
+def _(spark, sf_dir):
+    """Sizes of the other tables of the same JSON output."""
+    result = plan.analyze(source_files(spark, sf_dir), "span", "deps")
+    output = run_dir(spark, "json")
+    sinks.write_json(result.tables(), output)
+    stats = spark.read.schema("nodes long, edges long").json(f"{output}/graph_stats")
+    total = spark.read.schema("total_files long").json(f"{output}/stats")
+    orphans = spark.read.schema("node string").json(f"{output}/orphans")
+    return stats.select(
+        "nodes",
+        "edges",
+        total.select("total_files").scalar().alias("total_files"),
+        orphans.agg(F.count("*")).scalar().alias("orphans"),
+    )
+
+
+# ---------------------------------------------------------------- sources
+
+
+def _exported(spark: SparkSession, sf_dir: str) -> str:
+    """The tree as real files, written once per session and table folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _EXPORTS:
+        folder = run_dir(spark, "tree")
+        if folder.startswith("file:"):
+            folder = "/" + folder[len("file:") :].lstrip("/")
+        tree.write_tree(source_files(spark, sf_dir), folder)
+        _EXPORTS[key] = folder
+    return _EXPORTS[key]
+
+
+_EXPORTS: dict[tuple[str, str], str] = {}
+
+
+@per_profile("scan_source_files_{}")
+def _(spark, sf_dir, profile):
+    """Project files listed and read from a file tree, with a digest of the bytes."""
+    root = _exported(spark, sf_dir)
+    files = tree.read_contents(scan.custom_files(tree.list_tree(spark, root), profile), root)
+    return files.select("path", F.sha2("content", 256).alias("digest"))
+
+
+@query("scan_all_nonvendor_files")
+def _(spark, sf_dir):
+    listing = tree.list_tree(spark, _exported(spark, sf_dir), prune_vendor=True)
+    return listing.filter(px.is_custom(F.col("path"), "span"))
+
+
+@query("scan_unpruned_files")
+def _(spark, sf_dir):
+    listing = tree.list_tree(spark, _exported(spark, sf_dir))
+    return listing.filter(px.is_php(F.col("path"), "line"))
+
+
+@query("scan_tree_findings")
+def _(spark, sf_dir):
+    """From files on disk to findings: list, filter, read, scan."""
+    listing, files = tree.read_project(spark, _exported(spark, sf_dir), "line")
+    return summary.union_findings(
+        scan.scan_content(files, "line"), deadfiles.scan_names(listing, "line")
+    )
+
+
+@per_profile("decode_text_{}")
+def _(spark, sf_dir, profile):
+    """Bytes of which every third file (by length) holds one that is no UTF-8."""
+    files = source_files(spark, sf_dir)
+    marked = F.when(
+        F.length("content") % 3 == 0, F.concat("content", F.lit("caf\u00ff;"))
+    ).otherwise(F.col("content"))
+    # The text is ASCII but for the mark, so its two bytes cannot be mistaken.
+    broken = F.unhex(F.replace(F.hex(F.encode(marked, "UTF-8")), F.lit("C3BF"), F.lit("FF")))
+    files = files.select("path", broken.alias("content"))
+    return scan.decoded(files, profile)
+
+
+# -------------------------------------------------------------- streaming
+
+
+def _stream_to_table(spark: SparkSession, findings: DataFrame) -> DataFrame:
+    output, state = run_dir(spark, "stream"), run_dir(spark, "stream-state")
+    started = streaming.append_findings(findings, output, state, once=True)
+    started.awaitTermination()
+    return spark.read.schema(findings.schema).parquet(output)
+
+
+@query("stream_scan")
+def _(spark, sf_dir):
+    """Orders arrive as lines and pass the line rules."""
+    orders = streaming.arriving_rows(spark, f"{sf_dir}/orders.parquet")
+    lines = orders.select(
+        F.expr(corpus.path_sql("o_custkey")).alias("path"),
+        F.col("o_orderkey").alias("line_no"),
+        F.expr(corpus.template_sql("o_orderkey")).alias("line"),
+    )
+    return _stream_to_table(spark, streaming.scan_line_stream(lines, rules.LINE_SECURITY))
+
+
+@query("stream_scan_documents")
+def _(spark, sf_dir):
+    """Documents arrive and are checked for secrets over their whole text."""
+    docs = streaming.arriving_rows(spark, f"{sf_dir}/documents.parquet")
+    texts = docs.select(F.col("doc_id").cast("string").alias("path"), "text")
+    return _stream_to_table(spark, scan.scan_leaks(texts))
