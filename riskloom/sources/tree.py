@@ -13,7 +13,7 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -39,11 +39,11 @@ def _entries(directory: str) -> list[os.DirEntry]:
 
 
 class TreePartition(InputPartition):
-    """A directory to list, with or without what lies below it."""
+    """Directories to list, with or without what lies below them."""
 
-    def __init__(self, directory: str, recursive: bool):
-        super().__init__(directory)
-        self.directory = directory
+    def __init__(self, directories: list[str], recursive: bool):
+        super().__init__(directories)
+        self.directories = directories
         self.recursive = recursive
 
 
@@ -63,22 +63,26 @@ class TreeReader(DataSourceReader):
         """
         if not os.path.isdir(self.root):
             raise FileNotFoundError(f"not a directory: {self.root}")
-        opened: list[TreePartition] = []
+        opened: list[str] = []
         level = [self.root]
         while level and len(opened) + len(level) < self.units:
             below = []
             for directory in level:
-                opened.append(TreePartition(directory, False))
+                opened.append(directory)
                 for entry in _entries(directory):
                     if entry.is_dir(follow_symlinks=False) and not self._skip(entry.path):
                         below.append(entry.path)
             level = below
-        return opened + [TreePartition(d, True) for d in level]
+        below = [TreePartition([d], True) for d in level]
+        # Directories opened here only list their own files; few tasks do for them.
+        size = max(1, -(-len(opened) // max(1, self.units // 4)))
+        shallow = [TreePartition(opened[i : i + size], False) for i in range(0, len(opened), size)]
+        return shallow + below
 
     def read(self, partition: TreePartition) -> Iterator[pa.RecordBatch]:
         paths: list[str] = []
         sizes: list[int] = []
-        pending = [partition.directory]
+        pending = list(partition.directories)
         while pending:
             for entry in _entries(pending.pop()):
                 if entry.is_dir(follow_symlinks=False):
@@ -115,13 +119,17 @@ class SourceTree(DataSource):
         return TreeReader(dict(self.options))
 
 
-def list_tree(spark: SparkSession, root: str, prune_vendor: bool = False, units: int = 256) -> DataFrame:
+def list_tree(
+    spark: SparkSession, root: str, prune_vendor: bool = False, units: int | None = None
+) -> DataFrame:
     """``(path, length)`` of every file below ``root``; nothing is opened.
 
     Pruning leaves vendor directories unlisted; without them, vendor files
-    cannot be counted and includes cannot resolve into them.
+    cannot be counted and includes cannot resolve into them.  ``units`` is the
+    number of directories to split the walk into, by default four per core.
     """
     spark.dataSource.register(SourceTree)
+    units = units or 4 * spark.sparkContext.defaultParallelism
     reader = spark.read.format("srctree").option("units", str(units))
     if prune_vendor:
         reader = reader.option("excludeDirs", ",".join(VENDOR_DIRS))
@@ -163,7 +171,7 @@ def read_contents(listing: DataFrame, root: str) -> DataFrame:
 
 
 def read_project(
-    spark: SparkSession, root: str, profile: str | Profile, units: int = 256
+    spark: SparkSession, root: str, profile: str | Profile, units: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """``(listing, contents)``: the whole listing, and the project PHP files read."""
     listing = materialize(list_tree(spark, root, units=units))
@@ -174,8 +182,13 @@ def read_binary_files(spark: SparkSession, root: str) -> DataFrame:
     """``(path, content)`` through Spark's own reader: any Hadoop file system,
     but names starting with ``_`` or ``.`` are not seen."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    plain = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
-    return found.select(relative_path(plain, os.path.abspath(root)).alias("path"), "content")
+    return found.select(below(root).alias("path"), "content")
+
+
+def below(root: str) -> Column:
+    """The binary reader's ``path`` (a full URI) relative to ``root``."""
+    where = root if "://" in root else "file:" + os.path.abspath(root)
+    return relative_path(F.regexp_replace("path", "^file:/+", "file:/"), where)
 
 
 def write_tree(files: DataFrame, root: str) -> None:

@@ -414,7 +414,7 @@ def _(spark, sf_dir, profile):
 
 # The file that every block head includes.
 HUB = "lib/f5.PHP"
-SUCCESSORS_OF = "app/f900.php"
+SUCCESSORS_OF = "app/admin/f180.php"
 
 
 @query("edge_lookup")
