@@ -33,17 +33,36 @@ def decode_text(content: Column, policy: str) -> Column:
 
 
 def normalize_newlines(text: Column) -> Column:
-    return F.regexp_replace(text, "\r\n?", "\n")
+    """CRLF and CR to LF; texts without a CR pass untouched."""
+    return F.when(
+        F.contains(text, F.lit("\r")), F.regexp_replace(text, "\r\n?", "\n")
+    ).otherwise(text)
 
 
 def split_lines(text: Column) -> Column:
-    """Lines without their terminators; a final terminator opens no extra line."""
-    body = F.regexp_replace(text, rf"[{LINE_BREAKS}]\z", "")
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(
-        F.split(body, rf"[{LINE_BREAKS}]", -1)
+    """Lines without their terminators; a final terminator opens no extra line.
+
+    Splitting at the line feed alone takes a fast path in the JVM; the full
+    class of line breaks is used only for texts that hold one of the others.
+    """
+    any_break = F.split(F.regexp_replace(text, rf"[{LINE_BREAKS}]\z", ""), rf"[{LINE_BREAKS}]", -1)
+    cut = F.when(
+        F.endswith(text, F.lit("\n")), F.substring(text, F.lit(1), F.length(text) - 1)
+    ).otherwise(text)
+    return (
+        F.when(text == "", F.array().cast("array<string>"))
+        .when(_has_rare_break(text), any_break)
+        .otherwise(F.split(cut, "\n", -1))
     )
 
 
+def _has_rare_break(text: Column) -> Column:
+    found = F.lit(False)
+    for char in "\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029":
+        found = found | F.contains(text, F.lit(char))
+    return found
+
+
 def strip(text: Column) -> Column:
     """Remove leading and trailing white space of any kind, not only blanks."""
     return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
@@ -83,9 +102,19 @@ def quoted(text: Column) -> Column:
     )
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row.
+
+    A column used inside a lambda would be computed again for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def mark_matches(text: Column, pattern: str) -> Column:
     """Put a control mark in front of every match of ``pattern``."""
-    return F.regexp_replace(F.translate(text, _MARK, _UNMARK), pattern, _MARK + "$0")
+    # Marks that are already in the text are rare and lose their meaning.
+    unmarked = F.when(has_mark(text), F.translate(text, _MARK, _UNMARK)).otherwise(text)
+    return F.regexp_replace(unmarked, pattern, _MARK + "$0")
 
 
 def marked_lines(marked: Column) -> Column:

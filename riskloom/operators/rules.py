@@ -7,6 +7,7 @@ one back-reference noted below.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
@@ -26,7 +27,8 @@ class RuleSpec:
 
     ``patterns``  any of them hits; text-unit rules have exactly one
     ``veto``      lower-case tokens that cancel a hit on the same line
-    ``keywords``  words of which one must occur in any hit; speeds up line scans
+    ``keywords``  lower-case words of which one must occur in any hit; a byte
+                  search for them spares most texts the patterns
     ``flags``     inline flags put in front of every pattern
     """
 
@@ -48,7 +50,13 @@ class RuleSpec:
         found = reduce(
             lambda a, b: a | b, [F.rlike(text, F.lit(self.flags + p)) for p in self.patterns]
         )
-        return found & ~contains_any(text, self.veto) if self.veto else found
+        return found & ~has_token(text, self.veto) if self.veto else found
+
+    def possible(self, low: Column, exotic: Column) -> Column:
+        """Cheap test that holds for every hit, on the lower-cased text."""
+        if not self.keywords:
+            return F.lit(True)
+        return reduce(lambda a, b: a | b, [exotic, *(F.contains(low, F.lit(w)) for w in self.keywords)])
 
     @property
     def text_pattern(self) -> str:
@@ -57,10 +65,18 @@ class RuleSpec:
         return self.flags + self.patterns[0]
 
 
-def contains_any(text: Column, tokens: Iterable[str]) -> Column:
-    """True when the lower-cased text contains one of the tokens."""
-    low = F.lower(text)
-    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(t)) for t in tokens])
+def has_token(text: Column, tokens: Iterable[str]) -> Column:
+    """True when the text contains one of the ASCII tokens in any letter case."""
+    return F.rlike(text, F.lit(f"(?i){'|'.join(map(re.escape, tokens))}"))
+
+
+# Characters outside ASCII that equal an ASCII letter when case is ignored.
+_EXOTIC_LETTERS = "\u0130\u0131\u017f\u212a"
+
+
+def is_exotic(text: Column) -> Column:
+    """A case-insensitive match may not show in the lower-cased text."""
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(c)) for c in _EXOTIC_LETTERS])
 
 
 def at_least(rules: Iterable[RuleSpec], floor: str | None) -> tuple[RuleSpec, ...]:
@@ -155,31 +171,52 @@ LINE_SECURITY = (
 # taint-based and lives in operators.taint.  The redirect rule needs a
 # back-reference: the quote that opens the literal also closes it.
 SPAN_SECURITY = (
-    RuleSpec("eval_usage", "HIGH", (r"\beval\s*\(",)),
-    RuleSpec("shell_exec", "CRITICAL", (rf"\b{_SHELL}",)),
-    RuleSpec("dynamic_include", "HIGH", (rf"\b{_INCLUDE}\s*(?:\(\s*)?\${_IDENTIFIER}",)),
-    RuleSpec("xss_direct_echo", "HIGH", (rf"\becho\s+{_REQUEST_COOKIE}\b",)),
+    RuleSpec("eval_usage", "HIGH", (r"\beval\s*\(",), keywords=("eval",)),
+    RuleSpec(
+        "shell_exec", "CRITICAL", (rf"\b{_SHELL}",), keywords=("exec", "system", "passthru")
+    ),
+    RuleSpec(
+        "dynamic_include",
+        "HIGH",
+        (rf"\b{_INCLUDE}\s*(?:\(\s*)?\${_IDENTIFIER}",),
+        keywords=("include", "require"),
+    ),
+    RuleSpec("xss_direct_echo", "HIGH", (rf"\becho\s+{_REQUEST_COOKIE}\b",), keywords=("echo",)),
     RuleSpec(
         "open_redirect",
         "MEDIUM",
         (r"\bheader\s*\(\s*(['\"])Location:.*?\1\s*\.\s*\$_",),
+        keywords=("header",),
         flags="(?isU)",
     ),
 )
-SPAN_SQL_INJECTION = RuleSpec("sql_injection", "CRITICAL", (rf"->\s*{_CALL}",))
+SPAN_SQL_INJECTION = RuleSpec(
+    "sql_injection", "CRITICAL", (rf"->\s*{_CALL}",), keywords=("query", "execute")
+)
 SUPERGLOBAL = rf"{FLAGS}{_REQUEST_COOKIE}\b"
 
 # Vulnerability rules of the block profile, no word boundaries.
 # SQL injection spans from the first call to the last request value of a file
 # and is evaluated in two anchored steps, see operators.scan.
 BLOCK_SECURITY = (
-    RuleSpec("eval_usage", "HIGH", (r"eval\s*\(",)),
-    RuleSpec("xss_direct_echo", "HIGH", (rf"echo\s+{_REQUEST_COOKIE}\s*\[",)),
-    RuleSpec("dynamic_include", "HIGH", (rf"{_INCLUDE}\s*\(?\$",)),
-    RuleSpec("shell_exec", "CRITICAL", (_SHELL,)),
-    RuleSpec("open_redirect", "MEDIUM", (r"header\s*\(\s*['\"]Location:\s*['\"]\s*\.\s*\$_",)),
+    RuleSpec("eval_usage", "HIGH", (r"eval\s*\(",), keywords=("eval",)),
+    RuleSpec("xss_direct_echo", "HIGH", (rf"echo\s+{_REQUEST_COOKIE}\s*\[",), keywords=("echo",)),
+    RuleSpec("dynamic_include", "HIGH", (rf"{_INCLUDE}\s*\(?\$",), keywords=("include", "require")),
+    RuleSpec("shell_exec", "CRITICAL", (_SHELL,), keywords=("exec", "system", "passthru")),
+    RuleSpec(
+        "open_redirect",
+        "MEDIUM",
+        (r"header\s*\(\s*['\"]Location:\s*['\"]\s*\.\s*\$_",),
+        keywords=("header",),
+    ),
+)
+BLOCK_SQL_INJECTION = RuleSpec(
+    "sql_injection",
+    "CRITICAL",
+    (rf"{_CALL}.*{_REQUEST}\[",),
+    keywords=("query", "execute"),
+    flags="(?isU)",
 )
-BLOCK_SQL_INJECTION = RuleSpec("sql_injection", "CRITICAL", (rf"{_CALL}.*{_REQUEST}\[",), flags="(?isU)")
 BLOCK_CALL_TO_END = rf"(?isU){_CALL}.*"
 BLOCK_UP_TO_LAST_REQUEST = rf"(?isU)\A.*{_REQUEST}\["
 
@@ -233,16 +270,34 @@ PLAIN_ASSIGNMENT = RuleSpec(
 # Leak rules: secrets of well-known providers, case-sensitive.
 LEAKS = (
     RuleSpec(
-        "live_payment_key", "CRITICAL", (r"\b[rs]k_live_[0-9A-Za-z]{16,}",), scanner="leak", flags=""
+        "live_payment_key",
+        "CRITICAL",
+        (r"\b[rs]k_live_[0-9A-Za-z]{16,}",),
+        keywords=("k_live_",),
+        scanner="leak",
+        flags="",
+    ),
+    RuleSpec(
+        "cloud_access_key",
+        "CRITICAL",
+        (r"\bA[KS]IA[0-9A-Z]{16}\b",),
+        keywords=("akia", "asia"),
+        scanner="leak",
+        flags="",
     ),
-    RuleSpec("cloud_access_key", "CRITICAL", (r"\bA[KS]IA[0-9A-Z]{16}\b",), scanner="leak", flags=""),
     RuleSpec(
-        "code_host_token", "CRITICAL", (r"\bgh[opsur]_[0-9A-Za-z]{36,}",), scanner="leak", flags=""
+        "code_host_token",
+        "CRITICAL",
+        (r"\bgh[opsur]_[0-9A-Za-z]{36,}",),
+        keywords=("gho_", "ghp_", "ghs_", "ghu_", "ghr_"),
+        scanner="leak",
+        flags="",
     ),
     RuleSpec(
         "private_key",
         "CRITICAL",
         (r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----",),
+        keywords=("private key-----",),
         scanner="leak",
         flags="",
     ),
@@ -250,6 +305,7 @@ LEAKS = (
         "hardcoded_password",
         "HIGH",
         (r"(?:password|passwd|token)['\"]?\s*(?:=>|=|:)\s*(?:'[^'\s]{6,}'|\"[^\"\s]{6,}\")",),
+        keywords=("password", "passwd", "token"),
         scanner="leak",
         flags="(?i)",
     ),

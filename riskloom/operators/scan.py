@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,16 +18,17 @@ from riskloom.operators.rules import (
     BLOCK_SQL_INJECTION,
     BLOCK_UP_TO_LAST_REQUEST,
     CREDENTIALS,
-    FLAGS,
     LEAK_EXTENSIONS,
     LEAKS,
     SPAN_SQL_INJECTION,
     RuleSpec,
     at_least,
+    is_exotic,
     security_rules,
 )
 
 _HITS = "array<struct<line:int,match:string>>"
+_FINDINGS = "array<struct<scanner:string,line:int,rule:string,severity:string,match:string>>"
 
 
 def custom_files(files: DataFrame, profile: str | Profile, root: str | None = None) -> DataFrame:
@@ -42,9 +43,8 @@ def decoded(files: DataFrame, profile: str | Profile) -> DataFrame:
     content = F.col("content")
     if files.schema["content"].dataType.typeName() == "binary":
         content = tx.decode_text(content, prof.decode)
-    return files.select("path", tx.normalize_newlines(content).alias("text")).filter(
-        "text is not null"
-    )
+    readable = files.select("path", content.alias("raw")).filter("raw is not null")
+    return readable.select("path", tx.normalize_newlines(F.col("raw")).alias("text"))
 
 
 def numbered_lines(texts: DataFrame) -> DataFrame:
@@ -61,12 +61,13 @@ def scan_lines(texts: DataFrame, rules: Iterable[RuleSpec]) -> DataFrame:
 def scan_line_rows(lines: DataFrame, rules: Iterable[RuleSpec]) -> DataFrame:
     """One finding per (rule, line); the match is the stripped line."""
     rules = tuple(rules)
-    line = F.col("line")
-    words = sorted({w for r in rules for w in r.keywords})
-    if rules and all(r.keywords for r in rules):
-        # One cheap pattern spares most lines the full rule set.
-        lines = lines.filter(F.rlike(line, F.lit(f"{FLAGS}{'|'.join(map(re.escape, words))}")))
-    hits = F.array_compact(F.array(*[F.when(r.hits(line), _tag(r)) for r in rules]))
+    line, low, exotic = F.col("line"), F.col("low"), F.col("exotic")
+    lines = lines.select(
+        "path", "line_no", "line", F.lower(line).alias("low"), is_exotic(line).alias("exotic")
+    ).filter(reduce(lambda a, b: a | b, [r.possible(low, exotic) for r in rules]))
+    hits = F.array_compact(
+        F.array(*[F.when(r.possible(low, exotic) & r.hits(line), _tag(r)) for r in rules])
+    )
     return lines.select("path", "line_no", "line", F.inline(hits)).select(
         "scanner",
         F.col("path").alias("file"),
@@ -88,9 +89,16 @@ def _tag(rule: RuleSpec) -> Column:
 def scan_texts(texts: DataFrame, rules: Iterable[RuleSpec], profile: str | Profile) -> DataFrame:
     """One finding per match over the whole text."""
     show = tx.shorten if profile_of(profile).name == "span" else tx.strip
-    text = F.col("text")
-    per_rule = [_findings(_rule_hits(text, rule, show), rule) for rule in rules]
-    return texts.select("path", F.inline(F.concat(*per_rule))).select(
+    text, low, exotic = F.col("text"), F.col("low"), F.col("exotic")
+    prepared = texts.select("path", "text", F.lower(text).alias("low"), is_exotic(text).alias("exotic"))
+    per_rule = [
+        F.when(
+            rule.possible(low, exotic) & _has_hit(text, rule),
+            _findings(_rule_hits(text, rule, show), rule),
+        ).otherwise(F.array().cast(_FINDINGS))
+        for rule in rules
+    ]
+    return prepared.select("path", F.inline(F.concat(*per_rule))).select(
         "scanner", F.col("path").alias("file"), "line", "rule", "severity", "match"
     )
 
@@ -108,22 +116,34 @@ def _findings(hits: Column, rule: RuleSpec) -> Column:
     )
 
 
+def _has_hit(text: Column, rule: RuleSpec) -> Column:
+    if rule is BLOCK_SQL_INJECTION:
+        # Its own two steps are linear; the whole pattern is not.
+        return F.contains(text, F.lit("$_"))
+    return F.rlike(text, F.lit(rule.text_pattern))
+
+
 def _rule_hits(text: Column, rule: RuleSpec, show) -> Column:
     if rule is SPAN_SQL_INJECTION:
         return taint.sql_injection(text)
     if rule is BLOCK_SQL_INJECTION:
         return _first_call_to_last_request(text)
-    return pattern_hits(text, rule.text_pattern, show)
+    return _matches(text, rule.text_pattern, show)
 
 
-def pattern_hits(text: Column, pattern: str, show=lambda match: match) -> Column:
-    """``array<struct<line, match>>`` of all matches; no work for texts without one."""
-    hits = F.zip_with(
+def _matches(text: Column, pattern: str, show) -> Column:
+    return F.zip_with(
         tx.match_lines(text, pattern),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
         lambda line, match: F.struct(line.alias("line"), show(match).alias("match")),
     )
-    return F.when(F.rlike(text, F.lit(pattern)), hits).otherwise(F.array().cast(_HITS))
+
+
+def pattern_hits(text: Column, pattern: str, show=lambda match: match) -> Column:
+    """``array<struct<line, match>>`` of all matches; no work for texts without one."""
+    return F.when(F.rlike(text, F.lit(pattern)), _matches(text, pattern, show)).otherwise(
+        F.array().cast(_HITS)
+    )
 
 
 def _first_call_to_last_request(text: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import text as tx
-from riskloom.operators.rules import SPAN_SQL_INJECTION, SUPERGLOBAL, TAINT_SANITIZERS, contains_any
+from riskloom.operators.rules import SPAN_SQL_INJECTION, SUPERGLOBAL, TAINT_SANITIZERS, has_token
 
 # First assignment of a line, and how far a call without a
 # semicolon after it is followed.
@@ -20,32 +20,43 @@ OPEN_CALL_CHARS = 600
 
 def is_tainting(rhs: Column) -> Column:
     """A request value that no sanitizer touches."""
-    return F.rlike(rhs, F.lit(SUPERGLOBAL)) & ~contains_any(rhs, TAINT_SANITIZERS)
+    return F.rlike(rhs, F.lit(SUPERGLOBAL)) & ~has_token(rhs, TAINT_SANITIZERS)
 
 
 def tainted_vars(text: Column) -> Column:
     """Distinct variables of a text assigned from request values."""
-    lines = F.filter(
-        tx.split_lines(text),
-        # Cheap test first: only such lines can hold a tainting assignment.
-        lambda line: F.contains(line, F.lit("$_")) & F.rlike(line, F.lit(ASSIGNMENT)),
+    # Byte searches first: only lines with a request value can taint.
+    lines = F.filter(tx.split_lines(text), lambda line: F.contains(line, F.lit("$_")))
+    names = F.transform(
+        lines,
+        lambda line: F.when(
+            is_tainting(F.regexp_extract(line, ASSIGNMENT, 2)), F.regexp_extract(line, ASSIGNMENT, 1)
+        ),
     )
-    tainting = F.filter(lines, lambda line: is_tainting(F.regexp_extract(line, ASSIGNMENT, 2)))
-    return F.array_distinct(F.transform(tainting, lambda line: F.regexp_extract(line, ASSIGNMENT, 1)))
+    return F.when(
+        F.contains(text, F.lit("$_")), F.array_distinct(F.array_compact(names))
+    ).otherwise(F.array().cast("array<string>"))
 
 
 def query_calls(text: Column) -> Column:
     """``array<struct<line, snippet>>``: every query call up to its semicolon."""
-    marked = tx.mark_matches(text, SPAN_SQL_INJECTION.text_pattern)
+    return tx.let(tx.mark_matches(text, SPAN_SQL_INJECTION.text_pattern), _calls)
+
+
+def _calls(marked: Column) -> Column:
     statements = F.split(marked, ";", -1)
+    last = F.regexp_count(marked, F.lit(";"))
     snippets = F.flatten(
-        F.transform(
-            statements,
-            lambda statement, index: F.transform(
-                _call_tails(statement),
-                lambda tail: F.when(
-                    index == F.size(statements) - 1, F.substring(tail, 1, OPEN_CALL_CHARS)
-                ).otherwise(tail),
+        tx.let(
+            last,
+            lambda last: F.transform(
+                statements,
+                lambda statement, index: F.transform(
+                    _call_tails(statement),
+                    lambda tail: F.when(
+                        index == last, F.substring(tail, 1, OPEN_CALL_CHARS)
+                    ).otherwise(tail),
+                ),
             ),
         )
     )
@@ -58,14 +69,14 @@ def query_calls(text: Column) -> Column:
 
 def _call_tails(statement: Column) -> Column:
     """From each call in a statement to the statement's end."""
-    parts = tx.marked_parts(statement)
-    return F.when(
-        F.size(parts) > 1,
-        F.transform(
+    tails = tx.let(
+        tx.marked_parts(statement),
+        lambda parts: F.transform(
             F.sequence(F.lit(2), F.size(parts)),
             lambda n: F.array_join(F.slice(parts, n, F.size(parts)), ""),
         ),
-    ).otherwise(F.array().cast("array<string>"))
+    )
+    return F.when(tx.has_mark(statement), tails).otherwise(F.array().cast("array<string>"))
 
 
 def tainted_calls(text: Column) -> Column:
@@ -73,26 +84,22 @@ def tainted_calls(text: Column) -> Column:
 
     A variable counts when ``$name`` occurs as a plain substring.
     """
-    tainted = tainted_vars(text)
-    return F.filter(
-        query_calls(text),
-        lambda call: F.rlike(call["snippet"], F.lit(SUPERGLOBAL))
-        | F.exists(tainted, lambda name: F.contains(call["snippet"], F.concat(F.lit("$"), name))),
+    return tx.let(
+        tainted_vars(text),
+        lambda tainted: F.filter(
+            query_calls(text),
+            lambda call: F.rlike(call["snippet"], F.lit(SUPERGLOBAL))
+            | F.exists(tainted, lambda name: F.contains(call["snippet"], F.concat(F.lit("$"), name))),
+        ),
     )
 
 
 def sql_injection(text: Column) -> Column:
-    """``array<struct<line, match>>``; texts without a call are not analysed."""
-    empty = F.array().cast("array<struct<line:int,match:string>>")
-    return F.when(
-        F.rlike(text, F.lit(SPAN_SQL_INJECTION.text_pattern)),
-        F.transform(
-            tainted_calls(text),
-            lambda call: F.struct(
-                call["line"].alias("line"), tx.shorten(call["snippet"]).alias("match")
-            ),
-        ),
-    ).otherwise(empty)
+    """``array<struct<line, match>>`` of the tainted calls."""
+    return F.transform(
+        tainted_calls(text),
+        lambda call: F.struct(call["line"].alias("line"), tx.shorten(call["snippet"]).alias("match")),
+    )
 
 
 def tainted_vars_table(texts: DataFrame) -> DataFrame:
