@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.paths import basename
 from riskloom.model import Profile, profile_of
+from riskloom.operators.skew import join_unique
 from riskloom.session import materialize
 
 # Names that are entry points, not orphans (span profile).
@@ -14,6 +15,8 @@ ENTRY_NAMES = ("index.php", "main.php", "app.php", "bootstrap.php")
 
 # Up to this many edges (counted) a trimming join is broadcast.
 BROADCAST_EDGES = 500_000
+# Above this many trimmed edges the search is narrowed to connected parts first.
+CUT_EDGES = 10_000
 
 
 def in_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -75,7 +78,7 @@ def trim_acyclic(edges: DataFrame, max_rounds: int = 20) -> DataFrame:
     Each round is materialized.  Stopping early only leaves more edges to the
     search, never a different result.
     """
-    core = materialize(edges)
+    core = materialize(edges.select("src", "dst"))
     size = core.count()
     for _ in range(max_rounds):
         if size == 0:
@@ -83,16 +86,79 @@ def trim_acyclic(edges: DataFrame, max_rounds: int = 20) -> DataFrame:
         starts = core.select(F.col("src").alias("dst")).distinct()
         ends = core.select(F.col("dst").alias("src")).distinct()
         if size <= BROADCAST_EDGES:
-            starts, ends = F.broadcast(starts), F.broadcast(ends)
-        kept = materialize(core.join(starts, "dst", "left_semi").join(ends, "src", "left_semi"))
+            kept = core.join(F.broadcast(starts), "dst", "left_semi").join(
+                F.broadcast(ends), "src", "left_semi"
+            )
+        else:
+            kept = materialize(join_unique(core, starts, "dst", "left_semi"))
+            kept = join_unique(kept, ends, "src", "left_semi")
+        kept = materialize(kept.select("src", "dst"))
         remaining = kept.count()
         core, shrunk, size = kept, remaining < size, remaining
         if not shrunk:
             break
-    return core.select("src", "dst")
+    return core
 
 
-def include_cycles(edges: DataFrame, max_length: int | None = None) -> DataFrame:
+def _least_reaching(edges: DataFrame) -> DataFrame:
+    """``(node, label)``: the smallest node from which each node can be reached.
+
+    Labels are passed along edges until none changes.  Every round combines
+    labels on the map side, so a popular target costs no more than others.
+    """
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node"))
+    labels = materialize(ends.groupBy("node").agg(F.min("node").alias("label")))
+    while True:
+        source = labels.select(F.col("node").alias("src"), "label")
+        passed = join_unique(edges, source, "src").select(F.col("dst").alias("node"), "label")
+        own = labels.select("node", "label", F.col("label").alias("old"))
+        arrived = passed.select("node", "label", F.lit(None).cast("string").alias("old"))
+        merged = materialize(
+            own.unionAll(arrived).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
+        )
+        labels = merged.select("node", "label")
+        if merged.filter("label <> old").isEmpty():
+            return labels
+
+
+def cut_between_components(edges: DataFrame, max_rounds: int = 10) -> DataFrame:
+    """Drop edges whose ends cannot both lie on one cycle.
+
+    Nodes of a strongly connected part are reached from the same nodes, so ends
+    with different labels belong to different parts.  Labels alternate between
+    the graph and its reverse until no edge is cut.  Like trimming, this only
+    narrows the search.
+    """
+    core = edges
+    size = core.count()
+    untouched = 0
+    for n in range(max_rounds):
+        if size == 0 or untouched == 2:
+            break
+        turned = core if n % 2 == 0 else core.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        labels = _least_reaching(turned)
+        at_src = labels.select(F.col("node").alias("src"), F.col("label").alias("src_label"))
+        at_dst = labels.select(F.col("node").alias("dst"), F.col("label").alias("dst_label"))
+        labelled = materialize(join_unique(core, at_src, "src"))
+        same = join_unique(labelled, at_dst, "dst").filter("src_label = dst_label")
+        core = materialize(same.select("src", "dst"))
+        remaining = core.count()
+        untouched = untouched + 1 if remaining == size else 0
+        size = remaining
+    return core
+
+
+def cycle_core(edges: DataFrame, cut_above: int = CUT_EDGES) -> DataFrame:
+    """Edges left for the cycle search."""
+    core = trim_acyclic(edges)
+    if core.count() <= cut_above:
+        return core
+    return trim_acyclic(cut_between_components(core))
+
+
+def include_cycles(
+    edges: DataFrame, max_length: int | None = None, cut_above: int = CUT_EDGES
+) -> DataFrame:
     """``(length, cycle)``: all simple cycles, each rotated to its smallest node.
 
     A recursive query grows paths from every possible smallest node over larger
@@ -118,5 +184,5 @@ def include_cycles(edges: DataFrame, max_length: int | None = None) -> DataFrame
         )
         SELECT size(path) AS length, path AS cycle FROM paths WHERE closed
         """,
-        core=trim_acyclic(edges),
+        core=cycle_core(edges, cut_above),
     )

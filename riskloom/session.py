@@ -53,9 +53,11 @@ def run_dir(spark: SparkSession, label: str) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint, so a lost executor costs no rescan."""
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    """Write an intermediate table to the shared folder and read it back.
+
+    This cuts lineage, so a lost executor costs no rescan of the sources.  As a
+    columnar table it is pruned on reading and its size is known to the planner.
+    """
+    folder = run_dir(df.sparkSession, "table")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -100,6 +100,18 @@ def test_cycles_against_brute_force(spark, seed):
     assert sorted(list(r.cycle) for r in short) == sorted(c for c in simple_cycles(pairs) if len(c) <= 2)
 
 
+def test_cutting_keeps_all_cycles(spark):
+    rng = random.Random(11)
+    # Rings joined by one-way bridges.
+    pairs = {(f"r{r}n{i}", f"r{r}n{(i + 1) % 4}") for r in range(5) for i in range(4)}
+    pairs |= {(f"r{a}n{rng.randrange(4)}", f"r{b}n{rng.randrange(4)}") for a in range(5) for b in range(a)}
+    df = spark.createDataFrame(sorted(pairs), "src string, dst string")
+    core = graph.cut_between_components(df)
+    assert sorted(map(tuple, core.collect())) == sorted(p for p in pairs if p[0][:2] == p[1][:2])
+    got = sorted((list(r.cycle) for r in graph.include_cycles(df, cut_above=0).collect()), key=lambda c: (len(c), c))
+    assert got == simple_cycles(pairs)
+
+
 def test_no_cycle_in_a_chain(spark):
     chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(8)], "src string, dst string")
     assert graph.include_cycles(chain).collect() == []
