@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.paths import basename, is_custom, parent
-from riskloom.model import Profile, profile_of, severity_weight, weight_of
+from riskloom.model import Profile, profile_of, weight_of
 from riskloom.operators.scan import custom_files
 
 # Line profile, in order of precedence.
@@ -84,7 +84,7 @@ def all_reasons(name: Column, wordpress: Column) -> Column:
     )
 
 
-def name_rules(name: Column) -> Column:
+def name_rules(name: Column, rules=BLOCK_NAME_RULES) -> Column:
     """Array of (rule, severity, match), one entry per matching rule (block profile)."""
     return F.array_compact(
         F.array(
@@ -97,7 +97,7 @@ def name_rules(name: Column) -> Column:
                         F.lit(f"Filename matches pattern: {pattern}").alias("match"),
                     ),
                 )
-                for rule, severity, pattern in BLOCK_NAME_RULES
+                for rule, severity, pattern in rules
             ]
         )
     )
@@ -167,18 +167,20 @@ def scan_names(
             )
         )
     else:
-        hits = custom_files(listing, prof).select("path", F.inline(name_rules(name)))
-        wp_config = F.col("rule") == "deadfile_misplaced_wp_config"
-        # Only the few wp-config hits take part in the join.
-        outside = (
-            hits.filter(wp_config)
-            .withColumn("dir", parent(F.col("path")))
-            .join(wordpress_dirs(listing), "dir", "left_anti")
-            .drop("dir")
-        )
-        found = hits.filter(~wp_config).unionByName(outside)
-        if floor is not None:
-            found = found.filter(severity_weight(F.col("severity")) >= weight_of(floor))
+        # Rules below the floor are left out; they all have one severity.
+        kept = [r for r in BLOCK_NAME_RULES if floor is None or weight_of(r[1]) >= weight_of(floor)]
+        plain = [r for r in kept if r[0] != "misplaced_wp_config"]
+        placed = [r for r in kept if r[0] == "misplaced_wp_config"]
+        custom = custom_files(listing, prof)
+        parts = [custom.select("path", F.inline(name_rules(name, plain)))] if plain else []
+        if placed:
+            # Only the few wp-config files take part in the join.
+            config = custom.filter(F.rlike(name, F.lit(f"(?i)^(?:{placed[0][2]})")))
+            outside = config.withColumn("dir", parent(F.col("path"))).join(
+                wordpress_dirs(listing), "dir", "left_anti"
+            )
+            parts.append(outside.select("path", F.inline(name_rules(name, placed))))
+        found = reduce(DataFrame.unionByName, parts)
     return _shape(found, prof)
 
 

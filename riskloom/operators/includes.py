@@ -126,6 +126,9 @@ def resolve_includes(
     """
     placed = candidates(includes, profile, root)
     found = join_unique(placed, existing_paths(listing, profile), "path", min_rows=heavy_min_rows)
+    if profile_of(profile).name == "block":
+        # One place per include: nothing to choose from.
+        return found.select("src", "raw", F.col("path").alias("dst"), "is_node")
     return (
         found.groupBy("src", "raw")
         .agg(F.min_by(F.struct("path", "is_node"), "prio").alias("first"))

@@ -55,16 +55,37 @@ def numbered_lines(texts: DataFrame) -> DataFrame:
 
 
 def scan_lines(texts: DataFrame, rules: Iterable[RuleSpec]) -> DataFrame:
-    return scan_line_rows(numbered_lines(texts), rules)
+    """One finding per (rule, line); the match is the stripped line.
+
+    Each text is lower-cased once as a whole and split alongside, which keeps
+    its lines aligned; as a generated column it is not computed again by the
+    filter.
+    """
+    lines = (
+        texts.select(
+            "path",
+            tx.split_lines(F.col("text")).alias("line"),
+            tx.split_lines(F.lower("text")).alias("low"),
+            is_exotic(F.col("text")).alias("exotic"),
+        )
+        .select("path", "exotic", F.posexplode(F.arrays_zip("line", "low")).alias("pos", "both"))
+        .select("path", (F.col("pos") + 1).alias("line_no"), "both.line", "both.low", "exotic")
+    )
+    return _scan_prepared(lines, tuple(rules))
 
 
 def scan_line_rows(lines: DataFrame, rules: Iterable[RuleSpec]) -> DataFrame:
-    """One finding per (rule, line); the match is the stripped line."""
-    rules = tuple(rules)
-    line, low, exotic = F.col("line"), F.col("low"), F.col("exotic")
-    lines = lines.select(
+    """``scan_lines`` for rows ``(path, line_no, line)`` that are lines already."""
+    line = F.col("line")
+    prepared = lines.select(
         "path", "line_no", "line", F.lower(line).alias("low"), is_exotic(line).alias("exotic")
-    ).filter(reduce(lambda a, b: a | b, [r.possible(low, exotic) for r in rules]))
+    )
+    return _scan_prepared(prepared, tuple(rules))
+
+
+def _scan_prepared(lines: DataFrame, rules: tuple[RuleSpec, ...]) -> DataFrame:
+    line, low, exotic = F.col("line"), F.col("low"), F.col("exotic")
+    lines = lines.filter(reduce(lambda a, b: a | b, [r.possible(low, exotic) for r in rules]))
     hits = F.array_compact(
         F.array(*[F.when(r.possible(low, exotic) & r.hits(line), _tag(r)) for r in rules])
     )

@@ -43,9 +43,11 @@ def union_findings(*parts: DataFrame) -> DataFrame:
 
 def severity_table(findings: DataFrame) -> DataFrame:
     """``(severity, weight)``: the five levels."""
-    return findings.sparkSession.createDataFrame(
-        list(SEVERITIES.items()), "severity string, weight int"
-    )
+    levels = [
+        F.struct(F.lit(name).alias("severity"), F.lit(weight).alias("weight"))
+        for name, weight in SEVERITIES.items()
+    ]
+    return findings.sparkSession.range(1).select(F.inline(F.array(*levels)))
 
 
 def count_by_severity(findings: DataFrame, scanners: tuple[str, ...] | None = None) -> DataFrame:
@@ -114,6 +116,7 @@ def first_ranked(df: DataFrame, keys: list, n: int, total: str = "total") -> Dat
     """The first ``n`` rows with a 1-based ``rank`` and the overall row count.
 
     Only the n rows that survive the distributed top-n are ranked in one place.
+    ``df`` is read twice and should be materialized.
     """
     top = df.orderBy(*keys).limit(n)
     counted = df.agg(F.count("*").alias("n")).scalar()

@@ -830,11 +830,11 @@ def _graph_rows(profile: str) -> str:
     if profile == "block":
         return _union(
             _rows(6, "'## Dependency Analysis Scanner' || chr(10)"),
-            _fixed(
+            _fixed(6, "- **Top 5 Hubs (most included files):**", ""),
+            _rows(
                 6,
-                "- **Top 5 Hubs (most included files):**",
-                "- **Orphan Files (not included by any other file):**",
-                "",
+                "'- **Orphan Files (not included by any other file):**'",
+                "FROM orphans HAVING count(*) > 0",
             ),
             _rows(6, "'- **Graph:** ' || nodes || ' nodes, ' || edges || ' edges'", "FROM sizes"),
             _rows(6, "'- **Cycles Detected:** ' || cycles", "FROM sizes WHERE cycles > 0"),
@@ -844,11 +844,13 @@ def _graph_rows(profile: str) -> str:
     return _union(
         _fixed(6, "## Dependency Analysis", ""),
         _fixed(6, "", "### Top Included Files (Hubs)", "", "| File | In-degree |", "|------|-----------|"),
-        _fixed(6, "", "", "", "", ""),
+        _fixed(6, ""),
+        *[_rows(6, "''", "FROM sizes WHERE cycles > 0") for _ in range(2)],
+        *[_rows(6, "''", "FROM orphans HAVING count(*) > 0") for _ in range(2)],
         _rows(6, "'- **Nodes (files):** ' || nodes", "FROM sizes"),
         _rows(6, "'- **Edges (include relationships):** ' || edges", "FROM sizes"),
         _rows(6, "'| `' || node || '` | ' || in_degree || ' |'", "FROM hubs"),
-        _rows(6, "'### Circular Dependencies (' || cycles || ' detected)'", "FROM sizes"),
+        _rows(6, "'### Circular Dependencies (' || cycles || ' detected)'", "FROM sizes WHERE cycles > 0"),
         _rows(
             6,
             "rank || '. `' || replace(cycle, '|', '` ' || chr(8594) || ' `') || '`'",
@@ -858,7 +860,7 @@ def _graph_rows(profile: str) -> str:
         _rows(
             6,
             "'### Orphaned Files (' || count(*) || ' files with no incoming includes)'",
-            "FROM orphans",
+            "FROM orphans HAVING count(*) > 0",
         ),
         _rows(6, "'- `' || node || '`'", "FROM (SELECT node FROM orphans ORDER BY node LIMIT 20) o"),
         _rows(6, "'- _...and ' || (count(*) - 20) || ' more_'", "FROM orphans HAVING count(*) > 20"),

@@ -499,7 +499,7 @@ def _(spark, sf_dir, profile):
 
 @query("limit_with_remainder_orphans")
 def _(spark, sf_dir):
-    orphans = graph.orphan_files(*_graph(spark, sf_dir, "line"), "line")
+    orphans = materialize(graph.orphan_files(*_graph(spark, sf_dir, "line"), "line"))
     ranked = summary.first_ranked(orphans, ["node"], 20)
     more = F.greatest(F.col("total") - 20, F.lit(0)).cast("long")
     return ranked.select("rank", "node", "total", more.alias("more"))
@@ -507,7 +507,7 @@ def _(spark, sf_dir):
 
 @query("limit_with_remainder_cycles")
 def _(spark, sf_dir):
-    cycles = graph.include_cycles(_graph(spark, sf_dir, "span")[1])
+    cycles = materialize(graph.include_cycles(_graph(spark, sf_dir, "span")[1]))
     shown = cycles.select("length", F.array_join("cycle", "|").alias("cycle"))
     return summary.first_ranked(shown, ["length", "cycle"], 10)
 
@@ -572,9 +572,9 @@ def _graph_tables(spark, sf_dir, profile):
     edges = materialize(edges)
     return (
         graph.graph_stats(nodes, edges),
-        graph.top_hubs(nodes, edges),
-        graph.orphan_files(nodes, edges, profile),
-        graph.include_cycles(edges),
+        materialize(graph.top_hubs(nodes, edges)),
+        materialize(graph.orphan_files(nodes, edges, profile)),
+        materialize(graph.include_cycles(edges)),
     )
 
 
