@@ -16,6 +16,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from riskloom.operators import deadfiles, graph, includes, scan, summary  # noqa: E402
+from riskloom.operators.rules import SPAN_SQL_INJECTION  # noqa: E402
 from riskloom.session import build_session, materialize  # noqa: E402
 from riskloom.workload.corpus import source_files  # noqa: E402
 
@@ -55,7 +56,7 @@ def main() -> None:
     for profile in ("line", "span", "block"):
         run(f"scan_content_{profile}", lambda p=profile: scan.scan_content(files, p))
     texts = scan.decoded(scan.custom_files(files, "span"), "span")
-    run("taint_scan", lambda: texts.select("path", _taint()))
+    run("taint_scan", lambda: scan.run_rules(texts, [SPAN_SQL_INJECTION], "span"))
     run("dead_files", lambda: deadfiles.scan_names(listing, "block"))
     run("severity_summary", lambda: summary.count_by_severity(scan.scan_content(files, "line", "HIGH")))
     run("sorted_findings", lambda: summary.sort_findings(scan.scan_content(files, "line"), "line"))
@@ -84,14 +85,6 @@ def main() -> None:
     )
 
 
-def _taint():
-    from pyspark.sql import functions as F
-
-    from riskloom.operators import taint
-
-    return F.inline(taint.sql_injection(F.col("text")))
-
-
 def _leaks(spark):
     from pyspark.sql import functions as F
 

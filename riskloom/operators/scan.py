@@ -115,12 +115,18 @@ def scan_texts(texts: DataFrame, rules: Iterable[RuleSpec], profile: str | Profi
     per_rule = [
         F.when(
             rule.possible(low, exotic) & _has_hit(text, rule),
-            _findings(_rule_hits(text, rule, show), rule),
+            _findings(_rule_hits(text, rule), rule),
         ).otherwise(F.array().cast(_FINDINGS))
         for rule in rules
     ]
+    # Matches are put in shape after they have become rows, in compiled code.
     return prepared.select("path", F.inline(F.concat(*per_rule))).select(
-        "scanner", F.col("path").alias("file"), "line", "rule", "severity", "match"
+        "scanner",
+        F.col("path").alias("file"),
+        "line",
+        "rule",
+        "severity",
+        show(F.col("match")).alias("match"),
     )
 
 
@@ -144,25 +150,25 @@ def _has_hit(text: Column, rule: RuleSpec) -> Column:
     return F.rlike(text, F.lit(rule.text_pattern))
 
 
-def _rule_hits(text: Column, rule: RuleSpec, show) -> Column:
+def _rule_hits(text: Column, rule: RuleSpec) -> Column:
     if rule is SPAN_SQL_INJECTION:
         return taint.sql_injection(text)
     if rule is BLOCK_SQL_INJECTION:
         return _first_call_to_last_request(text)
-    return _matches(text, rule.text_pattern, show)
+    return _matches(text, rule.text_pattern)
 
 
-def _matches(text: Column, pattern: str, show) -> Column:
+def _matches(text: Column, pattern: str) -> Column:
     return F.zip_with(
         tx.match_lines(text, pattern),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-        lambda line, match: F.struct(line.alias("line"), show(match).alias("match")),
+        lambda line, match: F.struct(line.alias("line"), match.alias("match")),
     )
 
 
-def pattern_hits(text: Column, pattern: str, show=lambda match: match) -> Column:
+def pattern_hits(text: Column, pattern: str) -> Column:
     """``array<struct<line, match>>`` of all matches; no work for texts without one."""
-    return F.when(F.rlike(text, F.lit(pattern)), _matches(text, pattern, show)).otherwise(
+    return F.when(F.rlike(text, F.lit(pattern)), _matches(text, pattern)).otherwise(
         F.array().cast(_HITS)
     )
 
@@ -178,9 +184,7 @@ def _first_call_to_last_request(text: Column) -> Column:
     return F.when(
         F.contains(text, F.lit("$_")) & (match != ""),
         F.array(
-            F.struct(
-                tx.line_of_tail(text, tail).alias("line"), tx.strip(match).alias("match")
-            )
+            F.struct(tx.line_of_tail(text, tail).alias("line"), match.alias("match"))
         ),
     ).otherwise(F.array().cast(_HITS))
 

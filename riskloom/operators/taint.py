@@ -98,7 +98,7 @@ def sql_injection(text: Column) -> Column:
     """``array<struct<line, match>>`` of the tainted calls."""
     return F.transform(
         tainted_calls(text),
-        lambda call: F.struct(call["line"].alias("line"), tx.shorten(call["snippet"]).alias("match")),
+        lambda call: F.struct(call["line"].alias("line"), call["snippet"].alias("match")),
     )
 
 

@@ -289,13 +289,14 @@ def source_files(spark: SparkSession, sf_dir: str, as_of: str | None = None) ->
     """The derived tree as a table, written once per application to the shared
     folder, so that queries scan stored files as they would in a real run."""
     key = (spark.sparkContext.applicationId, sf_dir, as_of)
+    stored = spark.read.schema("path string, content string")
     if key in _TABLES:
         try:
-            return spark.read.parquet(_TABLES[key])
+            return stored.parquet(_TABLES[key])
         except AnalysisException:
             # Somebody cleared the folder; write it again.
             del _TABLES[key]
     folder = run_dir(spark, "source-files")
     derive_files(spark, sf_dir, as_of).write.parquet(folder)
     _TABLES[key] = folder
-    return spark.read.parquet(folder)
+    return stored.parquet(folder)

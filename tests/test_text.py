@@ -97,7 +97,7 @@ def test_block_match_equals_one_greedy_pattern(spark):
     whole = re.compile(r"(?:query|execute)\s*\(.*\$_(?:GET|POST|REQUEST)\[", re.I | re.S)
     got = evaluate(spark, texts, scan._first_call_to_last_request)
     want = [
-        [(t.count("\n", 0, m.start()) + 1, m.group(0).strip()) for m in whole.finditer(t)] for t in texts
+        [(t.count("\n", 0, m.start()) + 1, m.group(0)) for m in whole.finditer(t)] for t in texts
     ]
     assert [[(h.line, h.match) for h in hits] for hits in got] == want
 
