@@ -8,10 +8,11 @@ import pytest
 
 import __spark_entry__ as entry
 from check import rows_of
+from riskloom.workload.oracle import build
+from riskloom.workload.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+ORACLES = build()
 
 
 @pytest.fixture(scope="module")
@@ -25,6 +26,7 @@ def con():
 
 def test_every_query_has_a_check():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
