@@ -50,6 +50,7 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     if count < 1:
         return np.zeros(0, dtype=np.uint64)
     out = words[:count].copy()
+    step = np.uint64(0x9E3779B97F4A7C15)
     for k in range(1, n):
-        out = mix64(out + np.uint64(0x9E3779B97F4A7C15) * np.uint64(k)) ^ words[k : k + count]
+        out = mix64(out * step + np.uint64(k)) ^ words[k : k + count]
     return mix64(out)

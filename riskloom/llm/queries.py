@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bitplanes, language, packing, quality, toxicity
+from riskloom.llm import bitplanes, language, linededup, neardup, packing, quality, toxicity
 from riskloom.llm.common import in_fold, table
 from riskloom.session import run_dir
 
@@ -78,3 +78,88 @@ def op6_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("found.score").alias("score"),
         F.size("found.spans").alias("n_spans"),
     )
+
+
+@query
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents with at least 85 % of their word trigrams in common."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op4_near_duplicates"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(
+    regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')) END) AS s
+  FROM words WHERE len(w) > 0
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+  FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+  WHERE 100 * c >= 85 * (p.n + q.n - c)
+), both_ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM sizes
+  UNION SELECT reach.doc_id, both_ways.b FROM reach JOIN both_ways ON reach.other = both_ways.a
+), lowest AS (
+  SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles,
+  coalesce(l.component_id, d.doc_id) AS component_id, coalesce(l.component_id, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN lowest l ON l.doc_id = d.doc_id
+"""
+
+
+@query
+def op3_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without later copies of line runs of 50 words or more."""
+    found = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "lines_before", "lines_deleted", "words_deleted", F.md5(F.col("text").cast("binary")).alias("text_md5")
+    )
+
+
+ORACLES["op3_line_runs"] = r"""
+WITH raw AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents
+), pieces AS (
+  SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS place FROM raw
+), lines AS (
+  SELECT doc_id, place, trim(line) AS line, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS pos,
+    length(trim(line)) - length(replace(trim(line), ' ', '')) + 1 AS words
+  FROM pieces WHERE trim(line) <> ''
+), totals AS (
+  SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) AS until FROM lines
+), texts AS (
+  SELECT doc_id, list(line ORDER BY pos) AS arr FROM lines GROUP BY doc_id
+), stretches AS (
+  SELECT DISTINCT x.doc_id, x.pos AS first_pos, y.pos AS last_pos
+  FROM totals x JOIN totals y ON x.doc_id = y.doc_id AND y.pos >= x.pos
+  WHERE y.until - (x.until - x.words) >= 50
+    AND (y.until - y.words - (x.until - x.words) < 50 OR y.until - x.until < 50)
+), keyed AS (
+  SELECT s.*, row_number() OVER (
+    PARTITION BY array_to_string(arr[first_pos:last_pos], chr(10)) ORDER BY s.doc_id, first_pos) AS copy
+  FROM stretches s JOIN texts t ON t.doc_id = s.doc_id
+), gone AS (
+  SELECT DISTINCT k.doc_id, l.place FROM keyed k
+  JOIN lines l ON l.doc_id = k.doc_id AND l.pos BETWEEN first_pos AND last_pos WHERE copy > 1
+), rebuilt AS (
+  SELECT p.doc_id, count(g.place) AS n,
+    coalesce(string_agg(p.line, chr(10) ORDER BY p.place) FILTER (WHERE g.place IS NULL), '') AS text
+  FROM pieces p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.place = p.place GROUP BY p.doc_id
+)
+SELECT raw.doc_id, CAST(len(ls) AS INTEGER) AS lines_before, CAST(n AS INTEGER) AS lines_deleted,
+  CAST(len(list_filter(regexp_split_to_array(raw.text, '\s+'), lambda x: x <> ''))
+    - len(list_filter(regexp_split_to_array(rebuilt.text, '\s+'), lambda x: x <> '')) AS INTEGER) AS words_deleted,
+  md5(rebuilt.text) AS text_md5
+FROM raw JOIN rebuilt ON raw.doc_id = rebuilt.doc_id
+"""
