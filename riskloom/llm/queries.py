@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bitplanes, language, linededup, neardup, packing, quality, toxicity
+from riskloom.llm import bitplanes, decontaminate, language, linededup, neardup, packing, quality, toxicity, warc
 from riskloom.llm.common import in_fold, table
 from riskloom.session import run_dir
 
@@ -163,3 +163,31 @@ SELECT raw.doc_id, CAST(len(ls) AS INTEGER) AS lines_before, CAST(n AS INTEGER)
   md5(rebuilt.text) AS text_md5
 FROM raw JOIN rebuilt ON raw.doc_id = rebuilt.doc_id
 """
+
+
+@query
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of benchmark items in all documents, edited ones too."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all pages as archives, merge their index runs, read every record back by the index."""
+    folder = run_dir(spark, "archives")
+    index = warc.merge_runs(warc.write_archives(table(spark, sf_dir, "pages"), folder))
+    return warc.read_archives(index, folder).drop("slice", "position")
+
+
+# Places in the merged index are left out: slices depend on sampled range bounds.
+ORACLES["op2_warc_index"] = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, sha256(coalesce(html, '')) AS digest, octet_length(encode(coalesce(html, ''))) AS n FROM pages
+), f AS (
+  SELECT digest, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY digest
+)
+SELECT page_id, n AS payload_bytes, p.digest AS payload_digest,
+  CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first THEN first END AS refers_to
+FROM p LEFT JOIN f ON f.digest = p.digest
+"""
