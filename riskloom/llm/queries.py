@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bitplanes, decontaminate, language, linededup, neardup, packing, quality, toxicity, warc
+from riskloom.llm import bitplanes, decontaminate, language, linededup, neardup, neighbours, packing, quality, toxicity, warc
 from riskloom.llm.common import in_fold, table
 from riskloom.session import run_dir
 
@@ -191,3 +191,9 @@ SELECT page_id, n AS payload_bytes, p.digest AS payload_digest,
   CASE WHEN page_id > first THEN first END AS refers_to
 FROM p LEFT JOIN f ON f.digest = p.digest
 """
+
+
+@query
+def op9_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest inner products for each twentieth vector, against all others."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
