@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import WordHashes, ngram_hashes
@@ -109,21 +109,31 @@ def _occurrences(docs: DataFrame, n: int, wanted: np.ndarray | None) -> DataFram
     return docs.select("doc", "text").mapInArrow(of, "doc long, spot long, seed long")
 
 
-def contaminated(
-    docs: DataFrame,
-    items: DataFrame,
-    min_score: float = MIN_SCORE,
-    n: int = SEED_WORDS,
-) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE, n: int = SEED_WORDS) -> DataFrame:
     """``doc_id, item_id, score, start_word, end_word``: the best copy of each item in each document, from ``min_score`` on.
 
     ``docs(doc_id long, text)``, ``items(item_id, text)``.  Score: alignment score over that of the item with itself.
-    Items of fewer than ``n`` words have no seed and are never found.  Null texts are empty.  Rows that repeat in id and
-    text, or null ids, give their result once for each id.  Other columns are not looked at.
+    Items of fewer than ``n`` words have no seed and are never found.  Null texts are empty; null items are left out.
+    Rows that repeat in id and text give one result.  No rows on a side give no rows.  Other columns are not looked at.
     """
+    return _copies(docs, items, min_score, n).drop("doc")
+
+
+def without_copies(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE, n: int = SEED_WORDS) -> DataFrame:
+    """The rows of ``docs``, null ids too, whose text holds no copy of an item; all columns."""
+    gone = materialize(_copies(docs, items, min_score, n).select(F.col("doc").alias("__doc")).distinct())
+    return docs.join(gone, _doc_key() == gone["__doc"], "left_anti")
+
+
+def _doc_key() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+
+
+def _copies(docs: DataFrame, items: DataFrame, min_score: float, n: int) -> DataFrame:
+    """As ``contaminated``, with the key ``doc`` of an id and its text."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).filter("item_id IS NOT NULL").distinct()
     keyed = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("doc"), "text"
+        F.col("doc_id").cast("long").alias("doc_id"), _doc_key().alias("doc"), "text"
     )
     seeds = materialize(_seeds(items, n))
     distinct = seeds.select("seed").distinct()
@@ -148,9 +158,10 @@ def contaminated(
     windows = _windows(keyed.join(materialize(per_doc), "doc"))
     found = _aligned(windows.join(materialize(_item_words(items)), "item_id"), min_score)
     return (
-        found.groupBy("doc_id", "item_id")
+        found.groupBy("doc", "doc_id", "item_id")
         .agg(F.max(F.struct("score", (-F.col("start_word")).alias("early"), "end_word")).alias("best"))
         .select(
+            "doc",
             "doc_id",
             "item_id",
             F.col("best.score").alias("score"),
@@ -170,7 +181,7 @@ def _item_words(items: DataFrame) -> DataFrame:
 
 
 def _windows(texts: DataFrame) -> DataFrame:
-    """``doc_id, item_id, offset, passage``: the words of ``texts`` around each start, as hashes, with room for edits."""
+    """``doc, doc_id, item_id, offset, passage``: the words of ``texts`` around each start, as hashes, with room for edits."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -182,38 +193,38 @@ def _windows(texts: DataFrame) -> DataFrame:
                     for p in r["places"]:
                         room = p["words"] // 3 + 8
                         lo = max(0, p["at"] - room)
-                        rows.append((r["doc_id"], p["item_id"], lo, words[lo : p["at"] + p["words"] + room]))
+                        rows.append((r["doc"], r["doc_id"], p["item_id"], lo, words[lo : p["at"] + p["words"] + room]))
                 if rows:
                     columns = zip(*rows, strict=True)
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                        names=["doc_id", "item_id", "offset", "passage"],
+                        names=["doc", "doc_id", "item_id", "offset", "passage"],
                     )
 
-    return texts.select("doc_id", "text", "places").mapInArrow(
-        of, "doc_id long, item_id long, `offset` long, passage array<long>"
+    return texts.select("doc", "doc_id", "text", "places").mapInArrow(
+        of, "doc long, doc_id long, item_id long, `offset` long, passage array<long>"
     )
 
 
 def _aligned(passages: DataFrame, min_score: float) -> DataFrame:
-    """``doc_id, item_id, score, start_word, end_word`` of passages that reach the score."""
+    """``doc, doc_id, item_id, score, start_word, end_word`` of passages that reach the score."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for key, item_id, offset, passage, item in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, key, item_id, offset, passage, item in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 points, start, end = align(np.array(passage), np.array(item))
                 score = points / (MATCH * len(item))
                 if score >= min_score:
-                    rows.append((key, item_id, score, offset + start, offset + end))
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-            columns = [*zip(*rows, strict=True)] or [()] * 5
+                    rows.append((doc, key, item_id, score, offset + start, offset + end))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+            columns = [*zip(*rows, strict=True)] or [()] * 6
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                names=["doc_id", "item_id", "score", "start_word", "end_word"],
+                names=["doc", "doc_id", "item_id", "score", "start_word", "end_word"],
             )
 
-    return passages.select("doc_id", "item_id", "offset", "passage", "item").mapInArrow(
-        of, "doc_id long, item_id long, score double, start_word long, end_word long"
+    return passages.select("doc", "doc_id", "item_id", "offset", "passage", "item").mapInArrow(
+        of, "doc long, doc_id long, item_id long, score double, start_word long, end_word long"
     )

@@ -132,10 +132,12 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return covered.join(active.select("doc", "tie", "pos", "at"), ["doc", "tie", "pos"]).select("doc", "tie", "at")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, prefix: str = ""
+) -> DataFrame:
     """All columns of ``docs`` with later copies of repeated runs cut from the text, and three counts.
 
-    Added: ``lines_before``, ``lines_deleted``, ``words_deleted`` (replacing columns of these names).  Copies are later
+    Added: ``lines_before``, ``lines_deleted``, ``words_deleted``, after ``prefix``, replacing columns of these names.  Copies are later
     in the order of ids (null first; equal ids by a hash of their texts); rows equal in id and text count as one
     document and are treated alike.  Lines are compared without spaces around them; blank lines are neither compared
     nor deleted.  A null text stays null, an empty one empty.  No rows give no rows.
@@ -161,7 +163,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             ).alias(mask_at),
         )
     )
-    added = ["lines_before", "lines_deleted", "words_deleted"]
+    added = [prefix + name for name in ("lines_before", "lines_deleted", "words_deleted")]
     columns = [c for c in docs.columns if c not in added]
     joined = docs.select(*columns).join(
         touched, (keys[0] == F.col("__doc")) & (keys[1] == F.col("__tie")), "left"
@@ -176,7 +178,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cut = joined.withColumn("__new", new)
     return cut.select(
         *[F.col("__new").alias(c) if c == text_col else F.col(c) for c in columns],
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).alias("lines_before"),
-        F.size(F.filter(F.coalesce(F.col(mask_at), F.array(F.lit(False))), lambda x: x)).alias("lines_deleted"),
-        F.when(F.col(mask_at).isNull(), 0).otherwise(words(F.col(text_col)) - words(F.col("__new"))).alias("words_deleted"),
+        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).alias(added[0]),
+        F.size(F.filter(F.coalesce(F.col(mask_at), F.array(F.lit(False))), lambda x: x)).alias(added[1]),
+        F.when(F.col(mask_at).isNull(), 0).otherwise(words(F.col(text_col)) - words(F.col("__new"))).alias(added[2]),
     )

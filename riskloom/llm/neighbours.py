@@ -24,16 +24,16 @@ from riskloom.session import materialize
 
 #: Vectors, at most about, that the tables' directions are fitted on.
 SAMPLE_ROWS = 8_000
-TABLES = 14
+TABLES = 16
 #: Nodes that are compared with each other in one group of a table.
 LEAF = 2_000
-DEGREE = 24
+DEGREE = 32
 #: Links from others that a node takes into a comparison.
-REVERSE = 24
-ROUNDS = 3
+REVERSE = 32
+ROUNDS = 5
 #: Rounds end when fewer than this share of links changes.
-SETTLED = 0.01
-BEAM = 40
+SETTLED = 0.02
+BEAM = 80
 #: Walks end by themselves; this only ends a program error.
 MAX_STEPS = 200
 
