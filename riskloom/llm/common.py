@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,3 +57,26 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     for k in range(1, n):
         out = mix64(out * step + np.uint64(k)) ^ words[k : k + count]
     return mix64(out)
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str], most: int | None = None) -> Iterator[pa.Table]:
+    """Rows of sorted batches by key; a group of more than ``most`` rows comes in parts."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        cuts = np.zeros(batch.num_rows, dtype=bool)
+        for c in columns:
+            cuts[1:] |= c[1:] != c[:-1]
+        edges = [0, *np.flatnonzero(cuts).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:], strict=False):
+            key = tuple(c[a] for c in columns)
+            if held and (key != last or (most and sum(h.num_rows for h in held) + b - a > most)):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)

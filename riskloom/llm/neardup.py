@@ -7,9 +7,9 @@ filled, and two sets agree in a coordinate with the probability of their similar
 Documents with equal sets form one class, whose smallest id stands for it.  Classes that share a band (a run of
 coordinates) meet in a bucket.  A bucket's pairs are not all made: its smallest member, the leader, is compared with
 all others on full sets, for all buckets at once.  Links join members to components; what is left of a bucket are
-pairs across components that the distances to the leader don't rule out (the Jaccard distance is a metric), and only
-these are verified, in further leader rounds while a bucket is large and then one by one.  So work is close to linear
-in the members of a group of copies, and no link between members of a bucket is lost.
+pairs across components.  Those that sizes, the distances to the leader (the Jaccard distance is a metric) or one bit
+of each coordinate rule out are passed over, and the others are verified block by block inside tasks.  A group of
+copies takes work in proportion to its members; only members just short of linked are compared with each other.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import WordHashes, mix64, ngram_hashes
+from riskloom.llm.common import WordHashes, groups, mix64, ngram_hashes
 from riskloom.llm.components import components
 from riskloom.session import materialize
 
@@ -30,14 +30,21 @@ SHINGLE_WORDS = 3
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
 BANDS, ROWS = 32, 6
-#: Buckets with more open pairs than this get another leader, up to ``LEADER_ROUNDS``; then all open pairs are made.
+#: Buckets with more open pairs than this get another leader, up to ``LEADER_ROUNDS``; then blocks are compared.
 OPEN_PAIRS = 2_000
-LEADER_ROUNDS = 4
+LEADER_ROUNDS = 2
+#: One bit of each of so many coordinates; open pairs whose bits differ in more places than linked ones do within
+#: ``SIGMAS`` standard deviations (a chance of 4 in 100 million) are not verified.
+BITS = 256
+SIGMAS = 5.5
 #: Members compared with one leader in one task.
 SPLIT = 2_000
+#: Members of a block; a task compares two blocks at a time.
+BLOCK = 256
 
 _SETS = pa.schema(
-    [("doc_id", pa.int64()), ("n", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))]
+    [("doc_id", pa.int64()), ("n", pa.int64()), ("set_key", pa.binary())]
+    + [("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))]
 )
 
 
@@ -79,7 +86,7 @@ def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_id, n, set_key, bands`` of each document; no bands for an empty set."""
+    """``doc_id, n, set_key, bands, bits`` of each document; no bands and bits for an empty set."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -88,17 +95,21 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: i
                 part = batch.slice(a, 500)
                 sets = [shingle_set(t, hashes, shingle) for t in part.column("text").to_pylist()]
                 full = [k for k, s in enumerate(sets) if len(s)]
-                keys = band_keys(sketches([sets[k] for k in full], bands * rows), bands, rows)
+                sketch = sketches([sets[k] for k in full], max(BITS, bands * rows))
+                keys = band_keys(sketch, bands, rows)
+                low = np.packbits((sketch[:, :BITS] & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
                 found: list = [[] for _ in sets]
-                for k, row in zip(full, keys, strict=True):
-                    found[k] = row
+                signs: list = [[] for _ in sets]
+                for k, row, bit in zip(full, keys, low, strict=True):
+                    found[k], signs[k] = row, bit
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 columns = [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64())]
                 columns += [pa.array(digests, pa.binary()), pa.array(found, pa.list_(pa.int64()))]
+                columns.append(pa.array(signs, pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(columns, schema=_SETS)
 
     rows_of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows_of.mapInArrow(of, "doc_id long, n long, set_key binary, bands array<long>")
+    return rows_of.mapInArrow(of, "doc_id long, n long, set_key binary, bands array<long>, bits array<long>")
 
 
 def shingle_sets(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
@@ -168,7 +179,7 @@ def _similar(percent: int):
 
 
 def links(reps: DataFrame, docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """Verified links ``a, b`` that join linked classes ``reps(doc_id, n, bands, set_key)`` to components.
+    """Verified links ``a, b`` that join linked classes ``reps(doc_id, n, bands, bits, set_key)`` to components.
 
     Every pair of a bucket is verified, already joined through others, or ruled out by sizes or leader distances.
     """
@@ -180,7 +191,6 @@ def links(reps: DataFrame, docs: DataFrame, percent: int = PERCENT, shingle: int
     wanted = reps.select("doc_id", "set_key").join(members.select("doc_id").distinct(), "doc_id", "left_semi")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(materialize(wanted), "doc_id")
     sets = materialize(shingle_sets(texts, shingle))
-    far = 1 - percent / 100
     nothing = reps.sparkSession.createDataFrame([], "a long, b long")
     found, done = nothing, nothing  # links; pairs that have been verified
 
@@ -232,18 +242,59 @@ def links(reps: DataFrame, docs: DataFrame, percent: int = PERCENT, shingle: int
         )
         if not members.filter(F.col("m") * F.col("m") > 2 * OPEN_PAIRS).limit(1).count():
             break
-    x, y = members.alias("x"), members.alias("y")
-    open_pairs = x.join(
-        y,
-        (F.col("x.band") == F.col("y.band"))
-        & (F.col("x.value") == F.col("y.value"))
-        & (F.col("x.doc_id") < F.col("y.doc_id"))
-        & (F.col("x.root") != F.col("y.root"))
-        & (F.least("x.n", "y.n") * 100 >= percent * F.greatest("x.n", "y.n"))
-        & F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) <= far + 1e-9, F.lit(True)),
-    )
-    last = verified(open_pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct())
-    return found.union(last.filter(_similar(percent)).select("a", "b"))
+    return found.union(_block_links(members, reps, sets, percent))
+
+
+def _block_links(members: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among the open pairs of ``members(band, value, doc_id, n, root, d, m)``, none of them made as rows.
+
+    A bucket is dealt into blocks and each pair of its blocks to a task, so a member is sent once for each block of its
+    bucket.  A pair is looked at in the first band that it shares, and verified on full sets unless its components,
+    sizes, leader distances or bits rule it out.
+    """
+    same = 0.5 + percent / 200
+    most = int(BITS * (1 - same + SIGMAS * (same * (1 - same) / BITS) ** 0.5))
+    far = 1 - percent / 100 + 1e-9
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
+    rows = members.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    rows = rows.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+    rows = rows.join(reps.select("doc_id", "bands", "bits"), "doc_id").join(sets, "doc_id")
+    keys = ["band", "value", "low", "high"]
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "doc_id")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, keys):
+            ids, n, root, own = (group.column(c).to_numpy() for c in ("doc_id", "n", "root", "own"))
+            d = group.column("d").to_numpy().astype(np.float64)  # null: NaN
+            bands, bits = (np.array(group.column(c).to_pylist()) for c in ("bands", "bits"))
+            bits = bits.view(np.uint64)  # a negative number's bits are counted in its absolute value
+            items = [np.frombuffer(x, dtype=np.uint64) for x in group.column("items").to_pylist()]
+            band, low, high = (group.column(c)[0].as_py() for c in ("band", "low", "high"))
+            root, at = root.copy(), np.arange(len(ids))
+            found: tuple[list, list] = ([], [])
+            for x in np.flatnonzero(own == low):
+                mask = (at > x) if low == high else (own == high)
+                mask &= (root != root[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
+                mask &= ~(np.abs(d - d[x]) > far)
+                y = np.flatnonzero(mask)
+                y = y[np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1) <= most]
+                y = y[(bands[y] == bands[x]).argmax(axis=1) == band]
+                if not len(y):
+                    continue
+                place = np.searchsorted(items[x], values := np.concatenate([items[k] for k in y]))
+                place[place == len(items[x])] = 0
+                starts = np.concatenate([[0], np.cumsum([len(items[k]) for k in y])[:-1]])
+                common = np.add.reduceat((items[x][place] == values).astype(np.int64), starts)
+                for k in y[100 * common >= percent * (n[y] + n[x] - common)]:
+                    found[0].append(ids[x])
+                    found[1].append(ids[k])
+                    root[root == root[k]] = root[x]
+            if found[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["a", "b"])
+
+    wanted = dealt.select(*keys, "doc_id", "n", "root", "d", "own", "bands", "bits", "items")
+    return wanted.mapInArrow(check, "a long, b long")
 
 
 def near_duplicates(
@@ -262,12 +313,12 @@ def near_duplicates(
     seen = materialize(signatures(docs, bands, rows, shingle))
     real = seen.filter("n > 0 AND doc_id IS NOT NULL")
     classes = real.groupBy("set_key").agg(
-        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")
+        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")
     )
     classes = materialize(classes)
     # An id that repeats with several sets is one node; one of its sets is compared.
-    reps = classes.groupBy("rep").agg(F.min(F.struct("set_key", "n", "bands")).alias("one"))
-    reps = reps.select(F.col("rep").alias("doc_id"), "one.n", "one.bands", "one.set_key")
+    reps = classes.groupBy("rep").agg(F.min(F.struct("set_key", "n", "bands", "bits")).alias("one"))
+    reps = reps.select(F.col("rep").alias("doc_id"), "one.n", "one.bands", "one.bits", "one.set_key")
     found = links(materialize(reps), docs, percent, shingle)
     roots = materialize(components(found))
     known = classes.select("set_key", F.col("rep").alias("node")).join(roots, "node", "left")

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from riskloom.llm.common import groups
 from riskloom.llm.sample import hash_sample
 from riskloom.session import materialize
 
@@ -41,29 +42,6 @@ _LISTS = "id long, near array<long>, sims array<float>"
 _LIST_SCHEMA = pa.schema([("id", pa.int64()), ("near", pa.list_(pa.int64())), ("sims", pa.list_(pa.float32()))])
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], most: int | None = None) -> Iterator[pa.Table]:
-    """Rows of sorted batches by key; a group of more than ``most`` rows comes in parts."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        cuts = np.zeros(batch.num_rows, dtype=bool)
-        for c in columns:
-            cuts[1:] |= c[1:] != c[:-1]
-        edges = [0, *np.flatnonzero(cuts).tolist(), batch.num_rows]
-        for a, b in zip(edges, edges[1:], strict=False):
-            key = tuple(c[a] for c in columns)
-            if held and (key != last or (most and sum(h.num_rows for h in held) + b - a > most)):
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = key
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _rows(table: pa.Table, column: str, kind) -> np.ndarray:
     """A binary column of equal lengths as a matrix of 32-bit floats."""
     values = table.column(column).to_pylist()
@@ -154,7 +132,7 @@ def start_lists(nodes: DataFrame, count: int, tables: int, leaf: int, degree: in
     met = dealt.join(nodes, "id").repartition(*keys).sortWithinPartitions(*keys, "id")
 
     def best(batches):
-        for group in _groups(batches, keys, 2 * leaf):
+        for group in groups(batches, keys, 2 * leaf):
             ids, x = group.column("id").to_numpy(), _rows(group, "half", np.float16)
             k = min(degree, len(ids) - 1)
             if k < 1:
@@ -174,7 +152,7 @@ def _merged(lists: DataFrame, degree: int) -> DataFrame:
 
     def merge(batches):
         ids, near, sims = [], [], []
-        for group in _groups(batches, ["id"]):
+        for group in groups(batches, ["id"]):
             a = group.column("near").combine_chunks().flatten().to_numpy()
             s = group.column("sims").combine_chunks().flatten().to_numpy()
             best = _top(a, s, degree)
@@ -220,7 +198,7 @@ def descend(graph: DataFrame, nodes: DataFrame, degree: int, reverse: int) -> Da
             return _lists(v[np.concatenate([[0], cuts])], np.split(w, cuts), np.split(s, cuts))
 
         waiting = 0
-        for group in _groups(batches, ["centre"]):
+        for group in groups(batches, ["centre"]):
             ids, x = group.column("member").to_numpy(), _rows(group, "half", np.float16)
             least = group.column("worst").to_numpy()
             sims = x @ x.T
@@ -276,7 +254,7 @@ def walk(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int, reve
 
         def step(batches):
             rows: list[list] = [[], [], [], [], []]
-            for group in _groups(batches, ["query"]):
+            for group in groups(batches, ["query"]):
                 x = _rows(group, "half", np.float16)
                 near = np.array(group.column("near")[0].as_py(), dtype=np.int64)
                 sims = np.array(group.column("sims")[0].as_py(), dtype=np.float32)
