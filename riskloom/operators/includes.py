@@ -97,7 +97,9 @@ def candidates(includes: DataFrame, profile: str | Profile, root: str | None = N
 
 
 def _with_php(place: Column) -> Column:
-    return F.when(lacks_suffix(place), F.concat(place, F.lit(".php")))
+    """The place with ``.php``; the suffix is judged after folding, so ``lib/`` is ``lib.php`` too."""
+    folded = normalize_path(place)
+    return F.when(lacks_suffix(folded), F.concat(folded, F.lit(".php")))
 
 
 def existing_paths(listing: DataFrame, profile: str | Profile) -> DataFrame:

@@ -262,7 +262,8 @@ CREDENTIALS = (
 PLAIN_ASSIGNMENT = RuleSpec(
     "hardcoded_assignment",
     "HIGH",
-    (rf"\w*(?:key|secret|token|password)\w*\s*=\s*{_QUOTED}",),
+    # Only from the start of a word, else every letter of a long word is tried.
+    (rf"(?<!\w)\w*(?:key|secret|token|password)\w*+\s*+=\s*{_QUOTED}",),
     keywords=("key", "secret", "token", "password"),
     scanner="credential",
 )

@@ -53,9 +53,9 @@ def ordered(report: DataFrame) -> DataFrame:
 
 
 # Headings, table heads and empty-state lines of the reports.
-LINE_TITLE = "# PHP Security Analysis Report"
-SPAN_TITLE = "# php-analyzer report"
-BLOCK_TITLE = "# PHP Security & Structure Analysis Report"
+LINE_TITLE = "# Source risk report: lines"
+SPAN_TITLE = "# Source risk report: spans"
+BLOCK_TITLE = "# Source risk report: blocks"
 LINE_TABLE = (
     "| Severity | File | Line | Rule | Match |",
     "|----------|------|------|------|-------|",

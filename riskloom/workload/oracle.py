@@ -73,13 +73,22 @@ def shortened(expr: str, limit: int = 160) -> str:
 
 # ------------------------------------------------------------- line rules
 
-SANITIZED = " OR ".join(
-    f"contains(lower(line), '{t}')"
-    for t in (
-        "htmlspecialchars htmlentities strip_tags filter_input filter_var intval floatval"
-        " (int) (float) mysqli_real_escape_string addslashes prepare("
-    ).split()
+# Tokens that make a line count as sanitized.
+SANITIZER_TOKENS = (
+    "htmlspecialchars",
+    "htmlentities",
+    "strip_tags",
+    "filter_input",
+    "filter_var",
+    "intval",
+    "floatval",
+    "(int)",
+    "(float)",
+    "mysqli_real_escape_string",
+    "addslashes",
+    "prepare(",
 )
+SANITIZED = " OR ".join(f"contains(lower(line), '{t}')" for t in SANITIZER_TOKENS)
 Q = "[''\"]"
 SECRET = r"\$\w*(?:key|secret|token|password)\w*\s*=\s*"
 LITERAL = "(?:''[^'']+''|\"[^\"]+\")"
@@ -190,13 +199,19 @@ def match_findings(patterns, show, source: str = "texts") -> str:
 
 CALL = r"(?i)->\s*(?:query|execute)\s*\("
 ASSIGN = r"(?i)\$([A-Za-z_][A-Za-z0-9_]*)\s*=\s*(.+?)\s*;"
-RHS_SANITIZED = " OR ".join(
-    f"contains(lower(rhs), '{t}')"
-    for t in (
-        "(int) intval( filter_input( mysqli_real_escape_string( pg_escape_string("
-        " htmlspecialchars( htmlentities( urlencode( rawurlencode("
-    ).split()
+# Calls and casts that make an assigned value count as sanitized.
+RHS_SANITIZERS = (
+    "(int)",
+    "intval(",
+    "filter_input(",
+    "mysqli_real_escape_string(",
+    "pg_escape_string(",
+    "htmlspecialchars(",
+    "htmlentities(",
+    "urlencode(",
+    "rawurlencode(",
 )
+RHS_SANITIZED = " OR ".join(f"contains(lower(rhs), '{t}')" for t in RHS_SANITIZERS)
 ASSIGNED_CTE = (
     f"assigned AS (SELECT path, line_no, regexp_extract(line, '{ASSIGN}', 1) AS var,"
     f" regexp_extract(line, '{ASSIGN}', 2) AS rhs FROM lines)"
@@ -248,9 +263,25 @@ def block_findings(credentials: bool = False) -> str:
 
 NAME = "regexp_extract(path, '[^/]*$')"
 LOW = f"lower({NAME})"
+# Suspicious parts of file names, in the order in which they are tried.
 PARTS = (
-    "backup bak .bak bcakup -old -last- 0ld _old .old tmp copy -copy _copy test debug 123"
-).split()
+    "backup",
+    "bak",
+    ".bak",
+    "bcakup",
+    "-old",
+    "-last-",
+    "0ld",
+    "_old",
+    ".old",
+    "tmp",
+    "copy",
+    "-copy",
+    "_copy",
+    "test",
+    "debug",
+    "123",
+)
 FIRST_REASON = (
     f"CASE WHEN {LOW} IN ('wp-config.php', 'wp-config-sample.php', 'phpinfo.php', 'info.php', 'test.php')"
     f" THEN 'known dangerous filename: ' || {NAME}"
@@ -282,6 +313,7 @@ def all_reasons(source: str) -> str:
       CASE WHEN {LOW} = 'wp-config.php' AND NOT {wp} THEN 'wp_config_outside_wordpress' END)"""
 
 
+# File-name rules of the block profile.
 NAME_RULES = (
     ("backup_extension", "INFO", r"device\.bcakup\.php"),
     ("backup_in_name", "LOW", r".*(backup|bak|old|tmp|copy|test|debug|-last-|\d{3,}|-old|0ld).*\.php$"),
@@ -923,7 +955,7 @@ def _report_sql() -> dict[str, str]:
         ]
     )
     parts = _union(
-        _fixed(0, "# php-analyzer report", "", "- Root: `/srv/project`"),
+        _fixed(0, "# Source risk report: spans", "", "- Root: `/srv/project`"),
         _stats_rows("span"),
         _summary_rows("span"),
         _graph_rows("span"),

@@ -139,3 +139,23 @@ def test_measures(spark, listing):
     assert graph.has_edge(edges, "a.php", "b.php").first().has_edge
     assert not graph.has_edge(edges, "b.php", "a.php").first().has_edge
     assert [r.node for r in graph.successors(edges, "a.php").collect()] == ["b.php"]
+
+
+def test_include_of_a_folder_form_names_the_file(spark, listing):
+    from riskloom.operators.includes import resolve_includes
+
+    raws = [("a.php", "lib/"), ("a.php", "lib/."), ("a.php", "x/../lib")]
+    includes = spark.createDataFrame(raws, "src string, raw string")
+    found = resolve_includes(includes, listing("a.php", "lib.php"), "span")
+    assert {r.raw: r.dst for r in found.collect()} == dict.fromkeys((raw for _, raw in raws), "lib.php")
+
+
+def test_assignment_pattern_is_linear_in_a_word(spark):
+    import time
+
+    from riskloom.operators import rules, scan
+
+    texts = spark.createDataFrame([("a.txt", "a" * 300_000 + "key" + "b" * 300_000)], "path string, text string")
+    started = time.time()
+    scan.run_rules(texts, [rules.PLAIN_ASSIGNMENT], "span").count()
+    assert time.time() - started < 60

@@ -92,7 +92,7 @@ def test_line_run(spark, root, tmp_path):
     }
     assert tuple(result.stats.first()) == (7, 1, 8)
     text = read_text(out + ".md")
-    assert text.startswith("# PHP Security Analysis Report\n\n**Generated:** ")
+    assert text.startswith("# Source risk report: lines\n\n**Generated:** ")
     assert "| 🔴 CRITICAL | 2 |" in text and "| ⚪ INFO | 0 |" in text
     assert "### Circular Dependencies (1 detected)\n\n1. `lib/a.php` → `lib/b.php`" in text
     assert "| `_draft.php` | special prefix in filename: _draft.php |" in text
