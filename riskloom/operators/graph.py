@@ -8,16 +8,11 @@ from pyspark.sql import functions as F
 from riskloom.functions.paths import basename
 from riskloom.model import Profile, profile_of
 from riskloom.operators.skew import join_unique
-from riskloom.session import materialize
+from riskloom.session import materialize, run_dir
 
 # Names that are entry points, not orphans (span profile).
 ENTRY_NAMES = ("index.php", "main.php", "app.php", "bootstrap.php")
 
-# Up to this many edges (counted) a trimming join is broadcast.
-BROADCAST_EDGES = 500_000
-# Above this many trimmed edges the search is narrowed to connected parts first.
-CUT_EDGES = 10_000
-
 
 def in_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(node, in_degree)`` with zeros, in one shuffle and without a join.
@@ -72,32 +67,117 @@ def has_edge(edges: DataFrame, src: str, dst: str) -> DataFrame:
     )
 
 
-def trim_acyclic(edges: DataFrame, max_rounds: int = 20) -> DataFrame:
-    """Drop edges that cannot lie on a cycle: no way on from dst or none into src.
+def _degrees(edges: DataFrame) -> DataFrame:
+    """``(node, ins, outs)``, combined on the map side."""
+    ones = edges.select(F.col("src").alias("node"), F.lit(0).alias("ins"), F.lit(1).alias("outs")).unionAll(
+        edges.select("dst", F.lit(1), F.lit(0))
+    )
+    return ones.groupBy("node").agg(F.sum("ins").alias("ins"), F.sum("outs").alias("outs"))
+
+
+def _follow(pointers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ends of pointers ``(node, at, hops, done)``, and what lies on rings as ``(node, least)``.
+
+    Each round doubles the hops, so rounds grow with the logarithm of the longest run.  On a run that ends, some node
+    arrives in each round; when none does and no least name falls either, the rest are rings that know their least
+    node.
+    """
+    state = materialize(pointers.withColumn("least", F.col("node")))
+    while True:
+        further = state.select(
+            F.col("node").alias("at"),
+            F.col("at").alias("to"),
+            F.col("hops").alias("more"),
+            F.col("done").alias("arrived"),
+            F.col("least").alias("other"),
+        )
+        ended = state.filter("done").withColumn("moved", F.lit(False))
+        step = state.filter("NOT done").join(further, "at")
+        step = step.select(
+            "node",
+            F.col("to").alias("at"),
+            (F.col("hops") + F.col("more")).alias("hops"),
+            F.col("arrived").alias("done"),
+            F.least("least", "other").alias("least"),
+            (F.col("arrived") | (F.col("other") < F.col("least"))).alias("moved"),
+        )
+        state = materialize(ended.unionByName(step))
+        if state.filter("moved").isEmpty():
+            return state.filter("done").select("node", "at", "hops"), state.filter("NOT done").select("node", "least")
+        state = state.drop("moved")
+
+
+def _contract(core: DataFrame, inner: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(edges, walks)``: runs of ``inner`` nodes, which have one way in and one out, become single edges.
+
+    An edge's ``path`` lists the nodes between its ends, so cycles stay one to one.  Closed runs are cycles already.
+    A node is held in one path at most, so the table does not grow.
+    """
+    at_src = inner.select(F.col("node").alias("src"), F.lit(True).alias("src_inner"))
+    at_dst = inner.select(F.col("node").alias("dst"), F.lit(True).alias("dst_inner"))
+    marked = materialize(core.join(at_src, "src", "left").join(at_dst, "dst", "left"))
+    onward = marked.filter("src_inner").withColumnRenamed("src", "node")
+    last = F.col("dst_inner").isNull()
+    ended, on_rings = _follow(
+        onward.select(
+            "node",
+            F.when(last, F.col("node")).otherwise(F.col("dst")).alias("at"),
+            F.when(last, 0).otherwise(1).cast("long").alias("hops"),
+            last.alias("done"),
+        )
+    )
+    # A ring is opened before its least node, which so comes first.
+    opened = onward.join(on_rings, "node")
+    last = F.col("dst") == F.col("least")
+    ring_ends, _ = _follow(
+        opened.select(
+            "node",
+            F.when(last, F.col("node")).otherwise(F.col("dst")).alias("at"),
+            F.when(last, 0).otherwise(1).cast("long").alias("hops"),
+            last.alias("done"),
+        )
+    )
+    members = ended.withColumn("ring", F.lit(False)).unionAll(ring_ends.withColumn("ring", F.lit(True)))
+    members = members.join(onward.select("node", "path", "dst"), "node")
+    runs = members.groupBy("at", "ring").agg(
+        F.sort_array(F.collect_list(F.struct("hops", "node", "path")), asc=False).alias("steps"),
+        F.max(F.when(F.col("hops") == 0, F.col("dst"))).alias("end"),
+    )
+    nodes = F.flatten(F.transform("steps", lambda s: F.concat(F.array(s["node"]), s["path"])))
+    runs = materialize(runs.select("ring", "end", F.get("steps", F.lit(0))["node"].alias("dst"), nodes.alias("nodes")))
+    heads = marked.filter("src_inner IS NULL AND dst_inner").select("src", "dst", "path")
+    joined = heads.join(runs.filter("NOT ring"), "dst").select(
+        "src", F.col("end").alias("dst"), F.concat("path", "nodes").alias("path")
+    )
+    whole = marked.filter("src_inner IS NULL AND dst_inner IS NULL").select("src", "dst", "path")
+    edges = materialize(whole.unionByName(joined))
+    loops = edges.filter("src = dst").select(F.concat(F.array("src"), "path").alias("walk"))
+    return edges.filter("src <> dst"), runs.filter("ring").select(F.col("nodes").alias("walk")).unionAll(loops)
+
+
+def trim_acyclic(core: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Edges ``(src, dst, path)`` that may lie on a cycle, and cycles found on the way.
 
-    Each round is materialized.  Stopping early only leaves more edges to the
-    search, never a different result.
+    Contracting runs and dropping edges without a way in or on take turns until neither changes anything, so a chain
+    takes one turn however long it is.
     """
-    core = materialize(edges.select("src", "dst"))
+    walks: list[DataFrame] = []
     size = core.count()
-    for _ in range(max_rounds):
-        if size == 0:
-            break
-        starts = core.select(F.col("src").alias("dst")).distinct()
-        ends = core.select(F.col("dst").alias("src")).distinct()
-        if size <= BROADCAST_EDGES:
-            kept = core.join(F.broadcast(starts), "dst", "left_semi").join(
-                F.broadcast(ends), "src", "left_semi"
-            )
-        else:
-            kept = materialize(join_unique(core, starts, "dst", "left_semi"))
-            kept = join_unique(kept, ends, "src", "left_semi")
-        kept = materialize(kept.select("src", "dst"))
-        remaining = kept.count()
-        core, shrunk, size = kept, remaining < size, remaining
-        if not shrunk:
+    while size:
+        degrees = materialize(_degrees(core))
+        inner = degrees.filter("ins = 1 AND outs = 1").select("node")
+        contracted = not inner.isEmpty()
+        if contracted:
+            core, found = _contract(core, inner)
+            walks.append(found)
+        live = degrees.filter("ins > 0 AND outs > 0").select("node")
+        kept = materialize(join_unique(core, live.withColumnRenamed("node", "src"), "src", "left_semi"))
+        core = materialize(join_unique(kept, live.withColumnRenamed("node", "dst"), "dst", "left_semi"))
+        remaining = core.count()
+        if remaining == size and not contracted:
             break
-    return core
+        size = remaining
+    return core, walks
 
 
 def _least_reaching(edges: DataFrame) -> DataFrame:
@@ -121,68 +201,77 @@ def _least_reaching(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def cut_between_components(edges: DataFrame, max_rounds: int = 10) -> DataFrame:
-    """Drop edges whose ends cannot both lie on one cycle.
+def cut_between_components(edges: DataFrame) -> DataFrame:
+    """Drop edges whose ends cannot both lie on one cycle; other columns stay.
 
     Nodes of a strongly connected part are reached from the same nodes, so ends
     with different labels belong to different parts.  Labels alternate between
-    the graph and its reverse until no edge is cut.  Like trimming, this only
-    narrows the search.
+    the graph and its reverse until neither cuts an edge.
     """
     core = edges
     size = core.count()
-    untouched = 0
-    for n in range(max_rounds):
-        if size == 0 or untouched == 2:
-            break
-        turned = core if n % 2 == 0 else core.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    untouched = turns = 0
+    while size and untouched < 2:
+        turned = core.select("src", "dst") if turns % 2 == 0 else core.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
         labels = _least_reaching(turned)
         at_src = labels.select(F.col("node").alias("src"), F.col("label").alias("src_label"))
         at_dst = labels.select(F.col("node").alias("dst"), F.col("label").alias("dst_label"))
         labelled = materialize(join_unique(core, at_src, "src"))
         same = join_unique(labelled, at_dst, "dst").filter("src_label = dst_label")
-        core = materialize(same.select("src", "dst"))
+        core = materialize(same.select(*edges.columns))
         remaining = core.count()
         untouched = untouched + 1 if remaining == size else 0
-        size = remaining
+        size, turns = remaining, turns + 1
     return core
 
 
-def cycle_core(edges: DataFrame, cut_above: int = CUT_EDGES) -> DataFrame:
-    """Edges left for the cycle search."""
-    core = trim_acyclic(edges)
-    if core.count() <= cut_above:
-        return core
-    return trim_acyclic(cut_between_components(core))
+def cycle_core(edges: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """``(edges, walks)``: contracted edges left for the cycle search, and the cycles that contraction found."""
+    plain = edges.select("src", "dst").distinct().withColumn("path", F.array().cast("array<string>"))
+    plain = materialize(plain)
+    loops = plain.filter("src = dst").select(F.array("src").alias("walk"))
+    core, walks = trim_acyclic(plain.filter("src <> dst"))
+    more: list[DataFrame] = []
+    if not core.isEmpty():
+        core, more = trim_acyclic(cut_between_components(core))
+    return core, [loops, *walks, *more]
 
 
-def include_cycles(
-    edges: DataFrame, max_length: int | None = None, cut_above: int = CUT_EDGES
-) -> DataFrame:
+def include_cycles(edges: DataFrame, max_length: int | None = None) -> DataFrame:
     """``(length, cycle)``: all simple cycles, each rotated to its smallest node.
 
-    A recursive query grows paths from every possible smallest node over larger
-    nodes only, so each cycle is found once.  ``max_length`` leaves out longer
-    cycles when given.  There is no other bound: a graph with more levels or
-    rows than the session's recursion limits fails instead of losing cycles.
+    Runs of nodes with one way in and out are walked in one step.  Paths then
+    grow level by level from every possible smallest node over larger nodes
+    only, so each cycle is found once; each level is written, and the search
+    ends when no path is left.  ``max_length`` leaves out longer cycles when
+    given; there is no other bound.
     """
     spark = edges.sparkSession
-    bound = "true" if max_length is None else f"size(p.path) < {int(max_length)}"
-    return spark.sql(
-        f"""
-        WITH RECURSIVE paths(start, node, path, closed) AS (
-          SELECT src, dst,
-                 CASE WHEN src = dst THEN array(src) ELSE array(src, dst) END, src = dst
-          FROM {{core}} WHERE dst >= src
-          UNION ALL
-          SELECT p.start, e.dst,
-                 CASE WHEN e.dst = p.start THEN p.path ELSE concat(p.path, array(e.dst)) END,
-                 e.dst = p.start
-          FROM paths p JOIN {{core}} e ON p.node = e.src
-          WHERE NOT p.closed AND e.dst >= p.start
-            AND (e.dst = p.start OR (NOT array_contains(p.path, e.dst) AND {bound}))
-        )
-        SELECT size(path) AS length, path AS cycle FROM paths WHERE closed
-        """,
-        core=cycle_core(edges, cut_above),
+    core, walks = cycle_core(edges)
+    folder = run_dir(spark, "cycles")
+    found = walks[0]
+    for more in walks[1:]:
+        found = found.unionByName(more)
+    found.write.parquet(folder)
+    steps = core.select(F.col("src").alias("node"), "dst", "path")
+    paths = core.filter("dst > src").select(
+        F.col("src").alias("start"), F.col("dst").alias("node"), F.concat(F.array("src"), "path", F.array("dst")).alias("walk")
     )
+    paths = materialize(paths)
+    while not paths.isEmpty():
+        back = F.col("dst") == F.col("start")
+        fresh = (F.col("dst") > F.col("start")) & ~F.array_contains("walk", F.col("dst"))
+        walk = F.when(back, F.concat("walk", "path")).otherwise(F.concat("walk", "path", F.array("dst")))
+        level = paths.join(steps, "node").filter(back | fresh)
+        level = level.select("start", F.col("dst").alias("node"), walk.alias("walk"), back.alias("closed"))
+        if max_length is not None:
+            level = level.filter(F.size("walk") <= max_length)
+        level = materialize(level)
+        level.filter("closed").select("walk").write.mode("append").parquet(folder)
+        paths = level.filter("NOT closed").drop("closed")
+    cycles = spark.read.schema("walk array<string>").parquet(folder)
+    at = F.array_position("walk", F.array_min("walk")).cast("int")
+    turned = F.concat(F.slice("walk", at, F.size("walk")), F.slice("walk", F.lit(1), at - 1))
+    if max_length is not None:
+        cycles = cycles.filter(F.size("walk") <= max_length)
+    return cycles.select(F.size("walk").alias("length"), turned.alias("cycle"))

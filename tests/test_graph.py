@@ -108,7 +108,7 @@ def test_cutting_keeps_all_cycles(spark):
     df = spark.createDataFrame(sorted(pairs), "src string, dst string")
     core = graph.cut_between_components(df)
     assert sorted(map(tuple, core.collect())) == sorted(p for p in pairs if p[0][:2] == p[1][:2])
-    got = sorted((list(r.cycle) for r in graph.include_cycles(df, cut_above=0).collect()), key=lambda c: (len(c), c))
+    got = sorted((list(r.cycle) for r in graph.include_cycles(df).collect()), key=lambda c: (len(c), c))
     assert got == simple_cycles(pairs)
 
 
@@ -117,6 +117,28 @@ def test_no_cycle_in_a_chain(spark):
     assert graph.include_cycles(chain).collect() == []
 
 
+@pytest.mark.parametrize("length", [200, 2000])
+def test_long_chains_have_no_cycle(spark, length):
+    pairs = [(f"n{i}", f"n{i + 1}") for i in range(length)]
+    assert graph.include_cycles(spark.createDataFrame(pairs, "src string, dst string")).collect() == []
+
+
+def test_long_rings_are_one_cycle_each(spark):
+    ring = [(f"a{i:03}", f"a{(i + 7) % 150:03}") for i in range(150)]
+    # A second ring with a chord, so its two cycles share a run; a chain runs from one ring to the other.
+    other = [(f"b{i:03}", f"b{(i + 1) % 120:03}") for i in range(120)] + [("b040", "b100")]
+    bridge = [("a000", "c0"), ("c0", "c1"), ("c1", "b000"), ("b000", "b000")]
+    df = spark.createDataFrame(ring + other + bridge, "src string, dst string")
+    got = sorted((list(r.cycle) for r in graph.include_cycles(df).collect()), key=lambda c: (len(c), c))
+    names = [f"b{i:03}" for i in range(120)]
+    long_ring = [f"a{7 * i % 150:03}" for i in range(150)]
+    assert got == [["b000"], names[:41] + names[100:], names, long_ring]
+
+
+def test_no_edges_have_no_cycles(spark):
+    assert graph.include_cycles(spark.createDataFrame([], "src string, dst string")).collect() == []
+
+
 def test_measures(spark, listing):
     nodes = listing("a.php", "b.php", "index.php", "self.php", "xindex.php")
     edges = spark.createDataFrame(
