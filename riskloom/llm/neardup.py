@@ -39,8 +39,9 @@ BITS = 256
 SIGMAS = 5.5
 #: Members compared with one leader in one task.
 SPLIT = 2_000
-#: Members of a block; a task compares two blocks at a time.
-BLOCK = 256
+#: Members of a block, and bytes of their sets, about; a task compares two blocks at a time.
+BLOCK = 1024
+BLOCK_BYTES = 16 << 20
 
 _SETS = pa.schema(
     [("doc_id", pa.int64()), ("n", pa.int64()), ("set_key", pa.binary())]
@@ -229,16 +230,16 @@ def links(reps: DataFrame, docs: DataFrame, percent: int = PERCENT, shingle: int
             F.col("a"), F.col("b"), (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("d")
         )
         both = known.union(known.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
-        rest = led.filter(F.col("doc_id") != F.col("leader")).drop("root", "leader_root", "leader_n", "d", "m")
+        rest = led.filter(F.col("doc_id") != F.col("leader")).drop("root", "leader_root", "leader_n", "d", "m", "total")
         rest = rest.join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
         rest = rest.withColumn("root", F.coalesce("root", "doc_id"))
         rest = rest.join(both.select(F.col("a").alias("leader"), F.col("b").alias("doc_id"), "d"), ["leader", "doc_id"], "left")
         kinds = rest.groupBy("band", "value").agg(
-            F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")
+            F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m"), F.sum("n").alias("total")
         )
-        kinds = materialize(kinds.filter("low <> high").select("band", "value", "m"))
+        kinds = materialize(kinds.filter("low <> high").select("band", "value", "m", "total"))
         members = materialize(
-            rest.join(kinds, ["band", "value"]).select("band", "value", "doc_id", "n", "root", "d", "m")
+            rest.join(kinds, ["band", "value"]).select("band", "value", "doc_id", "n", "root", "d", "m", "total")
         )
         if not members.filter(F.col("m") * F.col("m") > 2 * OPEN_PAIRS).limit(1).count():
             break
@@ -246,7 +247,7 @@ def links(reps: DataFrame, docs: DataFrame, percent: int = PERCENT, shingle: int
 
 
 def _block_links(members: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among the open pairs of ``members(band, value, doc_id, n, root, d, m)``, none of them made as rows.
+    """Links among the open pairs of ``members(band, value, doc_id, n, root, d, m, total)``, none of them made as rows.
 
     A bucket is dealt into blocks and each pair of its blocks to a task, so a member is sent once for each block of its
     bucket.  A pair is looked at in the first band that it shares, and verified on full sets unless its components,
@@ -255,11 +256,12 @@ def _block_links(members: DataFrame, reps: DataFrame, sets: DataFrame, percent:
     same = 0.5 + percent / 200
     most = int(BITS * (1 - same + SIGMAS * (same * (1 - same) / BITS) ** 0.5))
     far = 1 - percent / 100 + 1e-9
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("total") * 8 / BLOCK_BYTES)).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
     rows = members.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     rows = rows.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
-    rows = rows.join(reps.select("doc_id", "bands", "bits"), "doc_id").join(sets, "doc_id")
+    whole = materialize(reps.select("doc_id", "bands", "bits").join(sets, "doc_id"))
+    rows = rows.join(whole, "doc_id")
     keys = ["band", "value", "low", "high"]
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "doc_id")
 
