@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
 
 Words are lower-cased letter and digit runs.  Every item has a seed for each of its n-grams.  A first pass over whole
-texts finds where seeds occur; from these counts each stretch of an item keeps its rarest seeds, so common phrases
-start no alignment but every part of every item has a seed.  Occurrences of kept seeds give a document, an item and a
-place; around each place the words are aligned with the item, which finds edited and paraphrased copies too.
+texts finds where seeds occur; each occurrence gives a document, an item and a place.  Around each place lies a window
+that leaves room for edits.  Windows without enough of the item's words cannot
+reach it; the others are merged where they overlap and aligned, which finds edited and paraphrased copies too.
 """
 
 from __future__ import annotations
@@ -14,16 +14,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import WordHashes, ngram_hashes
 from riskloom.session import materialize
 
 SEED_WORDS = 3
-#: Each run of so many seeds of an item keeps its rarest ones.
-STRETCH = 6
-KEPT = 2
+#: Places on so many neighbouring diagonals start one window.
+BAND = 8
 #: Share of an item's best possible score from which a passage counts as a copy.
 MIN_SCORE = 0.6
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -145,18 +144,13 @@ def _copies(docs: DataFrame, items: DataFrame, min_score: float, n: int) -> Data
     if wanted is None:
         spots = spots.join(distinct, "seed", "left_semi")
     spots = materialize(spots)
-    counts = spots.groupBy("seed").agg(F.count("*").alias("times"))
-    rank = Window.partitionBy("item_id", "part").orderBy("times", "place")
-    parted = seeds.withColumn("part", F.floor(F.col("place") / STRETCH)).join(materialize(counts), "seed")
-    kept = parted.withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= KEPT).select("seed", "item_id", "place")
-    sizes = seeds.groupBy("item_id").agg((F.count("*") + n - 1).alias("words"))
-    # Places on neighbouring diagonals start one alignment.
     at = F.col("spot") - F.col("place")
-    joined = spots.join(materialize(kept.join(sizes, "item_id")), "seed")
-    starts = joined.groupBy("doc", "item_id", "words", F.floor(at / 8).alias("diagonal")).agg(F.min(at).alias("at"))
-    per_doc = starts.groupBy("doc").agg(F.collect_list(F.struct("item_id", "words", "at")).alias("places"))
-    windows = _windows(keyed.join(materialize(per_doc), "doc"))
-    found = _aligned(windows.join(materialize(_item_words(items)), "item_id"), min_score)
+    joined = spots.join(seeds, "seed")
+    starts = joined.groupBy("doc", "item_id", F.floor(at / BAND).alias("band")).agg(F.min(at).alias("low"), F.max(at).alias("high"))
+    per_item = materialize(starts.groupBy("doc", "item_id").agg(F.collect_list(F.struct("low", "high")).alias("starts")))
+    worded = per_item.join(materialize(_item_words(items)), "item_id")
+    per_doc = worded.groupBy("doc").agg(F.collect_list(F.struct("item_id", "item", "starts")).alias("places"))
+    found = _aligned(keyed.join(materialize(per_doc), "doc"), min_score)
     return (
         found.groupBy("doc", "doc_id", "item_id")
         .agg(F.max(F.struct("score", (-F.col("start_word")).alias("early"), "end_word")).alias("best"))
@@ -180,8 +174,29 @@ def _item_words(items: DataFrame) -> DataFrame:
     return items.select("item_id", of("text").alias("item"))
 
 
-def _windows(texts: DataFrame) -> DataFrame:
-    """``doc, doc_id, item_id, offset, passage``: the words of ``texts`` around each start, as hashes, with room for edits."""
+def windows(words: np.ndarray, item: np.ndarray, starts: list[tuple[int, int]], min_score: float) -> list[tuple[int, int]]:
+    """Stretches ``(lo, hi)`` of ``words`` around ``starts``, ranges of diagonals, with room for edits.
+
+    A score of ``min_score`` needs so many of the item's words, each as often as it stands in the item.
+    """
+    room = len(item) // 3 + 8
+    known, times = np.unique(item, return_counts=True)
+    out: list[tuple[int, int]] = []
+    for low, high in sorted(starts):
+        lo, hi = max(0, low - room), min(len(words), high + len(item) + room)
+        place = np.searchsorted(known, words[lo:hi])
+        place[place == len(known)] = 0
+        seen = np.bincount(place[known[place] == words[lo:hi]], minlength=len(known))
+        if np.minimum(seen, times).sum() / len(item) < min_score:
+            continue
+        if out and lo <= out[-1][1]:
+            lo, hi = out[-1][0], max(hi, out.pop()[1])
+        out.append((lo, hi))
+    return out
+
+
+def _aligned(texts: DataFrame, min_score: float) -> DataFrame:
+    """``doc, doc_id, item_id, score, start_word, end_word`` of passages of ``texts`` that reach the score."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -191,40 +206,21 @@ def _windows(texts: DataFrame) -> DataFrame:
                 for r in batch.slice(a, 200).to_pylist():
                     words = hashes.of(words_of(r["text"])).view(np.int64)
                     for p in r["places"]:
-                        room = p["words"] // 3 + 8
-                        lo = max(0, p["at"] - room)
-                        rows.append((r["doc"], r["doc_id"], p["item_id"], lo, words[lo : p["at"] + p["words"] + room]))
+                        item = np.array(p["item"], dtype=np.int64)
+                        starts = [(s["low"], s["high"]) for s in p["starts"]]
+                        for lo, hi in windows(words, item, starts, min_score):
+                            points, start, end = align(words[lo:hi], item)
+                            score = points / (MATCH * len(item))
+                            if score >= min_score:
+                                rows.append((r["doc"], r["doc_id"], p["item_id"], score, lo + start, lo + end))
                 if rows:
                     columns = zip(*rows, strict=True)
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                        names=["doc", "doc_id", "item_id", "offset", "passage"],
+                        names=["doc", "doc_id", "item_id", "score", "start_word", "end_word"],
                     )
 
     return texts.select("doc", "doc_id", "text", "places").mapInArrow(
-        of, "doc long, doc_id long, item_id long, `offset` long, passage array<long>"
-    )
-
-
-def _aligned(passages: DataFrame, min_score: float) -> DataFrame:
-    """``doc, doc_id, item_id, score, start_word, end_word`` of passages that reach the score."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc, key, item_id, offset, passage, item in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                points, start, end = align(np.array(passage), np.array(item))
-                score = points / (MATCH * len(item))
-                if score >= min_score:
-                    rows.append((doc, key, item_id, score, offset + start, offset + end))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-            columns = [*zip(*rows, strict=True)] or [()] * 6
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                names=["doc", "doc_id", "item_id", "score", "start_word", "end_word"],
-            )
-
-    return passages.select("doc", "doc_id", "item_id", "offset", "passage", "item").mapInArrow(
         of, "doc long, doc_id long, item_id long, score double, start_word long, end_word long"
     )

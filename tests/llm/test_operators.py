@@ -222,6 +222,15 @@ def test_contaminated(spark, docs, monkeypatch, bound):
     assert decontaminate.contaminated(docs(ODD).limit(0), items).count() == 0
 
 
+def test_every_seed_starts_an_alignment(spark, docs):
+    words = [f"q{k}" for k in range(38)]
+    edited = [f"x{k}" if k in range(4, 38, 6) else w for k, w in enumerate(words)]
+    rows = [(1, "before " + " ".join(words)), (2, "before " + " ".join(edited))]
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): (r.score, r.start_word, r.end_word) for r in decontaminate.contaminated(docs(rows), items).collect()}
+    assert found == {(1, 1): (1.0, 1, 39), (2, 1): (58 / 76, 1, 39)}
+
+
 def test_languages(spark, docs):
     english, german = "the thing with this other mother that", "der und das nicht mit einer zwischen"
     taught = [(english, "en"), (german, "de"), ("мама мыла раму", "ru"), (None, "en"), ("x y", None)] * 20
