@@ -2,7 +2,7 @@
 
 Words are lower-cased letter and digit runs.  Every item has a seed for each of its n-grams.  A first pass over whole
 texts finds where seeds occur; each occurrence gives a document, an item and a place.  Around each place lies a window
-that leaves room for edits.  Windows without enough of the item's words cannot
+that holds every alignment through it which reaches the score.  Windows without enough of the item's words cannot
 reach it; the others are merged where they overlap and aligned, which finds edited and paraphrased copies too.
 """
 
@@ -175,11 +175,12 @@ def _item_words(items: DataFrame) -> DataFrame:
 
 
 def windows(words: np.ndarray, item: np.ndarray, starts: list[tuple[int, int]], min_score: float) -> list[tuple[int, int]]:
-    """Stretches ``(lo, hi)`` of ``words`` around ``starts``, ranges of diagonals, with room for edits.
+    """Stretches ``(lo, hi)`` of ``words`` with every alignment through one of ``starts`` that reaches the score.
 
-    A score of ``min_score`` needs so many of the item's words, each as often as it stands in the item.
+    ``starts`` are ranges of diagonals.  A score of ``min_score`` leaves points for at most ``room`` gaps, and needs so
+    many of the item's words, each as often as it stands in the item.
     """
-    room = len(item) // 3 + 8
+    room = max(0, int(np.ceil(MATCH * (1 - min_score) * len(item) / -GAP))) + 1
     known, times = np.unique(item, return_counts=True)
     out: list[tuple[int, int]] = []
     for low, high in sorted(starts):

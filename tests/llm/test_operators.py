@@ -225,10 +225,24 @@ def test_contaminated(spark, docs, monkeypatch, bound):
 def test_every_seed_starts_an_alignment(spark, docs):
     words = [f"q{k}" for k in range(38)]
     edited = [f"x{k}" if k in range(4, 38, 6) else w for k, w in enumerate(words)]
-    rows = [(1, "before " + " ".join(words)), (2, "before " + " ".join(edited))]
-    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    spread = [f"q{k}" for k in range(100, 160)]
+    between = spread[:30] + [f"y{k}" for k in range(40)] + spread[30:]
+    rows = [(1, "before " + " ".join(words)), (2, "before " + " ".join(edited)), (3, " ".join(spread)), (4, "some " + " ".join(between))]
+    items = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(spread))], "item_id long, text string")
     found = {(r.doc_id, r.item_id): (r.score, r.start_word, r.end_word) for r in decontaminate.contaminated(docs(rows), items).collect()}
-    assert found == {(1, 1): (1.0, 1, 39), (2, 1): (58 / 76, 1, 39)}
+    assert found == {(1, 1): (1.0, 1, 39), (2, 1): (58 / 76, 1, 39), (3, 2): (1.0, 0, 60), (4, 2): (80 / 120, 1, 101)}
+
+
+def test_windows_hold_every_copy():
+    pick = random.Random(3)
+    for _ in range(300):
+        item = np.array([pick.randint(0, 12) for _ in range(pick.randint(3, 14))])
+        doc = np.array([pick.choice([*item, 50, 51]) for _ in range(pick.randint(3, 60))])
+        at = [i - j for i in range(len(doc) - 1) for j in range(len(item) - 1) if (doc[i : i + 2] == item[j : j + 2]).all()]
+        best = decontaminate.align(doc, item)[0]
+        parts = decontaminate.windows(doc, item, [(a, a) for a in at], 0.6)
+        got = max((decontaminate.align(doc[a:b], item)[0] for a, b in parts), default=0)
+        assert got == best or best < 1.2 * len(item) or (len(item) < 6 and not parts)
 
 
 def test_languages(spark, docs):
