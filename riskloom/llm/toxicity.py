@@ -2,7 +2,7 @@
 
 A lexicon of words that mark toxic texts is learned from the sample by log odds.  Features are its densities, how
 near its words stand to second-person words, capitals, punctuation and obfuscation rates.  Trees are fitted on one
-part of the sample and calibrated on another.
+part of the sample and calibrated on another; with few rows of a class, lexicon and calibration are cross-fitted.
 """
 
 from __future__ import annotations
@@ -15,10 +15,10 @@ import pandas as pd
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.sample import labelled_sample, sample_texts
+from riskloom.llm.sample import class_sample, sample_texts
 from riskloom.session import materialize
 
 #: Bound of the labelled rows that the classifier is fitted on.
@@ -31,6 +31,11 @@ STRONG_ODDS = 3.5
 NEAR = 6
 TREES = 30
 DEPTH = 3
+#: With fewer different texts of a class, all rows serve lexicon, trees and calibration, by cross-fitting.
+FEW = 300
+FOLDS = 4
+FEW_TREES = 10
+FEW_DEPTH = 2
 CACHED = 300_000
 FEATURES = (
     "strong_density", "weak_density", "strong_hits", "weak_hits", "weight_sum", "weight_max", "second_person",
@@ -165,6 +170,8 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     held = texts.select("label", F.explode(F.array_distinct(F.concat(words, *stems))).alias("word"))
     total = texts.agg(F.sum("label").alias("bad"), F.count("*").alias("all")).first()
     bad, every = float(total["bad"] or 0), float(total["all"])
+    if not 0 < bad < every:
+        return {}
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     n = a + b
     odds = F.log((a + 1) / (bad + 2)) - F.log((b + 1) / (every - bad + 2))
@@ -172,7 +179,7 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     best = (
         held.groupBy("word")
         .agg(F.sum("label").alias("a"), (F.count("*") - F.sum("label")).alias("b"))
-        .filter(F.col("a") >= 4)
+        .filter(F.col("a") >= (4 if bad >= 40 else 2))
         .select("word", odds.alias("odds"), ratio.alias("ratio"))
         .filter((F.col("odds") > 1) & (F.col("ratio") > 5))
         .orderBy(F.desc("ratio"), "word")
@@ -182,26 +189,63 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS) -> Toxicity:
-    """Learn from a bounded sample of rows labelled 0 or 1.  Fewer than 20 rows of a class: a constant score."""
-    sample = materialize(sample_texts(docs, labelled_sample(labels, label, rows)))
-    classes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
-    if min(classes.get(0, 0), classes.get(1, 0)) < 20:
+    """Learn from a bounded sample of rows labelled 0 or 1.  No row of a class: a constant score."""
+    texts = sample_texts(docs, class_sample(labels, label, rows)).withColumn("same", F.xxhash64("text"))
+    sample = materialize(texts)
+    counted = sample.groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("same").alias("texts")).collect()
+    classes = {r["label"]: r["n"] for r in counted}
+    if len(classes) < 2:
         constant = (classes.get(1, 0) + 0.5) / (sum(classes.values()) + 1) if classes else 0.0
         return Toxicity({}, STRONG_ODDS, None, None, float(constant))
-    # Trees and calibration see other texts than the lexicon, whose words would else look too good.
-    part = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(10))
-    lexicon, strong = learn_lexicon(sample.filter(part < 4)), STRONG_ODDS
-    of = _features(lexicon, strong)
-    rest = materialize(
-        sample.filter(part >= 4).select(
-            F.col("label").cast("double").alias("label"), of("text").alias("x"), (part < 8).alias("fit")
-        )
-    ).withColumn("features", array_to_vector("x"))
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, maxBins=64, seed=11).fit(rest.filter("fit"))
-    margin = vector_to_array("rawPrediction")[1]
-    held = trees.transform(rest.filter("NOT fit")).select("label", margin.alias("margin"))
-    calibration = IsotonicRegression(featuresCol="margin", labelCol="label", predictionCol="score").fit(held)
-    return Toxicity(lexicon, strong, trees, calibration, 0.0)
+    fewest = min(r["texts"] for r in counted)
+    if fewest < FEW:
+        lexicon, trees, held = _cross_fitted(sample, max(2, min(FOLDS, fewest)))
+    else:
+        # Trees and calibration see other texts than the lexicon, whose words would else look too good.
+        part = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(10))
+        lexicon = learn_lexicon(sample.filter(part < 4))
+        rest = _seen(sample.filter(part >= 4).withColumn("fit", part < 8), lexicon, "fit")
+        rest = materialize(rest).withColumn("features", array_to_vector("x"))
+        trees = _trees(TREES, DEPTH).fit(rest.filter("fit"))
+        held = _margins(trees, rest.filter("NOT fit"))
+    # The calibration alone has to know how rare a class is before sampling.
+    isotonic = IsotonicRegression(featuresCol="margin", labelCol="label", predictionCol="score", weightCol="weight")
+    return Toxicity(lexicon, STRONG_ODDS, trees, isotonic.fit(held), 0.0)
+
+
+def _seen(sample: DataFrame, lexicon: dict[str, float], *columns: str) -> DataFrame:
+    of = _features(lexicon, STRONG_ODDS)
+    return sample.select(F.col("label").cast("double").alias("label"), "weight", of("text").alias("x"), *columns)
+
+
+def _trees(trees: int, depth: int) -> GBTClassifier:
+    return GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, maxBins=64, seed=11)
+
+
+def _margins(trees, rows: DataFrame) -> DataFrame:
+    return trees.transform(rows).select("label", "weight", vector_to_array("rawPrediction")[1].alias("margin"))
+
+
+def _cross_fitted(sample: DataFrame, folds: int) -> tuple[dict[str, float], object, DataFrame]:
+    """Lexicon and trees of all rows, and margins of all rows by trees and lexicons that have not seen them.
+
+    Each fold has its share of each class; equal texts are in one fold.
+    """
+    kinds = sample.groupBy("same").agg(F.max("label").alias("kind"))
+    place = F.row_number().over(Window.partitionBy("kind").orderBy("same"))
+    dealt = materialize(kinds.select("same", (place % folds).alias("fold")))
+    sample = materialize(sample.join(dealt, "same"))
+    rest = None
+    for k in range(folds):
+        part = _seen(sample.filter(F.col("fold") == k), learn_lexicon(sample.filter(F.col("fold") != k)), "fold")
+        rest = part if rest is None else rest.union(part)
+    rest = materialize(rest.coalesce(8)).withColumn("features", array_to_vector("x"))
+    fit = _trees(FEW_TREES, FEW_DEPTH)
+    held = None
+    for k in range(folds):
+        margins = _margins(fit.fit(rest.filter(F.col("fold") != k)), rest.filter(F.col("fold") == k))
+        held = margins if held is None else held.union(margins)
+    return learn_lexicon(sample), fit.fit(rest), held
 
 
 def score_toxicity(docs: DataFrame, model: Toxicity) -> DataFrame:

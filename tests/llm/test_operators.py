@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from check import rows_of
-from riskloom.llm import bitplanes, decontaminate, language, linededup, neardup, neighbours, packing, quality, toxicity, warc
+from riskloom.llm import bitplanes, decontaminate, language, linededup, neardup, neighbours, packing, quality, sample, toxicity, warc
 from riskloom.llm.common import WordHashes
 from riskloom.llm.queries import ORACLES, QUERIES, TOKENIZER
 from riskloom.llm.tokens import TokenEncoder
@@ -292,6 +292,30 @@ def test_classifiers_learn(spark, docs):
     assert len(found) == len(scores) == 612 and all(0 <= r.score <= 1 for r in [*found, *scores])
 
 
+def test_toxicity_of_few_rows(spark, docs):
+    pick = random.Random(5)
+    texts = []
+    for i in range(240):
+        words = [f"w{pick.randint(0, 200)}" for _ in range(pick.randint(20, 40))]
+        if i % 10 == 1:
+            words[3:3] = ["you", "scumbag"]
+        texts.append((i, " ".join(words)))
+    labels = spark.createDataFrame([(i, int(i % 10 == 1)) for i in range(120)], "doc_id long, toxic int")
+    found = toxicity.score_toxicity(docs(texts + ODD), toxicity.fit_toxicity(docs(texts), labels)).collect()
+    assert {r.doc_id for r in found if r.doc_id is not None and r.doc_id >= 120 and r.score >= 0.7} == set(range(121, 240, 10))
+    # One toxic text shows nothing in common, no toxic text nothing at all.
+    for most in (10, 1):
+        model = toxicity.fit_toxicity(docs(texts), labels.filter(f"doc_id < {most}"))
+        assert all(0 <= r.score <= 1 for r in toxicity.score_toxicity(docs(ODD), model).collect())
+
+
+def test_class_sample_keeps_the_rarer_class(spark):
+    labels = spark.createDataFrame([(i, int(i % 500 == 0)) for i in range(20_000)], "doc_id long, toxic int")
+    got = {r.label: r for r in sample.class_sample(labels, "toxic", 1000).groupBy("label").agg({"*": "count", "weight": "sum"}).collect()}
+    assert got[1]["count(1)"] == 40 and 700 < got[0]["count(1)"] < 1150
+    assert got[1]["sum(weight)"] == 40 and abs(got[0]["sum(weight)"] / 19_960 - 1) < 0.15
+
+
 def test_nearest(spark):
     random_ = np.random.default_rng(9)
     x = random_.normal(size=(400, 12)) * random_.uniform(0.5, 2, size=(400, 1))
