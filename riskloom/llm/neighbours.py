@@ -3,7 +3,8 @@
 Equal vectors are one node.  A further component makes all lengths equal, so that the largest inner product is the
 nearest direction.  The graph starts from random-projection tables: nodes with the same code meet in groups of
 bounded size and keep their best.  Then rounds of NN-descent: around each node, the nodes that it is linked with,
-either way, are compared with each other, as neighbours of neighbours are likely to be near.  A query starts at its
+either way, are compared with each other, as neighbours of neighbours are likely to be near; nodes that many others
+link to take these in several groups.  Rounds go on until few links change.  A query starts at its
 own node and walks to the best nodes found so far until none of its beam is left to open.  All of it are Spark joins
 on node ids; tasks hold one group at a time.  Graph and walk use half precision; final scores are exact.
 """
@@ -29,10 +30,9 @@ TABLES = 16
 #: Nodes that are compared with each other in one group of a table.
 LEAF = 2_000
 DEGREE = 32
-#: Links from others that a node takes into a comparison.
+#: Links from others that a node takes into one comparison, about; more are worked off in several.
 REVERSE = 32
-ROUNDS = 5
-#: Rounds end when fewer than this share of links changes.
+#: Rounds end when fewer than this share of links changes; lists only get better, so they do end.
 SETTLED = 0.02
 BEAM = 80
 #: Walks end by themselves; this only ends a program error.
@@ -169,19 +169,26 @@ def _merged(lists: DataFrame, degree: int) -> DataFrame:
 
 
 def _links(graph: DataFrame, reverse: int) -> DataFrame:
-    """``centre, member``: links of each node forward, and of those from others a bounded choice by hash."""
+    """``centre, part, member``: all links of each node, those from others dealt by hash to parts of about ``reverse``.
+
+    Each part has the node's own links too.
+    """
     forward = graph.select(F.col("id").alias("centre"), F.explode("near").alias("member"))
     back = forward.select(F.col("member").alias("centre"), F.col("centre").alias("member"))
-    order = Window.partitionBy("centre").orderBy(F.xxhash64("centre", "member"), "member")
-    back = back.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= reverse).drop("r")
-    return forward.union(back).distinct()
+    many = back.groupBy("centre").agg(F.ceil(F.count("*") / reverse).alias("parts")).filter(F.col("parts") > 1)
+    many = materialize(many)
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    dealt = back.join(many, "centre", "left").select("centre", F.pmod(F.xxhash64("centre", "member"), parts).alias("part"), "member")
+    own = forward.join(many, "centre", "left").select("centre", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "member")
+    return own.union(dealt).distinct()
 
 
 def descend(graph: DataFrame, nodes: DataFrame, degree: int, reverse: int) -> DataFrame:
     """One round: members around each node are compared; what beats a member's worst neighbour is kept for it."""
     worst = graph.select("id", F.when(F.size("sims") >= degree, F.array_min("sims")).otherwise(F.lit(-9.0)).cast("float").alias("worst"))
     known = materialize(nodes.join(worst, "id", "left").withColumnRenamed("id", "member"))
-    met = _links(graph, reverse).join(known, "member").repartition("centre").sortWithinPartitions("centre", "member")
+    met = _links(graph, reverse).join(known, "member")
+    met = met.repartition("centre", "part").sortWithinPartitions("centre", "part", "member")
 
     def better(batches):
         held: list[tuple] = []
@@ -198,7 +205,7 @@ def descend(graph: DataFrame, nodes: DataFrame, degree: int, reverse: int) -> Da
             return _lists(v[np.concatenate([[0], cuts])], np.split(w, cuts), np.split(s, cuts))
 
         waiting = 0
-        for group in groups(batches, ["centre"]):
+        for group in groups(batches, ["centre", "part"]):
             ids, x = group.column("member").to_numpy(), _rows(group, "half", np.float16)
             least = group.column("worst").to_numpy()
             sims = x @ x.T
@@ -216,11 +223,11 @@ def descend(graph: DataFrame, nodes: DataFrame, degree: int, reverse: int) -> Da
     return met.mapInArrow(better, _LISTS)
 
 
-def build_graph(nodes: DataFrame, tables: int = TABLES, leaf: int = LEAF, degree: int = DEGREE, reverse: int = REVERSE, rounds: int = ROUNDS) -> DataFrame:
+def build_graph(nodes: DataFrame, tables: int = TABLES, leaf: int = LEAF, degree: int = DEGREE, reverse: int = REVERSE) -> DataFrame:
     """``id, near, sims``: the neighbour graph of ``nodes(id, half)``."""
     count = nodes.count()
     graph = _merged(start_lists(nodes, count, tables, leaf, degree), degree)
-    for _ in range(rounds):
+    while True:
         new = _merged(graph.union(descend(graph, nodes, degree, reverse)), degree)
         both = new.join(graph.select("id", F.col("near").alias("old")), "id", "left")
         changed = both.agg(
@@ -235,7 +242,7 @@ def build_graph(nodes: DataFrame, tables: int = TABLES, leaf: int = LEAF, degree
 
 def walk(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int, reverse: int) -> DataFrame:
     """``query, near``: for ``queries(query, id, half)`` the beam of nodes that the walk from ``id`` ends with."""
-    roads = materialize(_links(graph, reverse).groupBy("centre").agg(F.collect_set("member").alias("next")))
+    roads = materialize(_links(graph, reverse).groupBy("centre", "part").agg(F.collect_set("member").alias("next")))
     # State: the beam, best first, and which of it have been opened; the own node is a member like others.
     state = queries.select(
         "query", "half", F.array("id").alias("near"), F.array(F.lit(9.0).cast("float")).alias("sims"), F.array(F.lit(False)).alias("opened")

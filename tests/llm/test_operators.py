@@ -335,6 +335,30 @@ def test_nearest(spark):
     assert neighbours.nearest(frame.limit(0), "true").count() == 0
 
 
+def test_links_of_a_hub_are_whole(spark):
+    graph = spark.createDataFrame([(i, [1000, 1001], [1.0, 1.0]) for i in range(300)], "id long, near array<long>, sims array<float>")
+    links = neighbours._links(graph, 32).collect()
+    assert {r.member for r in links if r.centre == 1000} == set(range(300))
+    sizes = {}
+    for r in links:
+        sizes[r.centre, r.part] = sizes.get((r.centre, r.part), 0) + 1
+    assert max(sizes.values()) < 100
+
+
+def test_rounds_go_on_until_links_settle(spark, monkeypatch):
+    nodes = spark.createDataFrame([(i, np.eye(6, dtype=np.float16)[i].tobytes()) for i in range(6)], "id long, half binary")
+    rounds = []
+
+    def improve(graph, *_):
+        rounds.append(len(rounds))
+        better = [(i, [100 + len(rounds)], [float(len(rounds))]) for i in range(6)] if len(rounds) < 8 else []
+        return spark.createDataFrame(better, neighbours._LISTS)
+
+    monkeypatch.setattr(neighbours, "descend", improve)
+    graph = neighbours.build_graph(nodes, tables=1, degree=3).collect()
+    assert len(rounds) == 8 and {tuple(r.near) for r in graph} == {(107, 106, 105)}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
