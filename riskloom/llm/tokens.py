@@ -15,8 +15,10 @@ from functools import cache
 
 import numpy as np
 
-#: Units kept by one task's cache; it is emptied when full.
-CACHED_UNITS = 1_000_000
+#: Bytes of one worker's cache, and what a unit takes besides its own bytes and ids; it is emptied before it would
+#: grow beyond, and units that alone would are not kept.
+CACHE_BYTES = 160 << 20
+UNIT_BYTES = 200
 #: Units that are encoded as one text; the ids of each begin with a token that begins with a space.
 JOINED = 200
 #: White space here, and two characters that some pattern libraries count as such: never cut beside them.
@@ -27,11 +29,13 @@ _SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace()) + "᠎​"
 class TokenEncoder:
     """``encode(texts)``: the ids of each text as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain_specials: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if plain_specials:
+            self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
@@ -44,6 +48,7 @@ class TokenEncoder:
             and not any(t["lstrip"] or t["rstrip"] or " " in t["content"] for t in spec.get("added_tokens", []))
         )
         self.known: dict[str, bytes | None] = {}
+        self.held = 0
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         if self.by_unit:
             self.opens[[k for t, k in self.tokenizer.get_vocab().items() if t[0] == "Ġ"]] = True
@@ -72,14 +77,26 @@ class TokenEncoder:
                     out += self.plain([" " + u for u in group])
         return out
 
-    def _learn(self, units: set[str]) -> None:
-        if len(self.known) > CACHED_UNITS:
-            self.known.clear()
+    def _learn(self, units: set[str]) -> dict[str, bytes | None]:
+        """A table that holds all the units; the cache, unless they would not fit into it."""
         new = units - self.known.keys()
         cut = [u for u in new if u and u.strip(_SPACES) == u]
-        if len(cut) < len(new):
-            self.known.update(dict.fromkeys(new))
-        self.known.update(zip(cut, self._units(cut), strict=True))
+        fresh = dict.fromkeys(new) if len(cut) < len(new) else {}
+        fresh.update(zip(cut, self._units(cut), strict=True))
+        cost = self._cost(fresh)
+        if self.held + cost > CACHE_BYTES:
+            fresh.update((u, self.known[u]) for u in units - new)
+            self.known, self.held = {}, 0
+            cost = self._cost(fresh)
+            if cost > CACHE_BYTES:
+                return fresh
+        self.known.update(fresh)
+        self.held += cost
+        return self.known
+
+    @staticmethod
+    def _cost(table: dict[str, bytes | None]) -> int:
+        return sum(map(len, table)) + sum(map(len, filter(None, table.values()))) + UNIT_BYTES * len(table)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_unit:
@@ -88,12 +105,12 @@ class TokenEncoder:
         units: set[str] = set()
         for p in parts:
             units.update(p[1:])
-        self._learn(units)
+        known = self._learn(units)
         heads = self.plain([p[0] for p in parts])
         out = []
         for text, head, p in zip(texts, heads, parts, strict=True):
             try:
-                out.append(head + b"".join(map(self.known.__getitem__, p[1:])))
+                out.append(head + b"".join(map(known.__getitem__, p[1:])))
             except TypeError:  # a unit that can't be cut off
                 first, *rest = _CUT.split(text)
                 out.append(b"".join(self.plain([first, *(" " + u for u in rest)])))
