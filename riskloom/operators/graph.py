@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.paths import basename
 from riskloom.model import Profile, profile_of
+from riskloom.operators import cycles
 from riskloom.operators.skew import join_unique
 from riskloom.session import materialize, run_dir
 
+#: Edges that one task may hold for the cycle search (some 40 MB of names and lists).
+PART_EDGES = 200_000
+#: A part goes to one more task for each so many edges, and to so many at most.
+SHARE_EDGES = 200
+MOST_SHARES = 64
+#: Nodes of found cycles that a task holds before it sends them on.
+HELD_NODES = 200_000
+
 # Names that are entry points, not orphans (span profile).
 ENTRY_NAMES = ("index.php", "main.php", "app.php", "bootstrap.php")
 
@@ -237,22 +249,144 @@ def cycle_core(edges: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     return core, [loops, *walks, *more]
 
 
-def include_cycles(edges: DataFrame, max_length: int | None = None) -> DataFrame:
+def weak_components(edges: DataFrame) -> DataFrame:
+    """``(node, part)``: each node's connected component, named by one of its nodes.
+
+    Every node hooks onto its smallest neighbour, pointers are doubled until they reach a root, and edges are drawn
+    between roots, until none is left: rounds grow with the logarithm of the graph, not with its length.
+    """
+    links = materialize(edges.select("src", "dst").distinct())
+    labels = None
+    while not links.isEmpty():
+        ways = links.unionAll(links.select("dst", "src"))
+        state = ways.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("near"))
+        state = materialize(state.select("node", F.least("node", "near").alias("at")))
+        while True:
+            further = state.select(F.col("node").alias("at"), F.col("at").alias("to"))
+            step = join_unique(state, further, "at").select("node", F.col("to").alias("at"), (F.col("to") < F.col("at")).alias("moved"))
+            step = materialize(step)
+            state = step.drop("moved")
+            if step.filter("moved").isEmpty():
+                break
+        if labels is None:
+            labels = state.withColumnRenamed("at", "part")
+        else:
+            roots = state.select(F.col("node").alias("part"), "at")
+            labels = materialize(labels.join(roots, "part", "left").select("node", F.coalesce("at", "part").alias("part")))
+        drawn = join_unique(links, state.select(F.col("node").alias("src"), F.col("at").alias("from")), "src")
+        drawn = join_unique(drawn, state.select(F.col("node").alias("dst"), F.col("at").alias("to")), "dst")
+        links = materialize(drawn.filter(F.col("from") != F.col("to")).select(F.col("from").alias("src"), F.col("to").alias("dst")).distinct())
+    return labels if labels is not None else edges.select(F.col("src").alias("node"), F.col("src").alias("part")).limit(0)
+
+
+def trim(core: DataFrame, size: int, enough: int) -> tuple[DataFrame, int]:
+    """Drop edges whose ends lack a way in or on, until ``enough`` are left or a round drops less than one in eight.
+
+    Searches drop what is left over themselves, so stopping early costs no result.
+    """
+    while size > enough:
+        live = _degrees(core).filter("ins > 0 AND outs > 0").select("node")
+        kept = join_unique(core, live.withColumnRenamed("node", "src"), "src", "left_semi")
+        core = materialize(join_unique(kept, live.withColumnRenamed("node", "dst"), "dst", "left_semi"))
+        before, size = size, core.count()
+        if size > before - before // 8:
+            break
+    return core, size
+
+
+def _split(core: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """``(edges with part and n, edges of parts larger than most)``: whole weakly connected parts."""
+    labels = weak_components(core).withColumnRenamed("node", "src")
+    marked = materialize(join_unique(core, labels, "src"))
+    sizes = marked.groupBy("part").agg(F.count("*").alias("n"))
+    sized = materialize(join_unique(marked, sizes, "part"))
+    return sized.filter(F.col("n") <= most), sized.filter(F.col("n") > most).select("src", "dst")
+
+
+def _cycles_within(edges: DataFrame, max_length: int | None) -> DataFrame:
+    """``(walk)`` of all cycles in ``edges(src, dst, part, n)``, each part at most as large as one task may hold.
+
+    A part with many edges goes to several tasks, each of which looks for the cycles of its share of smallest nodes.
+    """
+    shares = F.least(F.lit(MOST_SHARES), F.lit(1) + F.floor(F.col("n") / SHARE_EDGES)).cast("int")
+    dealt = edges.select("part", "src", "dst", shares.alias("shares"))
+    dealt = dealt.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    dealt = dealt.repartition("part", "share").sortWithinPartitions("part", "share")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(key: tuple, pairs: list[tuple[str, str]]) -> Iterator[pa.RecordBatch]:
+            names = sorted({name for pair in pairs for name in pair})
+            number = {name: k for k, name in enumerate(names)}
+            out: dict[int, list[int]] = {k: [] for k in range(len(names))}
+            for src, dst in pairs:
+                out[number[src]].append(number[dst])
+            walks, held = [], 0
+            for walk in cycles.simple_cycles(out, key[1], key[2], max_length):
+                walks.append([names[k] for k in walk])
+                held += len(walk)
+                if held >= HELD_NODES:
+                    yield pa.RecordBatch.from_arrays([pa.array(walks, pa.list_(pa.string()))], names=["walk"])
+                    walks, held = [], 0
+            if walks:
+                yield pa.RecordBatch.from_arrays([pa.array(walks, pa.list_(pa.string()))], names=["walk"])
+
+        key, pairs = None, []
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("part", "share", "shares", "src", "dst")]
+            for *own, src, dst in zip(*columns, strict=True):
+                if tuple(own) != key:
+                    if pairs:
+                        yield from found(key, pairs)
+                    key, pairs = tuple(own), []
+                pairs.append((src, dst))
+        if pairs:
+            yield from found(key, pairs)
+
+    return dealt.mapInArrow(search, "walk array<string>")
+
+
+def include_cycles(edges: DataFrame, max_length: int | None = None, part_edges: int = PART_EDGES) -> DataFrame:
     """``(length, cycle)``: all simple cycles, each rotated to its smallest node.
 
-    Runs of nodes with one way in and out are walked in one step.  Paths then
-    grow level by level from every possible smallest node over larger nodes
-    only, so each cycle is found once; each level is written, and the search
-    ends when no path is left.  ``max_length`` leaves out longer cycles when
-    given; there is no other bound.
+    Edges that cannot lie on a cycle go first, while there are more than ``part_edges``.  What is left goes to tasks in
+    whole connected parts of at most that many edges, where cycles are searched block by block.  A larger connected
+    part is cut between its strongly connected parts; one of these that is still larger is searched level by level
+    over tables, which is exact too but slow.  ``max_length`` leaves out longer cycles when given.
     """
-    spark = edges.sparkSession
-    core, walks = cycle_core(edges)
-    folder = run_dir(spark, "cycles")
+    plain = materialize(edges.select("src", "dst").distinct())
+    walks = [plain.filter("src = dst").select(F.array("src").alias("walk"))]
+    core = plain.filter("src <> dst")
+    core, size = trim(core, core.count(), part_edges)
+    if size <= part_edges:
+        # One bounded part, which may hold many connected ones.
+        walks.append(_cycles_within(core.select("*", F.lit("").alias("part"), F.lit(size).cast("long").alias("n")), max_length))
+    else:
+        parts, larger = _split(core, part_edges)
+        walks.append(_cycles_within(parts, max_length))
+        if not larger.isEmpty():
+            parts, larger = _split(cut_between_components(larger), part_edges)
+            walks.append(_cycles_within(parts, max_length))
+            if not larger.isEmpty():
+                walks.append(_search_by_levels(larger, max_length))
     found = walks[0]
     for more in walks[1:]:
         found = found.unionByName(more)
-    found.write.parquet(folder)
+    if max_length is not None:
+        found = found.filter(F.size("walk") <= max_length)
+    return materialize(found.select(F.size("walk").alias("length"), F.col("walk").alias("cycle")))
+
+
+def _search_by_levels(edges: DataFrame, max_length: int | None) -> DataFrame:
+    """``(walk)``: paths grow level by level from every possible smallest node over larger nodes only.
+
+    Runs of nodes with one way in and out are walked in one step; each level is written.
+    """
+    core, found = cycle_core(edges)
+    folder = run_dir(edges.sparkSession, "cycles")
+    walks = found[0]
+    for more in found[1:]:
+        walks = walks.unionByName(more)
+    walks.write.parquet(folder)
     steps = core.select(F.col("src").alias("node"), "dst", "path")
     paths = core.filter("dst > src").select(
         F.col("src").alias("start"), F.col("dst").alias("node"), F.concat(F.array("src"), "path", F.array("dst")).alias("walk")
@@ -269,9 +403,6 @@ def include_cycles(edges: DataFrame, max_length: int | None = None) -> DataFrame
         level = materialize(level)
         level.filter("closed").select("walk").write.mode("append").parquet(folder)
         paths = level.filter("NOT closed").drop("closed")
-    cycles = spark.read.schema("walk array<string>").parquet(folder)
+    cycles_found = edges.sparkSession.read.schema("walk array<string>").parquet(folder)
     at = F.array_position("walk", F.array_min("walk")).cast("int")
-    turned = F.concat(F.slice("walk", at, F.size("walk")), F.slice("walk", F.lit(1), at - 1))
-    if max_length is not None:
-        cycles = cycles.filter(F.size("walk") <= max_length)
-    return cycles.select(F.size("walk").alias("length"), turned.alias("cycle"))
+    return cycles_found.select(F.concat(F.slice("walk", at, F.size("walk")), F.slice("walk", F.lit(1), at - 1)).alias("walk"))

@@ -1,8 +1,9 @@
 import random
+import time
 
 import pytest
 
-from riskloom.operators import graph, includes
+from riskloom.operators import cycles, graph, includes
 from riskloom.operators.skew import join_unique
 
 
@@ -89,15 +90,83 @@ def simple_cycles(edges):
     return sorted(out, key=lambda c: (len(c), c))
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_cycles_against_brute_force(spark, seed):
+def found_cycles(df, **options):
+    return sorted((list(r.cycle) for r in graph.include_cycles(df, **options).collect()), key=lambda c: (len(c), c))
+
+
+# A part of any size goes to one task; then nothing fits into one; then some parts do.
+@pytest.mark.parametrize(("seed", "part_edges"), [(0, 200_000), (1, 200_000), (1, 6)])
+def test_cycles_against_brute_force(spark, seed, part_edges):
     rng = random.Random(seed)
-    pairs = {(f"n{rng.randrange(9)}", f"n{rng.randrange(9)}") for _ in range(20)}
+    pairs = {(f"{g}{rng.randrange(7)}", f"{g}{rng.randrange(7)}") for _ in range(14) for g in "nm"}
+    pairs |= {("n0", "m0"), ("k1", "k2"), ("k2", "k1"), ("k2", "n1")}
     df = spark.createDataFrame(sorted(pairs), "src string, dst string")
-    got = sorted((list(r.cycle) for r in graph.include_cycles(df).collect()), key=lambda c: (len(c), c))
-    assert got == simple_cycles(pairs)
-    short = graph.include_cycles(df, max_length=2).collect()
-    assert sorted(list(r.cycle) for r in short) == sorted(c for c in simple_cycles(pairs) if len(c) <= 2)
+    assert found_cycles(df, part_edges=part_edges) == simple_cycles(pairs)
+    short = found_cycles(df, part_edges=part_edges, max_length=2)
+    assert short == [c for c in simple_cycles(pairs) if len(c) <= 2]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_search_within_a_task(seed):
+    rng = random.Random(seed)
+    size = rng.randrange(2, 8)
+    pairs = {(a, b) for a in range(size) for b in range(size) if a != b and rng.random() < 0.35}
+    out = {a: [b for b in range(size) if (a, b) in pairs] for a in range(size)}
+    want = simple_cycles(pairs)
+    for shares in (1, 3):
+        got = [c for k in range(shares) for c in cycles.simple_cycles(out, k, shares)]
+        assert sorted(got, key=lambda c: (len(c), c)) == want
+    short = sorted(cycles.simple_cycles(out, most=3), key=lambda c: (len(c), c))
+    assert short == [c for c in want if len(c) <= 3]
+
+
+def diamonds(n):
+    """A chain of two-way diamonds: two cycles each, and two ways on from each to the next."""
+    ways = [(f"c{k:04}", f"{s}{k:04}") for k in range(n) for s in "ab"]
+    ways += [(f"{s}{k:04}", f"c{k + 1:04}") for k in range(n) for s in "ab"]
+    return ways + [(f"c{k + 1:04}", f"c{k:04}") for k in range(n)]
+
+
+@pytest.mark.parametrize("n", [30, 3000])
+def test_diamonds_have_two_cycles_each(spark, n):
+    started = time.time()
+    got = found_cycles(spark.createDataFrame(diamonds(n), "src string, dst string"))
+    assert got == sorted([f"{s}{k:04}", f"c{k + 1:04}", f"c{k:04}"] for k in range(n) for s in "ab")
+    assert time.time() - started < 60
+
+
+def test_long_ladders(spark):
+    """A thousand files in two rails: one way it has no cycle, closed at one end one for each rung."""
+    started = time.time()
+    rails = [(f"a{k:03}", f"a{k + 1:03}") for k in range(499)] + [(f"b{k + 1:03}", f"b{k:03}") for k in range(499)]
+    rungs = [(f"a{k:03}", f"b{k:03}") for k in range(500)]
+    ladder = rails + rungs
+    make = lambda pairs: spark.createDataFrame(pairs, "src string, dst string")
+    assert found_cycles(make(ladder)) == []
+    got = found_cycles(make([*ladder, ("b000", "a000")]))
+    assert [len(c) for c in got] == [2 * k for k in range(1, 501)]
+    chain = [(f"n{k:04}", f"n{k + 1:04}") for k in range(1000)]
+    assert len(found_cycles(make(chain + [(b, a) for a, b in chain]))) == 1000
+    assert time.time() - started < 60
+
+
+def test_weak_components(spark):
+    rng = random.Random(5)
+    pairs = [(f"p{k:03}", f"p{k + 1:03}") for k in range(300)] + [("hub", f"s{k}") for k in range(50)]
+    pairs += [(f"r{a}", f"r{b}") for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(40)) if a != b]
+    parent = {n: n for p in pairs for n in p}
+
+    def root(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a, b in pairs:
+        parent[root(a)] = root(b)
+    found = {r.node: r.part for r in graph.weak_components(spark.createDataFrame(pairs, "src string, dst string")).collect()}
+    assert set(found) == set(parent)
+    groups = lambda of: sorted(sorted(n for n in parent if of(n) == g) for g in {of(n) for n in parent})
+    assert groups(root) == groups(found.get)
 
 
 def test_cutting_keeps_all_cycles(spark):
@@ -108,7 +177,7 @@ def test_cutting_keeps_all_cycles(spark):
     df = spark.createDataFrame(sorted(pairs), "src string, dst string")
     core = graph.cut_between_components(df)
     assert sorted(map(tuple, core.collect())) == sorted(p for p in pairs if p[0][:2] == p[1][:2])
-    got = sorted((list(r.cycle) for r in graph.include_cycles(df).collect()), key=lambda c: (len(c), c))
+    got = found_cycles(df)
     assert got == simple_cycles(pairs)
 
 
@@ -129,7 +198,7 @@ def test_long_rings_are_one_cycle_each(spark):
     other = [(f"b{i:03}", f"b{(i + 1) % 120:03}") for i in range(120)] + [("b040", "b100")]
     bridge = [("a000", "c0"), ("c0", "c1"), ("c1", "b000"), ("b000", "b000")]
     df = spark.createDataFrame(ring + other + bridge, "src string, dst string")
-    got = sorted((list(r.cycle) for r in graph.include_cycles(df).collect()), key=lambda c: (len(c), c))
+    got = found_cycles(df)
     names = [f"b{i:03}" for i in range(120)]
     long_ring = [f"a{7 * i % 150:03}" for i in range(150)]
     assert got == [["b000"], names[:41] + names[100:], names, long_ring]
