@@ -49,14 +49,17 @@ def block_includes(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(BLOCK_INCLUDE), F.lit(1))
 
 
+def raw_includes(text: Column, profile: str | Profile) -> Column:
+    """All literal include paths of a text, in the profile's form."""
+    name = profile_of(profile).name
+    if name == "line":
+        return F.concat(literal_includes(text), dir_includes(text))
+    return statement_includes(text) if name == "span" else block_includes(text)
+
+
 def extract_includes(texts: DataFrame, profile: str | Profile) -> DataFrame:
     """``(src, raw)``: distinct literal include paths per file, map-only."""
-    text = F.col("text")
-    raws = {
-        "line": lambda: F.concat(literal_includes(text), dir_includes(text)),
-        "span": lambda: statement_includes(text),
-        "block": lambda: block_includes(text),
-    }[profile_of(profile).name]()
+    raws = raw_includes(F.col("text"), profile)
     return texts.select(F.col("path").alias("src"), F.explode(F.array_distinct(raws)).alias("raw"))
 
 
@@ -153,7 +156,18 @@ def include_edges(
     texts = decoded(custom_files(files, profile), profile)
     includes = materialize(extract_includes(texts, profile))
     paths = listing if listing is not None else files.select("path")
-    resolved = resolve_includes(includes, paths, profile, root, heavy_min_rows)
+    return edges_from(includes, paths, profile, root, heavy_min_rows)
+
+
+def edges_from(
+    includes: DataFrame,
+    listing: DataFrame,
+    profile: str | Profile,
+    root: str | None = None,
+    heavy_min_rows: int = HEAVY_MIN_ROWS,
+) -> DataFrame:
+    """Edges of include paths that are extracted and written already."""
+    resolved = resolve_includes(includes, listing, profile, root, heavy_min_rows)
     return resolved.filter("is_node").select("src", "dst").distinct()
 
 

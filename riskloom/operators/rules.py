@@ -21,12 +21,36 @@ from riskloom.model import Profile, profile_of, weight_of
 FLAGS = "(?iU)"
 
 
+@dataclass(frozen=True)
+class After:
+    """``then`` anywhere after ``first``, with no ``apart`` character between them.
+
+    One pattern ``first.*then`` would look through the rest of the line again from every ``first``.  Whatever follows
+    a later ``first`` also follows the earliest one, so looking once behind that is enough: a line of any length takes
+    linear time.  For predicates over single lines only.
+    """
+
+    first: str
+    then: str
+    apart: str = ""
+
+    def holds(self, text: Column, flags: str) -> Column:
+        def follows(part: Column) -> Column:
+            rest = F.regexp_extract(part, f"{flags}(?s){self.first}(.*)", 1)
+            return F.rlike(rest, F.lit(flags + self.then))
+
+        found = F.exists(F.split(text, re.escape(self.apart), -1), follows) if self.apart else follows(text)
+        return F.rlike(text, F.lit(flags + self.then)) & found
+
+
 @dataclass(frozen=True)
 class RuleSpec:
     """One detection rule.
 
-    ``patterns``  any of them hits; text-unit rules have exactly one
-    ``veto``      lower-case tokens that cancel a hit on the same line
+    ``patterns``  any of them hits; over whole texts they act as one pattern with alternatives, so that matches of one
+                  rule never overlap: the leftmost wins, then the pattern named first
+    ``veto``      lower-case tokens that cancel a hit on the same line, or, over whole texts, on any line that the
+                  match touches
     ``keywords``  lower-case words of which one must occur in any hit; a byte
                   search for them spares most texts the patterns
     ``flags``     inline flags put in front of every pattern
@@ -34,7 +58,7 @@ class RuleSpec:
 
     name: str
     severity: str
-    patterns: tuple[str, ...]
+    patterns: tuple[str | After, ...]
     veto: tuple[str, ...] = ()
     keywords: tuple[str, ...] = ()
     scanner: str = "security"
@@ -48,7 +72,11 @@ class RuleSpec:
     def hits(self, text: Column) -> Column:
         """Predicate over one line (or any text)."""
         found = reduce(
-            lambda a, b: a | b, [F.rlike(text, F.lit(self.flags + p)) for p in self.patterns]
+            lambda a, b: a | b,
+            [
+                p.holds(text, self.flags) if isinstance(p, After) else F.rlike(text, F.lit(self.flags + p))
+                for p in self.patterns
+            ],
         )
         return found & ~has_token(text, self.veto) if self.veto else found
 
@@ -60,9 +88,18 @@ class RuleSpec:
 
     @property
     def text_pattern(self) -> str:
-        if len(self.patterns) != 1 or self.veto:
-            raise ValueError(f"rule {self.name!r} cannot run on whole texts: one pattern, no veto")
-        return self.flags + self.patterns[0]
+        """All patterns as one, for whole texts."""
+        if any(isinstance(p, After) for p in self.patterns):
+            raise ValueError(f"rule {self.name!r} is for single lines")
+        if len(self.patterns) == 1:
+            return self.flags + self.patterns[0]
+        if any(_BACK_REFERENCE.search(p) for p in self.patterns):
+            raise ValueError(f"rule {self.name!r}: a pattern that refers back must be the only one")
+        return self.flags + "|".join(f"(?:{p})" for p in self.patterns)
+
+
+# A numbered back-reference, which other patterns' groups would shift.
+_BACK_REFERENCE = re.compile(r"(?<!\\)(?:\\\\)*\\[1-9]")
 
 
 def has_token(text: Column, tokens: Iterable[str]) -> Column:
@@ -133,8 +170,8 @@ LINE_SECURITY = (
         "sql_injection",
         "CRITICAL",
         (
-            rf"(?:->|\b){_CALL}.*{_REQUEST}\s*\[",
-            rf"(?:->|\b){_CALL}[^)]*\.\s*{_REQUEST}",
+            After(rf"(?:->|\b){_CALL}", rf"{_REQUEST}\s*\["),
+            After(rf"(?:->|\b){_CALL}", rf"\.\s*{_REQUEST}", apart=")"),
         ),
         veto=SANITIZERS,
         keywords=("query", "execute"),
@@ -143,7 +180,7 @@ LINE_SECURITY = (
     RuleSpec(
         "xss_direct_echo",
         "HIGH",
-        (rf"\becho\b.*{_REQUEST_COOKIE}\s*\[",),
+        (After(r"\becho\b", rf"{_REQUEST_COOKIE}\s*\["),),
         veto=SANITIZERS,
         keywords=("echo",),
     ),

@@ -23,6 +23,7 @@ from riskloom.operators.rules import (
     SPAN_SQL_INJECTION,
     RuleSpec,
     at_least,
+    has_token,
     is_exotic,
     security_rules,
 )
@@ -37,8 +38,24 @@ def custom_files(files: DataFrame, profile: str | Profile, root: str | None = No
     return files.filter(is_php(F.col("path"), prof) & is_custom(F.col("path"), prof, root))
 
 
+# Reasons of skipped files.
+UNREADABLE = "unreadable"
+NOT_UTF8 = "not valid UTF-8"
+
+
+def opened(files: DataFrame, profile: str | Profile) -> DataFrame:
+    """``(path, text, skipped)`` with the profile's decoding; ``skipped`` is the reason why a text is NULL."""
+    prof = profile_of(profile)
+    content = F.col("content")
+    if files.schema["content"].dataType.typeName() == "binary":
+        content = tx.decode_text(content, prof.decode)
+    read = files.select("path", F.col("content").isNull().alias("missing"), content.alias("raw"))
+    reason = F.when(F.col("missing"), F.lit(UNREADABLE)).when(F.col("raw").isNull(), F.lit(NOT_UTF8))
+    return read.select("path", tx.normalize_newlines(F.col("raw")).alias("text"), reason.alias("skipped"))
+
+
 def decoded(files: DataFrame, profile: str | Profile) -> DataFrame:
-    """``(path, text)`` with the profile's decoding; unreadable files drop out."""
+    """``(path, text)`` with the profile's decoding, without skipped files."""
     prof = profile_of(profile)
     content = F.col("content")
     if files.schema["content"].dataType.typeName() == "binary":
@@ -47,6 +64,12 @@ def decoded(files: DataFrame, profile: str | Profile) -> DataFrame:
     return readable.select("path", tx.normalize_newlines(F.col("raw")).alias("text"))
 
 
+def skipped_files(files: DataFrame, profile: str | Profile) -> DataFrame:
+    """``(path, reason)``: project files that a scan of this profile passes over."""
+    found = opened(custom_files(files, profile), profile).filter("skipped is not null")
+    return found.select("path", F.col("skipped").alias("reason"))
+
+
 def numbered_lines(texts: DataFrame) -> DataFrame:
     """``(path, line_no, line)``, one row per line."""
     return texts.select(
@@ -109,9 +132,14 @@ def _tag(rule: RuleSpec) -> Column:
 
 def scan_texts(texts: DataFrame, rules: Iterable[RuleSpec], profile: str | Profile) -> DataFrame:
     """One finding per match over the whole text."""
+    return text_rows(texts, rules, profile, F.array().cast(_FINDINGS))
+
+
+def text_rows(texts: DataFrame, rules: Iterable[RuleSpec], profile: str | Profile, others: Column) -> DataFrame:
+    """Findings of whole texts, and what ``others`` (on the columns of ``texts``) adds to them, in one pass."""
     show = tx.shorten if profile_of(profile).name == "span" else tx.strip
     text, low, exotic = F.col("text"), F.col("low"), F.col("exotic")
-    prepared = texts.select("path", "text", F.lower(text).alias("low"), is_exotic(text).alias("exotic"))
+    prepared = texts.select("path", "text", F.lower(text).alias("low"), is_exotic(text).alias("exotic"), others.alias("others"))
     per_rule = [
         F.when(
             rule.possible(low, exotic) & _has_hit(text, rule),
@@ -120,13 +148,13 @@ def scan_texts(texts: DataFrame, rules: Iterable[RuleSpec], profile: str | Profi
         for rule in rules
     ]
     # Matches are put in shape after they have become rows, in compiled code.
-    return prepared.select("path", F.inline(F.concat(*per_rule))).select(
+    return prepared.select("path", F.inline(F.concat(*per_rule, F.col("others")))).select(
         "scanner",
         F.col("path").alias("file"),
         "line",
         "rule",
         "severity",
-        show(F.col("match")).alias("match"),
+        F.when(F.col("severity").isNull(), F.col("match")).otherwise(show(F.col("match"))).alias("match"),
     )
 
 
@@ -155,6 +183,9 @@ def _rule_hits(text: Column, rule: RuleSpec) -> Column:
         return taint.sql_injection(text)
     if rule is BLOCK_SQL_INJECTION:
         return _first_call_to_last_request(text)
+    if rule.veto:
+        found = tx.matches_with_lines(text, rule.text_pattern, lambda interval: has_token(interval, rule.veto))
+        return F.transform(F.filter(found, lambda hit: ~hit["vetoed"]), lambda hit: F.struct(hit["line"].alias("line"), hit["match"].alias("match")))
     return _matches(text, rule.text_pattern)
 
 

@@ -14,19 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from riskloom.model import Profile
 from riskloom.operators.rules import RuleSpec
 from riskloom.operators.scan import scan_content, scan_line_rows
-from riskloom.sources.tree import below
-
-
-def arriving_files(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
-    """``(path, content)`` of files that appear below a folder."""
-    return (
-        spark.readStream.format("binaryFile")
-        .schema("path string, modificationTime timestamp, length bigint, content binary")
-        .option("recursiveFileLookup", "true")
-        .option("maxFilesPerTrigger", str(max_files))
-        .load(folder)
-        .select(below(folder).alias("path"), "content")
-    )
+from riskloom.streaming.files import arriving_files
 
 
 def arriving_rows(spark: SparkSession, table: str) -> DataFrame:
@@ -40,6 +28,9 @@ def arriving_rows(spark: SparkSession, table: str) -> DataFrame:
     )
 
 
+__all__ = ["append_findings", "arriving_files", "arriving_rows", "scan_file_stream", "scan_line_stream", "with_arrival"]
+
+
 def scan_file_stream(files: DataFrame, profile: str | Profile, floor: str | None = None) -> DataFrame:
     return scan_content(files, profile, floor)
 

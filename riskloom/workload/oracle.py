@@ -175,12 +175,12 @@ LEAK_PATTERNS = {
 
 
 def matches_of(pattern: str, source: str = "texts", key: str = "path", text: str = "text") -> str:
-    """(key, n, start, line, raw, rest): all matches with their position."""
+    """(key, n, raw, head, line, rest): all matches with their position."""
     before = (
         "array_to_string(list_slice(ps, 1, n), '') || array_to_string(list_slice(ms, 1, n - 1), '')"
     )
     return f"""(
-  SELECT {key}, n, raw, cast(1 + length(before) - length(replace(before, {LF}, '')) AS INTEGER) AS line,
+  SELECT {key}, n, raw, substring(body, 1, start - 1) AS head, cast(1 + length(before) - length(replace(before, {LF}, '')) AS INTEGER) AS line,
          substring(body, start) AS rest
   FROM (SELECT *, {before} AS before, 1 + length({before}) AS start
         FROM (SELECT {key}, body, ps, ms, unnest(ms) AS raw, generate_subscripts(ms, 1) AS n
@@ -197,6 +197,24 @@ def match_findings(patterns, show, source: str = "texts") -> str:
     )
 
 
+# A user's own rules over whole texts: patterns of a rule, and words that cancel a match on any line it touches.
+OWN_PATTERNS = {
+    ("outside_call", "MEDIUM"): (r"(?i)(?:\bcurl_\w+\s*\()|(?:\b(?:shell_)?exec\s*\()", ""),
+    ("request_read", "INFO"): (r"(?i)(?:\$_(?:GET|POST)\s*\[[^\]]*\])|(?:\$_COOKIE\b)", "htmlspecialchars|intval"),
+    ("query_statement", "LOW"): (r"(?i)(?:->query\([^;]*)|(?:->execute\()", "some_long_table_name|delete"),
+}
+
+
+def own_findings(show) -> str:
+    lines = r"regexp_extract(head, '[^\n]*$') || raw || regexp_extract(substring(rest, length(raw) + 1), '^[^\n]*')"
+    return " UNION ALL ".join(
+        f"SELECT 'own' AS scanner, path AS file, line, '{rule}' AS rule, '{severity}' AS severity,"
+        f" {show('raw')} AS match FROM {matches_of(pattern)}"
+        + (f" WHERE NOT regexp_matches(lower({lines}), '{veto}')" if veto else "")
+        for (rule, severity), (pattern, veto) in OWN_PATTERNS.items()
+    )
+
+
 CALL = r"(?i)->\s*(?:query|execute)\s*\("
 ASSIGN = r"(?i)\$([A-Za-z_][A-Za-z0-9_]*)\s*=\s*(.+?)\s*;"
 # Calls and casts that make an assigned value count as sanitized.
@@ -739,6 +757,27 @@ def build() -> dict[str, str]:
         f"{with_files()} SELECT path, strlen(content) AS length FROM files WHERE {PHP['line']}"
     )
     sql["scan_tree_findings"] = f"{line_prelude()} {findings_sql('line')}"
+    readable = "readable AS (SELECT * FROM files WHERE length(content) % 5 <> 0)"
+    for p in ("line", "span", "block"):
+        strict = " OR length(content) % 3 = 0" if p == "block" else ""
+        sql[f"skipped_files_{p}"] = (
+            f"{with_files(custom_cte(p))} SELECT path, CASE WHEN length(content) % 5 = 0 THEN 'unreadable'"
+            f" ELSE 'not valid UTF-8' END AS reason FROM custom WHERE length(content) % 5 = 0{strict}"
+        )
+        taints = [ASSIGNED_CTE, TAINTED_CTE, CALLS_CTE, TAINTED_CALLS_CTE] if p == "span" else []
+        sql[f"one_pass_{p}"] = (
+            with_files(readable, custom_cte(p, "readable"), texts_cte(), lines_cte(), *taints)
+            + f" SELECT 'finding' AS kind, file, line, rule, severity, match FROM ({content_sql(p)}) f"
+            f" UNION ALL SELECT 'include', src, NULL, NULL, NULL, raw FROM ({includes_sql(p)}) i"
+            " UNION ALL SELECT 'skipped', path, NULL, 'unreadable', NULL, NULL FROM files"
+            f" WHERE {PHP[p]} AND NOT {VENDOR[p]} AND length(content) % 5 = 0"
+        )
+    for p, show in (("span", shortened), ("block", stripped)):
+        sql[f"custom_rules_{p}"] = f"{text_prelude(p)} {own_findings(show)}"
+    sql["changed_tree_files"] = (
+        f"{both}, {changed}, {custom_cte('line', 'changed')} SELECT path, sha256(content) AS digest FROM custom"
+    )
+    sql["stream_scan_files"] = f"{line_prelude()} {line_findings()}"
     line_rows = (
         f"WITH lines AS (SELECT {corpus.path_sql('o_custkey', corpus.DUCKDB)} AS path,"
         f" o_orderkey AS line_no, {corpus.template_sql('o_orderkey', corpus.DUCKDB)} AS line FROM orders)"
@@ -963,6 +1002,11 @@ def _report_sql() -> dict[str, str]:
     )
     sql["write_markdown"] = f"{span} SELECT text FROM ({parts}) r"
     sql["write_json"] = f"{line_prelude()}, {_floor_cte('line')} SELECT {FINDING} FROM findings"
+    sql["write_json_document"] = (
+        f"{cycles_prelude('line')}, {_floor_cte('line')}, {SIZES_CTE} SELECT '2000-01-01T00:00:00' AS generated_at,"
+        f" '/srv/project' AS root, (SELECT count(*) FROM files WHERE {PHP['line']}) AS total_files, nodes, edges, cycles,"
+        " file, line, rule, severity, match FROM findings, sizes"
+    )
     sql["write_json_tables"] = (
         f"{graph_prelude('span')}, {_orphans_cte('span')} SELECT (SELECT count(*) FROM custom) AS nodes,"
         " (SELECT count(*) FROM edges) AS edges,"

@@ -15,6 +15,7 @@ from riskloom.operators import (
     graph,
     incremental,
     includes,
+    onepass,
     rules,
     scan,
     summary,
@@ -65,14 +66,21 @@ def texts_of(spark: SparkSession, sf_dir: str, profile: str) -> DataFrame:
     return scan.decoded(scan.custom_files(files, profile), profile)
 
 
-def all_findings(spark: SparkSession, sf_dir: str, profile: str, floor: str | None = None) -> DataFrame:
-    """Content and file-name findings of a profile, each with its own floor rule."""
+def all_findings(
+    spark: SparkSession, sf_dir: str, profile: str, floor: str | None = None, mode: str = "all"
+) -> DataFrame:
+    """Content and file-name findings of a profile, each with its own floor rule.
+
+    A mode chooses rules before anything is planned, so contents that no chosen rule looks at are not read.
+    """
     files = source_files(spark, sf_dir)
-    content = scan.scan_content(files, profile, floor)
-    names = deadfiles.scan_names(
-        files.select("path"), profile, floor if PROFILES[profile].dead_uses_floor else None
-    )
-    return summary.union_findings(content, names)
+    scanners = summary.modes_of(profile)[mode]
+    chosen = [r for r in (*rules.CREDENTIALS, *rules.security_rules(profile)) if r.scanner in scanners]
+    parts = [scan.apply_rules(files, chosen, profile, floor)] if chosen else []
+    if "dead" in scanners:
+        floor = floor if PROFILES[profile].dead_uses_floor else None
+        parts.append(deadfiles.scan_names(files.select("path"), profile, floor))
+    return summary.union_findings(*parts)
 
 
 # ---------------------------------------------------------------- filters
@@ -130,7 +138,7 @@ def _(spark, sf_dir):
 
 @query("select_scanners")
 def _(spark, sf_dir):
-    return summary.select_scanners(all_findings(spark, sf_dir, "span"), "dead", "span")
+    return summary.select_scanners(all_findings(spark, sf_dir, "span", mode="dead"), "dead", "span")
 
 
 # ------------------------------------------------------------ projections
@@ -315,6 +323,54 @@ def _(spark, sf_dir):
     return scan.apply_rules(source_files(spark, sf_dir), own, "line")
 
 
+# Several patterns in one rule, matches over several lines, and words that cancel a match on any line it touches.
+OWN_TEXT_RULES = (
+    rules.RuleSpec("outside_call", "MEDIUM", (r"\bcurl_\w+\s*\(", r"\b(?:shell_)?exec\s*\("), scanner="own"),
+    rules.RuleSpec(
+        "request_read", "INFO", (r"\$_(?:GET|POST)\s*\[[^\]]*\]", r"\$_COOKIE\b"), veto=("htmlspecialchars", "intval"), scanner="own"
+    ),
+    rules.RuleSpec("query_statement", "LOW", (r"->query\([^;]*", r"->execute\("), veto=("some_long_table_name", "delete"), scanner="own"),
+)
+
+
+@per_profile("custom_rules_{}", ("span", "block"))
+def _(spark, sf_dir, profile):
+    """A user's own rules over whole texts."""
+    return scan.apply_rules(source_files(spark, sf_dir), OWN_TEXT_RULES, profile)
+
+
+# ---------------------------------------------------------- skipped files
+
+
+def _with_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree with no content for every fifth file (by length)."""
+    files = source_files(spark, sf_dir)
+    return files.select("path", F.when(F.length("content") % 5 != 0, F.col("content")).alias("content"))
+
+
+@per_profile("skipped_files_{}")
+def _(spark, sf_dir, profile):
+    """Project files that could not be read, or are no text to a strict profile, each with the reason."""
+    files = _with_missing(spark, sf_dir)
+    return scan.skipped_files(files.select("path", _broken_bytes(F.col("content")).alias("content")), profile)
+
+
+@per_profile("one_pass_{}")
+def _(spark, sf_dir, profile):
+    """Findings, include paths and skipped files out of one read of the contents."""
+    chosen = (*rules.CREDENTIALS, *rules.security_rules(profile))
+    contents = onepass.read_once(_with_missing(spark, sf_dir), chosen, profile)
+    found = contents.findings.select(F.lit("finding").alias("kind"), "file", "line", "rule", "severity", "match")
+    none = F.lit(None).cast("string")
+    included = contents.includes.select(
+        F.lit("include").alias("kind"), F.col("src").alias("file"), none.cast("int").alias("line"), none.alias("rule"), none.alias("severity"), F.col("raw").alias("match")
+    )
+    skipped = contents.skipped.select(
+        F.lit("skipped").alias("kind"), F.col("path").alias("file"), none.cast("int").alias("line"), F.col("reason").alias("rule"), none.alias("severity"), none.alias("match")
+    )
+    return found.unionByName(included).unionByName(skipped)
+
+
 # ------------------------------------------------------------- dead files
 
 
@@ -489,7 +545,7 @@ def _(spark, sf_dir, profile):
 
 @query("scanner_finding_counts")
 def _(spark, sf_dir):
-    return summary.scanner_finding_counts(all_findings(spark, sf_dir, "span"), "MEDIUM")
+    return summary.scanner_finding_counts(all_findings(spark, sf_dir, "span", "MEDIUM"), "MEDIUM")
 
 
 @per_profile("sort_findings_{}", ("line", "block"))
@@ -529,14 +585,24 @@ def _(spark, sf_dir):
 
 @query("changed_files")
 def _(spark, sf_dir):
-    before = incremental.fingerprints(source_files(spark, sf_dir, SNAPSHOT_DATE))
-    return incremental.changed_files(source_files(spark, sf_dir), before).select("path", "content")
+    return incremental.changed_files(source_files(spark, sf_dir), _snapshot(spark, sf_dir)).select("path", "content")
 
 
 @query("changed_paths")
 def _(spark, sf_dir):
-    before = incremental.fingerprints(source_files(spark, sf_dir, SNAPSHOT_DATE))
-    return incremental.changed_paths(source_files(spark, sf_dir), before)
+    return incremental.changed_paths(source_files(spark, sf_dir), _snapshot(spark, sf_dir))
+
+
+@query("changed_tree_files")
+def _(spark, sf_dir):
+    """Changed project files of a tree on disk, each with the digest of what was read."""
+    before = _snapshot(spark, sf_dir)
+    changed = incremental.changed_tree(spark, _exported(spark, sf_dir), before, "line")
+    return changed.select("path", F.sha2("content", 256).alias("digest"))
+
+
+def _snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incremental.save_snapshot(incremental.fingerprints(source_files(spark, sf_dir, SNAPSHOT_DATE)), 8)
 
 
 @query("new_findings")
@@ -549,9 +615,7 @@ def _(spark, sf_dir):
 @query("gate")
 def _(spark, sf_dir):
     """Would the change since the snapshot be blocked?"""
-    files = source_files(spark, sf_dir)
-    before = incremental.fingerprints(source_files(spark, sf_dir, SNAPSHOT_DATE))
-    changed = incremental.changed_files(files, before)
+    changed = incremental.changed_files(source_files(spark, sf_dir), _snapshot(spark, sf_dir))
     leaks = scan.scan_leaks(
         scan.decoded(changed.filter(scan.is_leak_candidate(F.col("path"))), "span")
     )
@@ -660,6 +724,31 @@ def _(spark, sf_dir):
     )
 
 
+_RECORD = "struct<file:string,line:int,rule:string,severity:string,match:string>"
+_DOCUMENT = f"""generated_at string, root string, stats struct<total_files:long>, credential_findings array<{_RECORD}>,
+    security_findings array<{_RECORD}>, dead_findings array<{_RECORD}>, dependency_results struct<node_count:long,
+    edge_count:long,hubs:array<array<string>>,orphans:array<string>,cycles:array<array<string>>>"""
+GENERATED = "2000-01-01T00:00:00"
+
+
+@query("write_json_document")
+def _(spark, sf_dir):
+    """The whole run of the line profile as one JSON document, read back: its findings, root, time and sizes."""
+    result = plan.analyze(source_files(spark, sf_dir), "line", "all", "HIGH")
+    output = run_dir(spark, "document")
+    plan.write_document(result, ROOT, output, GENERATED)
+    document = spark.read.schema(_DOCUMENT).option("multiLine", "true").json(output)
+    return document.select(
+        "generated_at",
+        "root",
+        F.col("stats.total_files").alias("total_files"),
+        F.col("dependency_results.node_count").alias("nodes"),
+        F.col("dependency_results.edge_count").alias("edges"),
+        F.size("dependency_results.cycles").cast("long").alias("cycles"),
+        F.inline(F.concat("credential_findings", "security_findings", "dead_findings")),
+    )
+
+
 # ---------------------------------------------------------------- sources
 
 
@@ -668,8 +757,6 @@ def _exported(spark: SparkSession, sf_dir: str) -> str:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _EXPORTS:
         folder = run_dir(spark, "tree")
-        if folder.startswith("file:"):
-            folder = "/" + folder[len("file:") :].lstrip("/")
         tree.write_tree(source_files(spark, sf_dir), folder)
         _EXPORTS[key] = folder
     return _EXPORTS[key]
@@ -707,17 +794,18 @@ def _(spark, sf_dir):
     )
 
 
+def _broken_bytes(content):
+    """Bytes of which every third file (by length) holds one that is no UTF-8."""
+    marked = F.when(F.length(content) % 3 == 0, F.concat(content, F.lit("caf\u00ff;"))).otherwise(content)
+    # The text is ASCII but for the mark, so its two bytes cannot be mistaken.
+    return F.unhex(F.replace(F.hex(F.encode(marked, "UTF-8")), F.lit("C3BF"), F.lit("FF")))
+
+
 @per_profile("decode_text_{}")
 def _(spark, sf_dir, profile):
     """Bytes of which every third file (by length) holds one that is no UTF-8."""
     files = source_files(spark, sf_dir)
-    marked = F.when(
-        F.length("content") % 3 == 0, F.concat("content", F.lit("caf\u00ff;"))
-    ).otherwise(F.col("content"))
-    # The text is ASCII but for the mark, so its two bytes cannot be mistaken.
-    broken = F.unhex(F.replace(F.hex(F.encode(marked, "UTF-8")), F.lit("C3BF"), F.lit("FF")))
-    files = files.select("path", broken.alias("content"))
-    return scan.decoded(files, profile)
+    return scan.decoded(files.select("path", _broken_bytes(F.col("content")).alias("content")), profile)
 
 
 # -------------------------------------------------------------- streaming
@@ -748,3 +836,10 @@ def _(spark, sf_dir):
     docs = streaming.arriving_rows(spark, f"{sf_dir}/documents.parquet")
     texts = docs.select(F.col("doc_id").cast("string").alias("path"), "text")
     return _stream_to_table(spark, scan.scan_leaks(texts))
+
+
+@query("stream_scan_files")
+def _(spark, sf_dir):
+    """Files of a tree on disk arrive, hidden names too, and pass the content rules."""
+    files = streaming.arriving_files(spark, _exported(spark, sf_dir), settle=0)
+    return _stream_to_table(spark, streaming.scan_file_stream(files, "line"))
