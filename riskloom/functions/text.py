@@ -18,9 +18,6 @@ SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
 
 _MARK = "\u0001"
 _UNMARK = "\u0002"
-# The end of a marked match, and a line feed within one.
-_END = "\u0003"
-_INNER_FEED = "\u0004"
 _ELLIPSIS = "…"
 
 
@@ -150,41 +147,18 @@ def has_mark(marked: Column) -> Column:
     return F.contains(marked, F.lit(_MARK))
 
 
-def matches_with_lines(text: Column, pattern: str, tokens) -> Column:
-    """``array<struct<line, match, vetoed>>``: matches, and whether a line they touch holds what ``tokens(text)`` finds.
+def touched_lines_hold(text: Column, lines: Column, matches: Column, test) -> Column:
+    """For each match, which starts on the line of the same place in ``lines``: does a line it touches pass ``test``?
 
-    Starts and ends of all matches are marked in one replacement.  With line feeds within matches set aside, every
-    remaining line is the interval that its matches touch, and is looked at once.
+    Every line of the text is tested once; a match then looks at its interval of lines.
     """
-    hidden = F.when(F.rlike(text, F.lit(f"[{_MARK}-{_INNER_FEED}]")), F.translate(text, _MARK + _END + _INNER_FEED, _UNMARK * 3)).otherwise(text)
     return let(
-        F.regexp_replace(hidden, pattern, f"{_MARK}$0{_END}"),
-        lambda marked: F.zip_with(
-            marked_lines(marked),
-            F.flatten(F.transform(F.filter(F.split(_whole_matches(marked), "\n", -1), has_mark), lambda line: _matches_on(line, tokens))),
-            lambda line, found: F.struct(line.alias("line"), found["match"].alias("match"), found["vetoed"].alias("vetoed")),
-        ),
-    )
-
-
-def _whole_matches(marked: Column) -> Column:
-    """The marked text with no match reaching over a line feed."""
-
-    def sealed(part: Column) -> Column:
-        ends = F.split(part, _END, 2)
-        return F.concat(F.replace(ends[0], F.lit("\n"), F.lit(_INNER_FEED)), F.lit(_END), ends[1])
-
-    return F.array_join(F.transform(marked_parts(marked), lambda part, n: F.when(n == 0, part).otherwise(sealed(part))), _MARK)
-
-
-def _matches_on(line: Column, tokens) -> Column:
-    plain = F.translate(line, _MARK + _END, "")
-    return let(
-        tokens(plain),
-        lambda vetoed: F.transform(
-            F.slice(marked_parts(line), 2, F.length(line)),
-            lambda part: F.struct(
-                F.replace(F.substring_index(part, _END, 1), F.lit(_INNER_FEED), F.lit("\n")).alias("match"), vetoed.alias("vetoed")
+        F.transform(F.split(text, "\n", -1), test),
+        lambda found: F.zip_with(
+            lines,
+            matches,
+            lambda line, match: F.exists(
+                F.slice(found, line, F.length(match) - F.length(F.replace(match, F.lit("\n"), F.lit(""))) + 1), lambda hit: hit
             ),
         ),
     )

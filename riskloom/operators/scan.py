@@ -184,11 +184,16 @@ def _rule_hits(text: Column, rule: RuleSpec) -> Column:
     if rule is BLOCK_SQL_INJECTION:
         return _first_call_to_last_request(text)
     if rule.veto:
-        found = tx.matches_with_lines(text, rule.text_pattern, lambda interval: has_token(interval, rule.veto))
-        return F.transform(F.filter(found, lambda hit: ~hit["vetoed"]), lambda hit: F.struct(hit["line"].alias("line"), hit["match"].alias("match")))
+        return tx.let(_matches(text, rule.text_pattern), lambda hits: _without_vetoed(text, hits, rule))
     return _matches(text, rule.text_pattern)
 
 
+def _without_vetoed(text: Column, hits: Column, rule: RuleSpec) -> Column:
+    vetoed = tx.touched_lines_hold(text, hits["line"], hits["match"], lambda line: has_token(line, rule.veto))
+    kept = F.zip_with(hits, vetoed, lambda hit, no: F.when(~no, hit))
+    return F.filter(kept, lambda hit: hit.isNotNull())
+
+
 def _matches(text: Column, pattern: str) -> Column:
     return F.zip_with(
         tx.match_lines(text, pattern),

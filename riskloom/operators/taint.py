@@ -121,9 +121,10 @@ def sql_injection(text: Column) -> Column:
         # No request value and no variable reaches over a mark, as a call begins with an arrow.
         dirty = F.transform(parts, lambda part, n: F.when((n > 0) & _is_dirty(part, tainted), n).otherwise(F.lit(-1)))
         short = F.transform(parts, lambda part: F.substring(F.regexp_replace(part, tx.SPACE_RUN, " "), 1, SHOWN_CHARS))
+        shown = tx.let(short, lambda short: _from_each(short, -(-SHOWN_CHARS // CALL_CHARS)))
         return tx.let(
-            F.struct(F.array_max(dirty).alias("last"), _from_each(short, -(-SHOWN_CHARS // CALL_CHARS)).alias("shown")),
-            lambda found: F.transform(found["shown"], lambda shown, n: F.when(n + 1 <= found["last"], shown)),
+            F.array_max(dirty),
+            lambda last: F.transform(shown, lambda shown, n: F.when(n + 1 <= last, shown)),
         )
 
     def unclosed(parts: Column, tainted: Column) -> Column:
