@@ -18,12 +18,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.common import give_back
 from riskloom.llm.tokens import encoder
 
 END_ID = 1
 MAX_TOKENS = 2048
 MAX_SEGMENTS = 64
 POOL = 2048
+#: Texts that are encoded together.
+STEP_ROWS = 500
 
 PIECES = """doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long,
     loss_tokens long, segment int, ids binary"""
@@ -36,10 +39,11 @@ _ARROW = pa.schema(
 class Packer:
     """Packs one task's examples; ``out`` collects the pieces as tuples in the order of ``PIECES``."""
 
-    def __init__(self, max_tokens: int, max_segments: int, max_loss: int, pool: int, first_sequence: int):
+    def __init__(self, max_tokens: int, max_segments: int, max_loss: int, pool: int, first_sequence: int, with_ids: bool = True):
         self.limits = np.array([max_tokens, max_segments, max_loss], dtype=np.float64)
         self.max_tokens, self.max_segments, self.max_loss = max_tokens, max_segments, max_loss
         self.pool = pool
+        self.with_ids = with_ids
         self.next = first_sequence
         self.items: list[list] = []  # [key, ids, start, end, loss_from]
         self.out: list[tuple] = []
@@ -57,7 +61,7 @@ class Packer:
         part = ids[4 * start : 4 * (start + n)]
         loss = self._loss(item, start, start + n)
         total = len(ids) // 4
-        self.out.append((key, start, n, zlib.crc32(part), total, sequence, offset, loss, segment, part))
+        self.out.append((key, start, n, zlib.crc32(part), total, sequence, offset, loss, segment, part if self.with_ids else None))
         item[2] = start + n
 
     def add(self, key, ids: bytes, loss_from: int) -> None:
@@ -117,12 +121,14 @@ def pack_documents(
     loss_from: Column | None = None,
     pool: int = POOL,
     with_ids: bool = False,
+    cache_bytes: int | None = None,
 ) -> DataFrame:
     """Pack ``docs(doc_id long, text string)``; one row for each piece (``PIECES``).
 
     ``loss_from`` is the number of leading tokens without loss (a prompt); none by default.  Sequence ids are unique;
     those of one task follow each other.  A null or empty text is the end id alone; null and repeated ids are packed
-    like others; no rows give no rows.  Other columns are not looked at.  Bytes of ids only ``with_ids``.
+    like others; no rows give no rows.  Other columns are not looked at.  Bytes of ids only ``with_ids``.  ``cache_bytes``
+    bounds what a worker keeps of units encoded before.
     """
     if min(max_tokens, max_segments, max_loss) < 1:
         raise ValueError("every limit must be positive")
@@ -133,21 +139,20 @@ def pack_documents(
     )
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(max_tokens, max_segments, max_loss, pool, TaskContext.get().partitionId() << 32)
-        tool, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        give_back()
+        packer = Packer(max_tokens, max_segments, max_loss, pool, TaskContext.get().partitionId() << 32, with_ids)
+        tool, end = encoder(tokenizer, cache_bytes), np.array([end_id], dtype="<u4").tobytes()
 
         def batch_of() -> pa.RecordBatch:
             done, packer.out = packer.out, []
             columns = [*zip(*done, strict=True)]
-            if not with_ids:
-                columns[-1] = [None] * len(done)
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW
             )
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
+            for a in range(0, batch.num_rows, STEP_ROWS):
+                part = batch.slice(a, STEP_ROWS)
                 found = tool.encode(part.column("text").to_pylist())
                 starts = part.column("loss_from").to_pylist()
                 for key, ids, start in zip(part.column("doc_id").to_pylist(), found, starts, strict=True):

@@ -15,7 +15,7 @@ from functools import cache
 
 import numpy as np
 
-#: Bytes of one worker's cache, and what a unit takes besides its own bytes and ids; it is emptied before it would
+#: Bytes of one worker's cache if none are given, and what a unit takes besides its own bytes and ids; it is emptied before it would
 #: grow beyond, and units that alone would are not kept.
 CACHE_BYTES = 160 << 20
 UNIT_BYTES = 200
@@ -29,7 +29,7 @@ _SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace()) + "᠎​"
 class TokenEncoder:
     """``encode(texts)``: the ids of each text as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, plain_specials: bool = False):
+    def __init__(self, path: str, plain_specials: bool = False, cache_bytes: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -49,6 +49,7 @@ class TokenEncoder:
         )
         self.known: dict[str, bytes | None] = {}
         self.held = 0
+        self.most = CACHE_BYTES if cache_bytes is None else cache_bytes
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         if self.by_unit:
             self.opens[[k for t, k in self.tokenizer.get_vocab().items() if t[0] == "Ġ"]] = True
@@ -84,11 +85,11 @@ class TokenEncoder:
         fresh = dict.fromkeys(new) if len(cut) < len(new) else {}
         fresh.update(zip(cut, self._units(cut), strict=True))
         cost = self._cost(fresh)
-        if self.held + cost > CACHE_BYTES:
+        if self.held + cost > self.most:
             fresh.update((u, self.known[u]) for u in units - new)
             self.known, self.held = {}, 0
             cost = self._cost(fresh)
-            if cost > CACHE_BYTES:
+            if cost > self.most:
                 return fresh
         self.known.update(fresh)
         self.held += cost
@@ -118,6 +119,6 @@ class TokenEncoder:
 
 
 @cache
-def encoder(path: str) -> TokenEncoder:
+def encoder(path: str, cache_bytes: int | None = None) -> TokenEncoder:
     """One encoder for each vocabulary file and Python worker."""
-    return TokenEncoder(path)
+    return TokenEncoder(path, cache_bytes=cache_bytes)
