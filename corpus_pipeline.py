@@ -19,6 +19,9 @@ REJECT_BELOW = 0.5
 #: Near duplicates share this percentage of their runs of so many words; bands are set for that similarity.
 PERCENT, SHINGLE, BANDS, ROWS = 80, 5, 36, 5
 
+#: What a worker keeps of units encoded before; it shares its memory with what earlier stages left.
+CACHE_BYTES = 48 << 20
+
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject; without labels all stay.  Null texts count as empty."""
@@ -53,7 +56,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in training sequences of 2048 tokens."""
-    return packing.pack_documents(docs, TOKENIZER)
+    return packing.pack_documents(docs, TOKENIZER, cache_bytes=CACHE_BYTES)
 
 
 STAGES = [
