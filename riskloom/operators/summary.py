@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from riskloom.functions import text as tx
 from riskloom.functions.paths import is_custom, is_php
 from riskloom.model import SEVERITIES, Profile, profile_of, severity_weight, weight_of
+from riskloom.session import materialize
 
 # Scanners by mode.
 MODES = {
@@ -112,6 +113,23 @@ def sort_findings(findings: DataFrame, profile: str | Profile) -> DataFrame:
     return findings.orderBy(*sort_keys(profile))
 
 
+def numbered(df: DataFrame, keys: list) -> DataFrame:
+    """All rows with their 1-based ``place`` in the order of ``keys``, without gathering them in one task.
+
+    The sort's ranges are written with the place within each range; ranges are then offset by the counts of those
+    before them, one row for each range.  Ties take any order, so let the keys be total.
+    """
+    ranges = df.orderBy(*keys).select(
+        "*", F.spark_partition_id().alias("__range"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("__at")
+    )
+    ranges = materialize(ranges)
+    counts = ranges.groupBy("__range").agg(F.count("*").alias("n"))
+    before = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select("__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    placed = ranges.join(F.broadcast(offsets), "__range")
+    return placed.select((F.col("__before") + F.col("__at") + 1).alias("place"), *df.columns)
+
+
 def first_ranked(df: DataFrame, keys: list, n: int, total: str = "total") -> DataFrame:
     """The first ``n`` rows with a 1-based ``rank`` and the overall row count.
 

@@ -578,7 +578,11 @@ def build() -> dict[str, str]:
         sql[f"filter_min_severity_{p}"] = (
             f"{findings_prelude(p)} SELECT * FROM ({content_sql(p)}) f WHERE {floor} UNION ALL {dead}"
         )
-        sql[f"sort_findings_{p}"] = f"{findings_prelude(p)} {findings_sql(p)}"
+        order = f"{weight()} DESC, " if p == "line" else ""
+        sql[f"sort_findings_{p}"] = (
+            f"{findings_prelude(p)} SELECT row_number() OVER (ORDER BY {order}file, line, rule, match) AS place, *"
+            f" FROM ({findings_sql(p)}) f"
+        )
     sql["union_findings"] = f"{findings_prelude('block')} {findings_sql('block')}"
     sql["sanitizer_veto"] = (
         f"{line_prelude()} SELECT path, line_no, line FROM lines WHERE contains(line, '$_') AND ({SANITIZED})"

@@ -550,7 +550,8 @@ def _(spark, sf_dir):
 
 @per_profile("sort_findings_{}", ("line", "block"))
 def _(spark, sf_dir, profile):
-    return summary.sort_findings(all_findings(spark, sf_dir, profile), profile)
+    """All findings with their place in the order of the profile."""
+    return summary.numbered(all_findings(spark, sf_dir, profile), summary.sort_keys(profile))
 
 
 @query("limit_with_remainder_orphans")

@@ -163,6 +163,13 @@ def test_summaries(spark):
     assert [(r.rank, r.total) for r in top] == [(1, 4), (2, 4)]
 
 
+def test_places_over_many_ranges(spark):
+    rows = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("k"), F.col("id").alias("v")).repartition(7)
+    placed = summary.numbered(rows, ["k"]).collect()
+    assert sorted((r.place, r.k) for r in placed) == [(k + 1, k) for k in range(5000)]
+    assert summary.numbered(rows.limit(0), ["k"]).count() == 0
+
+
 def test_incremental(files):
     before = files({"a.php": "<?php eval(1);", "b.php": "<?php"})
     after = files({"a.php": "<?php\n\neval(1);\nsystem('x');", "b.php": "<?php", "c.php": "<?php eval(2);"})
