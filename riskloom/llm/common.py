@@ -29,6 +29,31 @@ def give_back() -> None:
         trim(0)
 
 
+#: Bits of a bitmap of keys: 8 MB, in at most 2,048 rows.
+KEY_BITS = 1 << 26
+_BITMAP_BITS = 1 << 15
+
+
+def flag_among(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, flag: str) -> DataFrame:
+    """``rows`` with a boolean ``flag``: false only where ``key`` is surely none of the wanted keys.
+
+    A bitmap of the wanted keys' hashes, of bounded size, is broadcast; so rows that no exact join would match need not
+    move.  Only built-in functions.  The more keys are wanted, the more rows are flagged without need.
+    """
+
+    def place(k: Column) -> Column:
+        return F.pmod(F.xxhash64(k), F.lit(KEY_BITS))
+
+    hashed = wanted.select(place(wanted_key).alias("at"))
+    maps = hashed.groupBy(F.expr(f"at div {_BITMAP_BITS}").alias("__map")).agg(
+        F.bitmap_construct_agg(F.col("at") % _BITMAP_BITS).alias("__bits")
+    )
+    found = rows.select("*", place(key).alias("__at")).join(F.broadcast(maps), F.expr(f"__at div {_BITMAP_BITS} = __map"), "left")
+    byte = f"cast(conv(hex(substring(__bits, cast(__at % {_BITMAP_BITS} div 8 as int) + 1, 1)), 16, 10) as int)"
+    bit = F.coalesce(F.expr(f"(shiftright({byte}, cast(__at % 8 as int)) & 1) = 1"), F.lit(False))
+    return found.withColumn(flag, bit).drop("__at", "__map", "__bits")
+
+
 def fold_of(doc_id: Column, folds: int) -> Column:
     """``crc32(doc_id as text) mod folds``; null for a null id."""
     return F.crc32(doc_id.cast("string")) % folds

@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.llm.common import flag_among
 from riskloom.session import materialize
 
 #: Least words of a repeated run that is deleted.
@@ -165,9 +166,13 @@ def dedup_lines(
     )
     added = [prefix + name for name in ("lines_before", "lines_deleted", "words_deleted")]
     columns = [c for c in docs.columns if c not in added]
-    joined = docs.select(*columns).join(
-        touched, (keys[0] == F.col("__doc")) & (keys[1] == F.col("__tie")), "left"
+    # Most documents have nothing to delete; those that surely have not stay where they are.
+    flagged = flag_among(docs.select(*columns, keys[0].alias("__id"), keys[1].alias("__hash")), F.col("__hash"), touched, F.col("__tie"), "__maybe")
+    moved = flagged.filter("__maybe").join(
+        touched, (F.col("__id") == F.col("__doc")) & (F.col("__hash") == F.col("__tie")), "left"
     )
+    kept_in_place = flagged.filter("NOT __maybe").withColumn(mask_at, F.lit(None).cast("array<boolean>"))
+    joined = moved.select(*columns, mask_at).unionAll(kept_in_place.select(*columns, mask_at))
     lines = F.split(F.col(text_col), "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.coalesce(F.get(F.col(mask_at), i), F.lit(False))), "\n")
     new = F.when(F.col(mask_at).isNull(), F.col(text_col)).otherwise(kept)
