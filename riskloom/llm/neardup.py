@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import WordHashes, groups, mix64, ngram_hashes
+from riskloom.llm.common import WordHashes, flag_among, groups, mix64, ngram_hashes
 from riskloom.llm.components import components
 from riskloom.session import materialize
 
@@ -180,7 +180,9 @@ def _similar(percent: int):
 
 
 def links(reps: DataFrame, docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """Verified links ``a, b`` that join linked classes ``reps(doc_id, n, bands, bits, set_key)`` to components.
+    """Verified links ``a, b`` that join linked classes ``reps(doc_id, n, bands, bits, set_key, rep)`` to components.
+
+    Here ``doc_id`` numbers the classes; ``rep`` is the id of a document that holds the class's text.
 
     Every pair of a bucket is verified, already joined through others, or ruled out by sizes or leader distances.
     """
@@ -189,8 +191,11 @@ def links(reps: DataFrame, docs: DataFrame, percent: int = PERCENT, shingle: int
     shared = held.groupBy("band", "value").agg(F.count("*").alias("m")).filter("m > 1")
     members = held.join(materialize(shared.select("band", "value")), ["band", "value"])
     members = materialize(members.select("band", "value", "doc_id", "n", F.lit(None).cast("long").alias("root")))
-    wanted = reps.select("doc_id", "set_key").join(members.select("doc_id").distinct(), "doc_id", "left_semi")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(materialize(wanted), "doc_id")
+    wanted = reps.select("doc_id", "rep", "set_key").join(members.select("doc_id").distinct(), "doc_id", "left_semi")
+    wanted = materialize(wanted)
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
+    # Texts that share no bucket stay where they are.
+    texts = flag_among(texts, F.col("rep"), wanted, F.col("rep"), "maybe").filter("maybe").join(wanted, "rep")
     sets = materialize(shingle_sets(texts, shingle))
     nothing = reps.sparkSession.createDataFrame([], "a long, b long")
     found, done = nothing, nothing  # links; pairs that have been verified
@@ -308,8 +313,8 @@ def near_duplicates(
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of each row of ``docs(doc_id long, text string)``.
 
-    A null, empty or blank text has no shingles and is linked with nothing.  Rows with the same id and set fall
-    together; a row with a null id is linked with nothing and kept, with a null component.  Other columns are not
+    A null, empty or blank text has no shingles and is linked with nothing.  Rows with the same id are one document,
+    which is linked through each of its sets; a row with a null id is linked with nothing and kept, with a null component.  Other columns are not
     looked at.  No rows give no rows.
     """
     seen = materialize(signatures(docs, bands, rows, shingle))
@@ -317,14 +322,19 @@ def near_duplicates(
     classes = real.groupBy("set_key").agg(
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")
     )
-    classes = materialize(classes)
-    # An id that repeats with several sets is one node; one of its sets is compared.
-    reps = classes.groupBy("rep").agg(F.min(F.struct("set_key", "n", "bands", "bits")).alias("one"))
-    reps = reps.select(F.col("rep").alias("doc_id"), "one.n", "one.bands", "one.bits", "one.set_key")
-    found = links(materialize(reps), docs, percent, shingle)
-    roots = materialize(components(found))
-    known = classes.select("set_key", F.col("rep").alias("node")).join(roots, "node", "left")
-    known = materialize(known.select("set_key", F.coalesce("root", "node").alias("component")))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()))
+    found = links(classes.withColumnRenamed("node", "doc_id"), docs, percent, shingle)
+    # An id that repeats with several sets joins their classes; every class is compared by itself.
+    several = real.groupBy("doc_id").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).filter("low <> high")
+    held = real.select("doc_id", "set_key").join(materialize(several.select("doc_id")), "doc_id").distinct()
+    held = materialize(held.join(classes.select("set_key", "node"), "set_key").select("doc_id", "node"))
+    first = held.groupBy("doc_id").agg(F.min("node").alias("first"))
+    same_id = held.join(first, "doc_id").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    roots = materialize(components(found.union(same_id)))
+    grouped = classes.select("set_key", "node", "rep").join(roots, "node", "left")
+    grouped = materialize(grouped.select("set_key", "rep", F.coalesce("root", "node").alias("root")))
+    least = grouped.groupBy("root").agg(F.min("rep").alias("component"))
+    known = materialize(grouped.join(least, "root").select("set_key", "component"))
     out = seen.select("doc_id", "n", "set_key").join(known, "set_key", "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return out.select(

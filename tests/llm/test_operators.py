@@ -8,12 +8,13 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from check import rows_of
 from riskloom.llm import bitplanes, decontaminate, language, linededup, neardup, neighbours, packing, quality, sample, toxicity, warc
-from riskloom.llm.common import WordHashes
+from riskloom.llm.common import WordHashes, flag_among
 from riskloom.llm.queries import ORACLES, QUERIES, TOKENIZER
 from riskloom.llm.tokens import TokenEncoder
 from riskloom.session import run_dir
@@ -193,6 +194,22 @@ def test_near_duplicates(docs, monkeypatch):
     assert neardup.near_duplicates(docs(ODD).limit(0)).count() == 0
 
 
+def test_an_id_with_two_texts_is_linked_through_both(docs):
+    base, other = ([f"{p}{k}" for k in range(60)] for p in "wv")
+    near = [*other, "more"]
+    rows = [(5, " ".join(base)), (5, " ".join(other)), (9, " ".join(other)), (12, " ".join(near)), (7, " ".join([*base, "y"])), (8, "alone " * 9)]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs(rows)).collect()}
+    assert got == {5: 5, 9: 5, 12: 5, 7: 5, 8: 8}
+
+
+def test_flags_miss_no_key(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") > 0, F.col("id")).alias("k"))
+    wanted = spark.createDataFrame([(k,) for k in range(0, 9000, 7)] + [(None,)], "w long")
+    flagged = flag_among(rows, F.col("k"), wanted, F.col("w"), "maybe").collect()
+    assert len(flagged) == 5000 and {r.k for r in flagged if r.maybe} == {None, *range(7, 5000, 7)}
+    assert flag_among(rows, F.col("k"), wanted.limit(0), F.col("w"), "maybe").filter("maybe").count() == 0
+
+
 def test_alignment():
     pick = random.Random(1)
     for _ in range(100):
@@ -335,6 +352,36 @@ def test_nearest(spark):
     assert neighbours.nearest(frame.limit(0), "true").count() == 0
 
 
+def test_vectors_of_an_odd_length_take_no_part(spark):
+    pick = np.random.default_rng(7)
+    rows = [(k, pick.normal(size=4).tolist()) for k in range(50)] + [(100, [1.0] * 9), (101, [1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = neighbours.nearest(frame, "vec_id % 10 = 0", k=3).collect()
+    assert {r.query_id for r in got} == {0, 10, 20, 30, 40} and len(got) == 15
+
+
+def test_proposals_cut_in_between_give_the_same_lists(spark, monkeypatch):
+    pick = np.random.default_rng(8)
+    x = pick.normal(size=(400, 6))
+    half = [(k, (v / np.linalg.norm(v)).astype(np.float16).tobytes()) for k, v in enumerate(x)]
+    nodes = spark.createDataFrame(half, "id long, half binary").repartition(4)
+    graph = neighbours._merged(neighbours.start_lists(nodes, 400, 2, 20, 8), 8)
+    lists = []
+    for held in (2_000_000, 300):
+        monkeypatch.setattr(neighbours, "HELD_PROPOSALS", held)
+        found = neighbours._merged(graph.union(neighbours.descend(graph, nodes, 8, 8)), 8)
+        lists.append(sorted((r.id, tuple(r.near)) for r in found.collect()))
+    assert lists[0] == lists[1] and len(lists[0]) == 400
+
+
+def test_a_walk_that_does_not_end_is_an_error(spark, monkeypatch):
+    pick = np.random.default_rng(9)
+    rows = [(k, pick.normal(size=8).tolist()) for k in range(300)]
+    monkeypatch.setattr(neighbours, "MAX_STEPS", 1)
+    with pytest.raises(RuntimeError, match="open members"):
+        neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id % 50 = 0", k=5)
+
+
 def test_links_of_a_hub_are_whole(spark):
     graph = spark.createDataFrame([(i, [1000, 1001], [1.0, 1.0]) for i in range(300)], "id long, near array<long>, sims array<float>")
     links = neighbours._links(graph, 32).collect()
