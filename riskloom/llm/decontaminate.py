@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import WordHashes, ngram_hashes
+from riskloom.llm.common import WordHashes, flag_among, ngram_hashes
 from riskloom.session import materialize
 
 SEED_WORDS = 3
@@ -121,7 +121,10 @@ def contaminated(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE
 def without_copies(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE, n: int = SEED_WORDS) -> DataFrame:
     """The rows of ``docs``, null ids too, whose text holds no copy of an item; all columns."""
     gone = materialize(_copies(docs, items, min_score, n).select(F.col("doc").alias("__doc")).distinct())
-    return docs.join(gone, _doc_key() == gone["__doc"], "left_anti")
+    # Documents that surely have no copy stay where they are.
+    flagged = flag_among(docs, _doc_key(), gone, F.col("__doc"), "__maybe")
+    checked = flagged.filter("__maybe").join(gone, _doc_key() == gone["__doc"], "left_anti")
+    return checked.unionAll(flagged.filter("NOT __maybe")).drop("__maybe")
 
 
 def _doc_key() -> Column:
@@ -150,7 +153,9 @@ def _copies(docs: DataFrame, items: DataFrame, min_score: float, n: int) -> Data
     per_item = materialize(starts.groupBy("doc", "item_id").agg(F.collect_list(F.struct("low", "high")).alias("starts")))
     worded = per_item.join(materialize(_item_words(items)), "item_id")
     per_doc = worded.groupBy("doc").agg(F.collect_list(F.struct("item_id", "item", "starts")).alias("places"))
-    found = _aligned(keyed.join(materialize(per_doc), "doc"), min_score)
+    per_doc = materialize(per_doc)
+    likely = flag_among(keyed, F.col("doc"), per_doc, F.col("doc"), "maybe").filter("maybe")
+    found = _aligned(likely.join(per_doc, "doc"), min_score)
     return (
         found.groupBy("doc", "doc_id", "item_id")
         .agg(F.max(F.struct("score", (-F.col("start_word")).alias("early"), "end_word")).alias("best"))
