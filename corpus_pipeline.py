@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import decontaminate, linededup, neardup, packing, quality
-from riskloom.llm.common import table
+from riskloom.llm.common import flag_among, table
 from riskloom.llm.queries import TOKENIZER
 from riskloom.session import materialize
 
@@ -45,8 +45,12 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates; null ids stay."""
     groups = neardup.near_duplicates(docs, PERCENT, SHINGLE, BANDS, ROWS)
-    gone = materialize(groups.filter("NOT kept").select("doc_id").distinct())
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    gone = materialize(groups.filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct())
+    # Documents that surely stay do not move.
+    key = F.col("doc_id").cast("long")
+    flagged = flag_among(docs, key, gone, F.col("__gone"), "__maybe")
+    checked = flagged.filter("__maybe").join(gone, key == F.col("__gone"), "left_anti")
+    return checked.unionAll(flagged.filter("NOT __maybe")).drop("__maybe")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
