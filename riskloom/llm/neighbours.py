@@ -35,7 +35,9 @@ REVERSE = 32
 #: Rounds end when fewer than this share of links changes; lists only get better, so they do end.
 SETTLED = 0.02
 BEAM = 80
-#: Walks end by themselves; this only ends a program error.
+#: Proposals that a task holds at most, some 20 bytes each; they are cut to each member's best before they are sent on.
+HELD_PROPOSALS = 2_000_000
+#: Walks end by themselves; more steps than these are an error.
 MAX_STEPS = 200
 
 _LISTS = "id long, near array<long>, sims array<float>"
@@ -58,14 +60,14 @@ def valid_vectors(frame: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """``vec_id, vec``: vectors that take part, as doubles.
 
     Null ids and vectors take no part, nor vectors that are zero, or hold a null or a number that is not finite, or
-    are of another length than the longest.  Of rows that repeat an id, the largest vector takes part.
+    are of another length than most (the longer, if two are as frequent).  Of rows that repeat an id, the largest vector takes part.
     """
     vec = F.col(vec_col).cast("array<double>")
     rows = frame.select(F.col(id_col).cast("long").alias("vec_id"), vec.alias("vec")).filter("vec_id IS NOT NULL")
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.filter(F.col("vec").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("vec", lambda x: x != 0))
-    size = rows.agg(F.max(F.size("vec"))).first()[0]
-    rows = rows.filter(F.size("vec") == (size or 0))
+    sizes = rows.groupBy(F.size("vec").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("size")).first()
+    rows = rows.filter(F.size("vec") == (sizes["size"] if sizes else 0))
     return rows.groupBy("vec_id").agg(F.max("vec").alias("vec"))
 
 
@@ -193,14 +195,23 @@ def descend(graph: DataFrame, nodes: DataFrame, degree: int, reverse: int) -> Da
     def better(batches):
         held: list[tuple] = []
 
-        def flush():
+        def packed() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """What is held, each member's best ``degree`` only: no list keeps more of the union of all."""
             v, w, s = (np.concatenate(c) for c in zip(*held, strict=True))
-            held.clear()
             order = np.lexsort((w, v))
             v, w, s = v[order], w[order], s[order]
             new = np.ones(len(v), dtype=bool)
             new[1:] = (v[1:] != v[:-1]) | (w[1:] != w[:-1])
             v, w, s = v[new], w[new], s[new]
+            order = np.lexsort((w, -s, v))
+            v, w, s = v[order], w[order], s[order]
+            cuts = np.flatnonzero(np.diff(v, prepend=v[0] - 1))
+            kept = np.arange(len(v)) - np.repeat(cuts, np.diff(np.append(cuts, len(v)))) < degree
+            return v[kept], w[kept], s[kept]
+
+        def flush():
+            v, w, s = held[0]
+            held.clear()
             cuts = np.flatnonzero(np.diff(v)) + 1
             return _lists(v[np.concatenate([[0], cuts])], np.split(w, cuts), np.split(s, cuts))
 
@@ -214,10 +225,14 @@ def descend(graph: DataFrame, nodes: DataFrame, degree: int, reverse: int) -> Da
             if len(a):
                 held.append((ids[a], ids[b], sims[a, b]))
                 waiting += len(a)
-            if waiting > 500_000:
-                yield flush()
-                waiting = 0
+            if waiting > HELD_PROPOSALS:
+                held[:] = [packed()]
+                waiting = len(held[0][0])
+                if waiting > HELD_PROPOSALS // 2:
+                    yield flush()
+                    waiting = 0
         if held:
+            held[:] = [packed()]
             yield flush()
 
     return met.mapInArrow(better, _LISTS)
@@ -253,7 +268,7 @@ def walk(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int, reve
         closed = F.filter(F.arrays_zip("near", "opened"), lambda s: ~s["opened"])
         opening = state.select("query", "near", F.explode(closed).alias("s")).select("query", F.col("s.near").alias("centre"))
         if not opening.limit(1).count():
-            break
+            return state.select("query", "near")
         found = opening.join(roads, "centre").select("query", F.explode("next").alias("id")).distinct()
         scored = found.join(nodes, "id").select("query", "id", "half", F.lit(None).cast("array<long>").alias("near"), F.lit(None).cast("array<float>").alias("sims"))
         own = state.select("query", F.lit(-1).cast("long").alias("id"), "half", "near", "sims")
@@ -284,7 +299,7 @@ def walk(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int, reve
             )
 
         state = materialize(dealt.mapInArrow(step, schema))
-    return state.select("query", "near")
+    raise RuntimeError(f"walks still have open members after {MAX_STEPS} steps")
 
 
 def nearest(
