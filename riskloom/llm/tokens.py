@@ -17,7 +17,7 @@ import numpy as np
 
 #: Bytes of one worker's cache if none are given, and what a unit takes besides its own bytes and ids; it is emptied before it would
 #: grow beyond, and units that alone would are not kept.
-CACHE_BYTES = 160 << 20
+CACHE_BYTES = 240 << 20
 UNIT_BYTES = 200
 #: Units that are encoded as one text; the ids of each begin with a token that begins with a space.
 JOINED = 200
