@@ -1,15 +1,19 @@
 """Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
 
-Words are lower-cased letter and digit runs.  Every item has a seed for each of its n-grams.  A first pass over whole
-texts finds where seeds occur; each occurrence gives a document, an item and a place.  Around each place lies a window
-that holds every alignment through it which reaches the score.  Windows without enough of the item's words cannot
-reach it; the others are merged where they overlap and aligned, which finds edited and paraphrased copies too.
+Words are lower-cased letter and digit runs.  Every item has a seed for each of its n-grams.  A copy that reaches the
+score holds most of the item's words, so at least one of a certain number of its rarest ones, whichever way these are
+counted.  A first pass counts in how many documents the items' words stand.  A second one joins, in tasks, each
+document with the items that share both a seed and one of their rare words with it; the items are the small side,
+broadcast in blocks of bounded size.  Around each seed lies a window that holds every alignment through it which
+reaches the score.  Windows without enough of the item's words cannot reach it; the others are merged where they
+overlap and aligned, which finds edited and paraphrased copies too.  No text is shuffled.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,8 +30,10 @@ BAND = 8
 #: Share of an item's best possible score from which a passage counts as a copy.
 MIN_SCORE = 0.6
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Seed hashes are sent to all tasks as a filter up to this number (32 MB); beyond it all n-grams go through the join.
-FILTER_SEEDS = 4_000_000
+#: Words of items that are broadcast at once, about, some 50 bytes each; more items take further passes.
+BLOCK_WORDS = 500_000
+#: Places of seeds in one document that are looked at together.
+SPOTS = 1_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -62,50 +68,115 @@ def align(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def _seeds(items: DataFrame, n: int) -> DataFrame:
-    """``item_id, place, seed`` of every n-gram of every item."""
+class Lookup:
+    """Sorted hashes that repeat, each with a value; ``find`` tells where some hashes stand in it."""
 
-    @F.pandas_udf("array<long>")
-    def of(texts: pd.Series) -> pd.Series:
-        hashes = WordHashes()
-        return pd.Series([ngram_hashes(hashes.of(words_of(t)), n).view(np.int64) for t in texts])
+    def __init__(self, hashes: np.ndarray, *values: np.ndarray):
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.values = hashes[order], [v[order] for v in values]
+        self.small = np.zeros(1 << 20, dtype=bool)
+        self.small[self.hashes >> np.uint64(44)] = True
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions in ``wanted`` of those that are known, and the range of each in ``values``."""
+        at = np.flatnonzero(self.small[wanted >> np.uint64(44)])
+        first = np.searchsorted(self.hashes, wanted[at])
+        end = np.searchsorted(self.hashes, wanted[at], side="right")
+        known = end > first
+        return at[known], first[known], end[known]
 
-    return items.select("item_id", F.posexplode(of("text")).alias("place", "seed"))
 
+def _ranges(first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges, one range after the other."""
+    sizes = end - first
+    return np.arange(sizes.sum()) + np.repeat(first - np.cumsum(sizes) + sizes, sizes)
 
-def _occurrences(docs: DataFrame, n: int, wanted: np.ndarray | None) -> DataFrame:
-    """``doc, spot, seed``: n-grams of whole texts, those of ``wanted`` (sorted hashes) or, without it, all."""
-    small = None
-    if wanted is not None:
-        small = np.zeros(1 << 20, dtype=bool)
-        small[wanted >> np.uint64(44)] = True
-    sent = docs.sparkSession.sparkContext.broadcast((wanted, small)) if wanted is not None else None
+
+class ItemBlock:
+    """Items (ids, word hashes) with their seeds and their rare words.
+
+    ``counts`` has the number of documents of each item word.  If so many of an item's words are missing as it has rare
+    ones, the others cannot reach the score.
+    """
+
+    def __init__(self, ids: list, items: list[np.ndarray], counts: dict[int, int], min_score: float, n: int):
+        self.ids, self.items, self.min_score, self.n = ids, items, min_score, n
+        #: Items that words cannot rule out.
+        self.open = np.zeros(len(items), dtype=bool)
+        seeds, rare = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.uint64)]
+        for k, item in enumerate(items):
+            seeds.append(ngram_hashes(item, n))
+            short = np.flatnonzero((len(item) - np.arange(len(item) + 1)) / max(1, len(item)) < min_score)
+            self.open[k] = not len(short)
+            ranks = np.array([counts.get(int(w), 0) for w in item], dtype=np.int64)
+            rare.append(np.unique(item[np.lexsort((item, ranks))][: short[0] if len(short) else 0]))
+        numbers = np.arange(len(items))
+        self.seeds = Lookup(
+            np.concatenate(seeds),
+            np.repeat(numbers, [len(x) for x in seeds[1:]]),
+            np.concatenate([np.zeros(0, dtype=np.int64), *[np.arange(len(x)) for x in seeds]]),
+        )
+        self.rare = Lookup(np.concatenate(rare), np.repeat(numbers, [len(x) for x in rare[1:]]))
+
+    def candidates(self, words: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+        """Items that share a seed and a rare word with ``words``, and the ranges of diagonals of the shared seeds."""
+        spots, first, end = self.seeds.find(ngram_hashes(words, self.n))
+        if not len(spots):
+            return
+        likely = self.open.copy()
+        _, a, b = self.rare.find(np.unique(words))
+        likely[self.rare.values[0][_ranges(a, b)]] = True
+        found: list[tuple[np.ndarray, ...]] = []
+        for part in np.split(np.arange(len(spots)), np.flatnonzero(np.diff(np.cumsum(end - first) // SPOTS)) + 1):
+            at = _ranges(first[part], end[part])
+            item, diagonal = self.seeds.values[0][at], np.repeat(spots[part], (end - first)[part]) - self.seeds.values[1][at]
+            kept = likely[item]
+            found.append(_spans(item[kept], diagonal[kept] // BAND, diagonal[kept], diagonal[kept]))
+        item, _, low, high = _spans(*(np.concatenate(c) for c in zip(*found, strict=True)))
+        edges = np.flatnonzero(np.diff(item, prepend=-1, append=-1)) if len(item) else [0]
+        for x, y in zip(edges, edges[1:], strict=False):
+            yield int(item[x]), list(zip(low[x:y].tolist(), high[x:y].tolist(), strict=True))
+
+
+def _spans(item: np.ndarray, band: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One range of diagonals for each item and band, in their order."""
+    order = np.lexsort((band, item))
+    item, band, low, high = item[order], band[order], low[order], high[order]
+    new = np.ones(len(item), dtype=bool)
+    new[1:] = (item[1:] != item[:-1]) | (band[1:] != band[:-1])
+    cuts = np.flatnonzero(new)
+    if not len(cuts):
+        return item, band, low, high
+    return item[cuts], band[cuts], np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts)
+
+
+def _document_counts(docs: DataFrame, words: np.ndarray) -> dict[int, int]:
+    """In how many documents each of ``words`` (distinct hashes, of bounded number) stands."""
+    sent = docs.sparkSession.sparkContext.broadcast(Lookup(words))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, known = WordHashes(), sent.value
+        counts = np.zeros(len(known.hashes), dtype=np.int64)
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                out: list[list[np.ndarray]] = [[], [], []]
-                for key, text in zip(part.column("doc").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    grams = ngram_hashes(hashes.of(words_of(text)), n)
-                    if sent is not None:
-                        known, bits = sent.value
-                        at = np.flatnonzero(bits[grams >> np.uint64(44)])
-                        place = np.searchsorted(known, grams[at])
-                        place[place == len(known)] = 0
-                        at = at[known[place] == grams[at]]
-                    else:
-                        at = np.arange(len(grams))
-                    if len(at):
-                        for column, value in zip(out, (np.full(len(at), key), at, grams[at].view(np.int64)), strict=True):
-                            column.append(value)
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(c)) for c in out], names=["doc", "spot", "seed"]
-                    )
-
-    return docs.select("doc", "text").mapInArrow(of, "doc long, spot long, seed long")
+            for text in batch.column("text"):
+                _, first, _ = known.find(hashes.of(list(set(words_of(text.as_py())))))
+                counts[first] += 1
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(known.hashes[at].view(np.int64)), pa.array(counts[at])], names=["word", "n"]
+        )
+
+    seen = docs.select("text").mapInArrow(of, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
+    return dict(zip(seen["word"].to_numpy(np.int64).view(np.uint64).tolist(), seen["n"].tolist(), strict=True))
+
+
+def _blocks(items: DataFrame) -> list[DataFrame]:
+    """Items with their words, dealt by hash to blocks of about ``BLOCK_WORDS``; one block is fetched at a time."""
+    worded = materialize(_item_words(items).filter(F.size("item") > 0))
+    total = worded.agg(F.sum(F.size("item"))).first()[0] or 0
+    count = -(-total // BLOCK_WORDS)
+    dealt = worded.withColumn("block", F.pmod(F.xxhash64("item_id", "item"), F.lit(max(1, count))))
+    return [dealt.filter(F.col("block") == k).select("item_id", "item").orderBy("item_id", "item") for k in range(count)]
 
 
 def contaminated(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE, n: int = SEED_WORDS) -> DataFrame:
@@ -137,25 +208,15 @@ def _copies(docs: DataFrame, items: DataFrame, min_score: float, n: int) -> Data
     keyed = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), _doc_key().alias("doc"), "text"
     )
-    seeds = materialize(_seeds(items, n))
-    distinct = seeds.select("seed").distinct()
-    wanted = None
-    if distinct.count() <= FILTER_SEEDS:
-        hashes = distinct.toPandas()["seed"].to_numpy(np.int64).view(np.uint64)
-        wanted = np.sort(hashes) if len(hashes) else np.zeros(1, dtype=np.uint64)
-    spots = _occurrences(keyed, n, wanted)
-    if wanted is None:
-        spots = spots.join(distinct, "seed", "left_semi")
-    spots = materialize(spots)
-    at = F.col("spot") - F.col("place")
-    joined = spots.join(seeds, "seed")
-    starts = joined.groupBy("doc", "item_id", F.floor(at / BAND).alias("band")).agg(F.min(at).alias("low"), F.max(at).alias("high"))
-    per_item = materialize(starts.groupBy("doc", "item_id").agg(F.collect_list(F.struct("low", "high")).alias("starts")))
-    worded = per_item.join(materialize(_item_words(items)), "item_id")
-    per_doc = worded.groupBy("doc").agg(F.collect_list(F.struct("item_id", "item", "starts")).alias("places"))
-    per_doc = materialize(per_doc)
-    likely = flag_among(keyed, F.col("doc"), per_doc, F.col("doc"), "maybe").filter("maybe")
-    found = _aligned(likely.join(per_doc, "doc"), min_score)
+    parts = []
+    for block in _blocks(items):
+        rows = block.collect()
+        words = [np.array(r["item"], dtype=np.int64).view(np.uint64) for r in rows]
+        counts = _document_counts(docs, np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *words])))
+        parts.append(_aligned(keyed, ItemBlock([r["item_id"] for r in rows], words, counts, min_score, n)))
+    if not parts:
+        parts = [keyed.limit(0).selectExpr("doc", "doc_id", "doc_id AS item_id", "0D AS score", "0L AS start_word", "0L AS end_word")]
+    found = reduce(DataFrame.unionAll, parts)
     return (
         found.groupBy("doc", "doc_id", "item_id")
         .agg(F.max(F.struct("score", (-F.col("start_word")).alias("early"), "end_word")).alias("best"))
@@ -201,32 +262,30 @@ def windows(words: np.ndarray, item: np.ndarray, starts: list[tuple[int, int]],
     return out
 
 
-def _aligned(texts: DataFrame, min_score: float) -> DataFrame:
+def _aligned(texts: DataFrame, block: ItemBlock) -> DataFrame:
     """``doc, doc_id, item_id, score, start_word, end_word`` of passages of ``texts`` that reach the score."""
+    sent = texts.sparkSession.sparkContext.broadcast(block)
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, block = WordHashes(), sent.value
         for batch in batches:
-            for a in range(0, batch.num_rows, 200):
-                rows: list[tuple] = []
-                for r in batch.slice(a, 200).to_pylist():
-                    words = hashes.of(words_of(r["text"])).view(np.int64)
-                    for p in r["places"]:
-                        item = np.array(p["item"], dtype=np.int64)
-                        starts = [(s["low"], s["high"]) for s in p["starts"]]
-                        for lo, hi in windows(words, item, starts, min_score):
-                            points, start, end = align(words[lo:hi], item)
-                            score = points / (MATCH * len(item))
-                            if score >= min_score:
-                                rows.append((r["doc"], r["doc_id"], p["item_id"], score, lo + start, lo + end))
-                if rows:
-                    columns = zip(*rows, strict=True)
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                        names=["doc", "doc_id", "item_id", "score", "start_word", "end_word"],
-                    )
-
-    return texts.select("doc", "doc_id", "text", "places").mapInArrow(
+            rows: list[tuple] = []
+            for key, doc_id, text in zip(*(batch.column(c) for c in ("doc", "doc_id", "text")), strict=True):
+                words = hashes.of(words_of(text.as_py()))
+                for k, starts in block.candidates(words):
+                    item = block.items[k].view(np.int64)
+                    for lo, hi in windows(words.view(np.int64), item, starts, block.min_score):
+                        points, start, end = align(words[lo:hi], block.items[k])
+                        score = points / (MATCH * len(item))
+                        if score >= block.min_score:
+                            rows.append((key.as_py(), doc_id.as_py(), block.ids[k], score, lo + start, lo + end))
+            if rows:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
+                    names=["doc", "doc_id", "item_id", "score", "start_word", "end_word"],
+                )
+
+    return texts.select("doc", "doc_id", "text").mapInArrow(
         of, "doc long, doc_id long, item_id long, score double, start_word long, end_word long"
     )

@@ -222,9 +222,9 @@ def test_alignment():
         assert decontaminate.align(d, q)[0] == h.max()
 
 
-@pytest.mark.parametrize("bound", [0, decontaminate.FILTER_SEEDS])
+@pytest.mark.parametrize("bound", [10, decontaminate.BLOCK_WORDS])
 def test_contaminated(spark, docs, monkeypatch, bound):
-    monkeypatch.setattr(decontaminate, "FILTER_SEEDS", bound)
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", bound)
     words = [f"q{k}" for k in range(40)]
     edited = list(words)
     edited[7], edited[21] = "other", "changed"
@@ -250,6 +250,43 @@ def test_every_seed_starts_an_alignment(spark, docs):
     assert found == {(1, 1): (1.0, 1, 39), (2, 1): (58 / 76, 1, 39), (3, 2): (1.0, 0, 60), (4, 2): (80 / 120, 1, 101)}
 
 
+@pytest.mark.parametrize("spots", [7, decontaminate.SPOTS])
+def test_contaminated_against_all_pairs(spark, docs, monkeypatch, spots):
+    monkeypatch.setattr(decontaminate, "SPOTS", spots)
+    pick = random.Random(11)
+    common, rare = [f"c{k}" for k in range(8)], [f"r{k}" for k in range(60)]
+    items = [(k, [pick.choice(common if pick.random() < 0.5 else rare) for _ in range(pick.randint(3, 25))]) for k in range(25)]
+    rows = []
+    for k in range(120):
+        words = [pick.choice(common + rare) for _ in range(pick.randint(0, 40))]
+        for _ in range(pick.randint(0, 2)):
+            copy = [pick.choice(common) if pick.random() < 0.15 else w for w in pick.choice(items)[1] if pick.random() > 0.1]
+            words += copy + [pick.choice(common) for _ in range(pick.randint(0, 20))]
+        rows.append((k, words))
+    hashes, expected = WordHashes(), {}
+    for i, words in rows:
+        for j, item in items:
+            grams = {tuple(words[k : k + 3]) for k in range(len(words) - 2)}
+            if grams & {tuple(item[k : k + 3]) for k in range(len(item) - 2)}:
+                score = decontaminate.align(hashes.of(words), hashes.of(item))[0] / (2 * len(item))
+                if score >= 0.6:
+                    expected[i, j] = score
+    frame = spark.createDataFrame([(j, " ".join(w)) for j, w in items], "item_id long, text string")
+    got = decontaminate.contaminated(docs([(i, " ".join(w)) for i, w in rows]), frame).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in got} == expected
+    assert len(expected) > 60 and len(got) == len(expected)
+
+
+def test_a_phrase_of_many_items_makes_no_pairs():
+    hashes, phrase = WordHashes(), "which of the following".split()
+    items = [hashes.of(phrase + [f"i{k}w{j}" for j in range(16)]) for k in range(500)]
+    texts = [hashes.of([f"d{k}" for k in range(i)] + phrase + [f"t{i}w{j}" for j in range(40)]) for i in range(2000)]
+    counts = {int(w): len(texts) for w in hashes.of(phrase)}
+    block = decontaminate.ItemBlock(list(range(500)), items, counts, 0.6, 3)
+    assert not [c for t in texts for c in block.candidates(t)]
+    assert [k for k, _ in block.candidates(np.concatenate([texts[0], items[7]]))] == [7]
+
+
 def test_windows_hold_every_copy():
     pick = random.Random(3)
     for _ in range(300):
