@@ -1,10 +1,11 @@
 """Approximate nearest neighbours by largest inner product: an NN-descent graph and greedy search on it.
 
 Equal vectors are one node.  A further component makes all lengths equal, so that the largest inner product is the
-nearest direction.  The graph starts from random-projection tables: nodes with the same code meet in groups of
-bounded size and keep their best.  Then rounds of NN-descent: around each node, the nodes that it is linked with,
+nearest direction.  The graph starts from few random-projection tables: nodes with the same code meet in small groups
+and keep their best.  Then rounds of NN-descent: around each node, the nodes that it is linked with,
 either way, are compared with each other, as neighbours of neighbours are likely to be near; nodes that many others
-link to take these in several groups.  Rounds go on until few links change.  A query starts at its
+link to take these in several groups.  Two nodes are compared around a node only while one of the links is new since
+the round before, and nodes without a new link are left out.  Rounds go on until few links change.  A query starts at its
 own node and walks to the best nodes found so far until none of its beam is left to open.  All of it are Spark joins
 on node ids; tasks hold one group at a time.  Graph and walk use half precision; final scores are exact.
 """
@@ -26,15 +27,15 @@ from riskloom.session import materialize
 
 #: Vectors, at most about, that the tables' directions are fitted on.
 SAMPLE_ROWS = 8_000
-TABLES = 16
+TABLES = 4
 #: Nodes that are compared with each other in one group of a table.
-LEAF = 2_000
+LEAF = 100
 DEGREE = 32
 #: Links from others that a node takes into one comparison, about; more are worked off in several.
 REVERSE = 32
 #: Rounds end when fewer than this share of links changes; lists only get better, so they do end.
 SETTLED = 0.02
-BEAM = 80
+BEAM = 160
 #: Proposals that a task holds at most, some 20 bytes each; they are cut to each member's best before they are sent on.
 HELD_PROPOSALS = 2_000_000
 #: Walks end by themselves; more steps than these are an error.
@@ -148,6 +149,24 @@ def start_lists(nodes: DataFrame, count: int, tables: int, leaf: int, degree: in
     return met.select("id", "half", *keys).mapInArrow(best, _LISTS)
 
 
+def _lone_lists(nodes: DataFrame, graph: DataFrame, degree: int) -> DataFrame:
+    """Lists for nodes that met too few others in the tables: ``degree`` sampled nodes, the same for all."""
+    lone = nodes.join(graph.filter(F.size("near") >= degree).select("id"), "id", "left_anti")
+    some = nodes.orderBy(F.xxhash64("id"), "id").limit(degree + 1).collect()
+    targets = np.array([r["id"] for r in some], dtype=np.int64)
+    y = np.array([np.frombuffer(r["half"], dtype=np.float16) for r in some], dtype=np.float32)
+
+    def of(batches):
+        for batch in batches:
+            if batch.num_rows and len(targets) > 1:
+                sims = _rows(pa.Table.from_batches([batch]), "half", np.float16) @ y.T
+                ids = batch.column("id").to_numpy()
+                own = [_top(targets[targets != i], r[targets != i], degree) for i, r in zip(ids, sims, strict=True)]
+                yield _lists(ids, [n for n, _ in own], [v for _, v in own])
+
+    return lone.mapInArrow(of, _LISTS)
+
+
 def _merged(lists: DataFrame, degree: int) -> DataFrame:
     """One list for each node, of the best of all its lists; equal keys are merged as they arrive."""
     dealt = lists.repartition("id").sortWithinPartitions("id")
@@ -171,26 +190,35 @@ def _merged(lists: DataFrame, degree: int) -> DataFrame:
 
 
 def _links(graph: DataFrame, reverse: int) -> DataFrame:
-    """``centre, part, member``: all links of each node, those from others dealt by hash to parts of about ``reverse``.
+    """``centre, part, members``: all links of each node, those from others dealt by hash to parts of about ``reverse``.
 
-    Each part has the node's own links too.
+    Each part has the node's own links too.  Members are ``id, fresh``; a link both ways is there twice.  Without a column
+    ``fresh`` in ``graph`` all links are.
     """
-    forward = graph.select(F.col("id").alias("centre"), F.explode("near").alias("member"))
-    back = forward.select(F.col("member").alias("centre"), F.col("centre").alias("member"))
+    fresh = F.col("fresh") if "fresh" in graph.columns else F.transform("near", lambda _: F.lit(True))
+    pairs = F.explode(F.arrays_zip(F.col("near").alias("id"), fresh.alias("fresh")))
+    forward = graph.select(F.col("id").alias("centre"), pairs.alias("m")).select("centre", F.col("m.id").alias("member"), "m.fresh")
+    back = forward.select(F.col("member").alias("centre"), F.col("centre").alias("member"), "fresh")
     many = back.groupBy("centre").agg(F.ceil(F.count("*") / reverse).alias("parts")).filter(F.col("parts") > 1)
     many = materialize(many)
     parts = F.coalesce("parts", F.lit(1).cast("long"))
-    dealt = back.join(many, "centre", "left").select("centre", F.pmod(F.xxhash64("centre", "member"), parts).alias("part"), "member")
-    own = forward.join(many, "centre", "left").select("centre", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "member")
-    return own.union(dealt).distinct()
+    part = F.pmod(F.xxhash64("centre", "member"), parts).alias("part")
+    dealt = back.join(many, "centre", "left").select("centre", part, "member", "fresh")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part")
+    own = forward.join(many, "centre", "left").select("centre", every, "member", "fresh")
+    members = F.collect_list(F.struct(F.col("member").alias("id"), "fresh"))
+    return own.union(dealt).groupBy("centre", "part").agg(members.alias("members"))
 
 
 def descend(graph: DataFrame, nodes: DataFrame, degree: int, reverse: int) -> DataFrame:
     """One round: members around each node are compared; what beats a member's worst neighbour is kept for it."""
     worst = graph.select("id", F.when(F.size("sims") >= degree, F.array_min("sims")).otherwise(F.lit(-9.0)).cast("float").alias("worst"))
-    known = materialize(nodes.join(worst, "id", "left").withColumnRenamed("id", "member"))
-    met = _links(graph, reverse).join(known, "member")
-    met = met.repartition("centre", "part").sortWithinPartitions("centre", "part", "member")
+    known = nodes.join(worst, "id", "left").select(F.col("id").alias("member"), "half", F.coalesce("worst", F.lit(-9.0).cast("float")).alias("worst"))
+    known = materialize(known)
+    links = _links(graph, reverse).filter(F.exists("members", lambda m: m["fresh"]))
+    links = links.select("centre", "part", F.explode("members").alias("m")).select("centre", "part", F.col("m.id").alias("member"), "m.fresh")
+    met = links.join(known, "member")
+    met = met.repartition("centre", "part").sortWithinPartitions("centre", "part", "member", F.desc("fresh"))
 
     def better(batches):
         held: list[tuple] = []
@@ -217,14 +245,19 @@ def descend(graph: DataFrame, nodes: DataFrame, degree: int, reverse: int) -> Da
 
         waiting = 0
         for group in groups(batches, ["centre", "part"]):
-            ids, x = group.column("member").to_numpy(), _rows(group, "half", np.float16)
-            least = group.column("worst").to_numpy()
-            sims = x @ x.T
-            np.fill_diagonal(sims, -np.inf)
-            a, b = np.nonzero(sims > least[:, None])
-            if len(a):
-                held.append((ids[a], ids[b], sims[a, b]))
-                waiting += len(a)
+            ids, first = np.unique(group.column("member").to_numpy(), return_index=True)
+            x, least = _rows(group, "half", np.float16)[first], group.column("worst").to_numpy()[first]
+            fresh = np.flatnonzero(group.column("fresh").to_numpy(zero_copy_only=False)[first])
+            sims = x[fresh] @ x.T
+            sims[np.arange(len(fresh)), fresh] = -np.inf
+            a, b = np.nonzero(sims > least[fresh][:, None])
+            new = (ids[fresh[a]], ids[b], sims[a, b])
+            # What both rows of two fresh members hold is looked at once.
+            least[fresh] = np.inf
+            a, b = np.nonzero(sims > least)
+            if len(a) + len(new[0]):
+                held.append(tuple(np.concatenate(c) for c in zip(new, (ids[b], ids[fresh[a]], sims[a, b]), strict=True)))
+                waiting += len(held[-1][0])
             if waiting > HELD_PROPOSALS:
                 held[:] = [packed()]
                 waiting = len(held[0][0])
@@ -242,22 +275,23 @@ def build_graph(nodes: DataFrame, tables: int = TABLES, leaf: int = LEAF, degree
     """``id, near, sims``: the neighbour graph of ``nodes(id, half)``."""
     count = nodes.count()
     graph = _merged(start_lists(nodes, count, tables, leaf, degree), degree)
+    graph = _merged(graph.union(_lone_lists(nodes, graph, degree)), degree)
     while True:
-        new = _merged(graph.union(descend(graph, nodes, degree, reverse)), degree)
+        lists = graph.select("id", "near", "sims")
+        new = _merged(lists.union(descend(graph, nodes, degree, reverse)), degree)
+        old = F.coalesce("old", F.array().cast("array<long>"))
         both = new.join(graph.select("id", F.col("near").alias("old")), "id", "left")
-        changed = both.agg(
-            F.sum(F.size(F.array_except("near", F.coalesce("old", F.array().cast("array<long>"))))).alias("new"),
-            F.sum(F.size("near")).alias("all"),
+        graph = materialize(both.select("id", "near", "sims", F.transform("near", lambda x: ~F.array_contains(old, x)).alias("fresh")))
+        changed = graph.agg(
+            F.sum(F.size(F.filter("fresh", lambda x: x))).alias("new"), F.sum(F.size("near")).alias("all")
         ).first()
-        graph = new
         if not changed["all"] or changed["new"] < SETTLED * changed["all"]:
-            break
-    return graph
+            return graph.select("id", "near", "sims")
 
 
 def walk(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int, reverse: int) -> DataFrame:
     """``query, near``: for ``queries(query, id, half)`` the beam of nodes that the walk from ``id`` ends with."""
-    roads = materialize(_links(graph, reverse).groupBy("centre", "part").agg(F.collect_set("member").alias("next")))
+    roads = materialize(_links(graph, reverse).select("centre", F.array_distinct("members.id").alias("next")))
     # State: the beam, best first, and which of it have been opened; the own node is a member like others.
     state = queries.select(
         "query", "half", F.array("id").alias("near"), F.array(F.lit(9.0).cast("float")).alias("sims"), F.array(F.lit(False)).alias("opened")

@@ -389,6 +389,42 @@ def test_nearest(spark):
     assert neighbours.nearest(frame.limit(0), "true").count() == 0
 
 
+def test_descent_finds_what_the_start_lacks(spark):
+    pick = np.random.default_rng(12)
+    x = pick.normal(size=(2000, 10)) @ pick.normal(size=(10, 24)) + 0.3 * pick.normal(size=(2000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    half = x.astype(np.float16)
+    nodes = spark.createDataFrame([(k, v.tobytes()) for k, v in enumerate(half)], "id long, half binary").repartition(4)
+    sims = half.astype(np.float32) @ half.astype(np.float32).T
+    np.fill_diagonal(sims, -1)
+    true = [set(r) for r in np.argsort(-sims, axis=1)[:, :20].tolist()]
+
+    def recall(graph):
+        return sum(len(true[r.id] & set(r.near)) for r in graph.collect()) / (20 * 2000)
+
+    start = neighbours._merged(neighbours.start_lists(nodes, 2000, 2, 16, 24), 24)
+    assert recall(start) < 0.7 and recall(neighbours.build_graph(nodes, tables=2, leaf=16, degree=24)) >= 0.9
+
+
+def test_nodes_alone_in_all_tables_are_linked(spark):
+    pick = np.random.default_rng(2)
+    x = pick.normal(size=(300, 16))
+    nodes = spark.createDataFrame([(k, (v / np.linalg.norm(v)).astype(np.float16).tobytes()) for k, v in enumerate(x)], "id long, half binary")
+    start = neighbours._merged(neighbours.start_lists(nodes, 300, 1, 2, 8), 8)
+    graph = neighbours.build_graph(nodes, tables=1, leaf=2, degree=8).collect()
+    assert start.count() < 300 and {r.id for r in graph} == set(range(300)) and all(len(r.near) == 8 for r in graph)
+
+
+def test_old_links_are_not_compared_again(spark):
+    eye = np.eye(6, dtype=np.float16)
+    nodes = spark.createDataFrame([(i, eye[i % 3].tobytes()) for i in range(6)], "id long, half binary")
+    schema = neighbours._LISTS + ", fresh array<boolean>"
+    for fresh, pairs in (([False, False], set()), ([True, False], {(1, 2), (2, 1)})):
+        graph = spark.createDataFrame([(0, [1, 2], [0.0, 0.0], fresh)], schema)
+        found = neighbours.descend(graph, nodes, 9, 8).collect()
+        assert {(r.id, n) for r in found for n in r.near} == pairs
+
+
 def test_vectors_of_an_odd_length_take_no_part(spark):
     pick = np.random.default_rng(7)
     rows = [(k, pick.normal(size=4).tolist()) for k in range(50)] + [(100, [1.0] * 9), (101, [1.0])]
@@ -422,11 +458,8 @@ def test_a_walk_that_does_not_end_is_an_error(spark, monkeypatch):
 def test_links_of_a_hub_are_whole(spark):
     graph = spark.createDataFrame([(i, [1000, 1001], [1.0, 1.0]) for i in range(300)], "id long, near array<long>, sims array<float>")
     links = neighbours._links(graph, 32).collect()
-    assert {r.member for r in links if r.centre == 1000} == set(range(300))
-    sizes = {}
-    for r in links:
-        sizes[r.centre, r.part] = sizes.get((r.centre, r.part), 0) + 1
-    assert max(sizes.values()) < 100
+    assert {m.id for r in links if r.centre == 1000 for m in r.members} == set(range(300))
+    assert max(len(r.members) for r in links) < 100 and len({(r.centre, r.part) for r in links}) == len(links)
 
 
 def test_rounds_go_on_until_links_settle(spark, monkeypatch):
