@@ -80,7 +80,7 @@ class TokenEncoder:
 
     def _learn(self, units: set[str]) -> dict[str, bytes | None]:
         """A table that holds all the units; the cache, unless they would not fit into it."""
-        new = units - self.known.keys()
+        new = units.difference(self.known)  # looks up the units; ``-`` with a view would walk the whole cache
         cut = [u for u in new if u and u.strip(_SPACES) == u]
         fresh = dict.fromkeys(new) if len(cut) < len(new) else {}
         fresh.update(zip(cut, self._units(cut), strict=True))
