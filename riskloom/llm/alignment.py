@@ -121,13 +121,16 @@ def terminals(successor: np.ndarray) -> np.ndarray:
 def components(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(terminal tokens, group of each A token, group of each B token)``, groups from left to right."""
     last = terminals(farthest_right(ends_a, ends_b))
-    names, group = np.unique(last, return_inverse=True)
-    return names, group[: len(ends_a)], group[len(ends_a) :]
+    named = np.zeros(len(last), dtype=bool)
+    named[last] = True
+    group = (np.cumsum(named) - 1)[last]
+    return np.flatnonzero(named), group[: len(ends_a)], group[len(ends_a) :]
 
 
 def overlaps(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of overlapping A and B tokens: one for each stretch between neighbouring ends of either side."""
-    stops = np.union1d(ends_a, ends_b)
+    stops = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")  # two sorted runs are merged
+    stops = stops[np.diff(stops, prepend=-1) > 0]
     return np.searchsorted(ends_a, stops), np.searchsorted(ends_b, stops)
 
 
