@@ -171,8 +171,16 @@ def dedup_lines(
     moved = flagged.filter("__maybe").join(
         touched, (F.col("__id") == F.col("__doc")) & (F.col("__hash") == F.col("__tie")), "left"
     )
-    kept_in_place = flagged.filter("NOT __maybe").withColumn(mask_at, F.lit(None).cast("array<boolean>"))
-    joined = moved.select(*columns, mask_at).unionAll(kept_in_place.select(*columns, mask_at))
+    kept_in_place = flagged.filter("NOT __maybe")
+    text_of = F.col(text_col).cast("string")
+    # Nothing is cut from these, so no text is taken apart: line breaks are counted in bytes.
+    breaks = F.octet_length(text_of) - F.octet_length(F.replace(text_of, F.lit("\n"), F.lit("")))
+    whole = kept_in_place.select(
+        *columns,
+        F.when(F.col(text_col).isNull(), 0).otherwise(breaks + 1).alias(added[0]),
+        F.lit(0).alias(added[1]),
+        F.lit(0).alias(added[2]),
+    )
     lines = F.split(F.col(text_col), "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.coalesce(F.get(F.col(mask_at), i), F.lit(False))), "\n")
     new = F.when(F.col(mask_at).isNull(), F.col(text_col)).otherwise(kept)
@@ -180,10 +188,11 @@ def dedup_lines(
     def words(c: Column) -> Column:
         return F.size(F.filter(F.split(c, "\\s+"), lambda w: w != ""))
 
-    cut = joined.withColumn("__new", new)
-    return cut.select(
+    cut = moved.select(*columns, mask_at).withColumn("__new", new)
+    changed = cut.select(
         *[F.col("__new").alias(c) if c == text_col else F.col(c) for c in columns],
         F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).alias(added[0]),
         F.size(F.filter(F.coalesce(F.col(mask_at), F.array(F.lit(False))), lambda x: x)).alias(added[1]),
         F.when(F.col(mask_at).isNull(), 0).otherwise(words(F.col(text_col)) - words(F.col("__new"))).alias(added[2]),
     )
+    return changed.unionAll(whole)
