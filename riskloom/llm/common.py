@@ -12,6 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.llm.tokens import encoder
+
 #: A word-to-hash cache is emptied when it holds more words than this.
 CACHED_WORDS = 500_000
 
@@ -20,8 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def give_back() -> None:
-    """Return freed memory to the system: a Python worker is reused, so a stage would hold what an earlier one let go."""
+def give_back(encoders: bool = False) -> None:
+    """Return freed memory to the system: a Python worker is reused, so a stage would hold what an earlier one let go.
+
+    Token encoders that earlier stages left go too; tasks that encode keep ``encoders``.
+    """
+    if not encoders:
+        encoder.cache_clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

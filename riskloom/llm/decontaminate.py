@@ -12,8 +12,10 @@ overlap and aligned, which finds edited and paraphrased copies too.  No text is
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import WordHashes, flag_among, ngram_hashes
+from riskloom.llm.common import WordHashes, flag_among, give_back, ngram_hashes
 from riskloom.session import materialize
 
 SEED_WORDS = 3
@@ -30,16 +32,35 @@ BAND = 8
 #: Share of an item's best possible score from which a passage counts as a copy.
 MIN_SCORE = 0.6
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Words of items that are broadcast at once, about, some 50 bytes each; more items take further passes.
+#: Words of items that are broadcast at once, about, some 100 bytes each; more items take further passes.
 BLOCK_WORDS = 500_000
 #: Places of seeds in one document that are looked at together.
 SPOTS = 1_000_000
+#: Documents whose seeds are looked up together.
+STEP_ROWS = 500
 
 _WORD = re.compile(r"[^\W_]+")
+_ASCII_GAPS = {k: " " for k in range(128) if not chr(k).isalnum()}
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    text = (text or "").lower()
+    return text.translate(_ASCII_GAPS).split() if text.isascii() else _WORD.findall(text)
+
+
+class ItemWords:
+    """Hashes of the items' words; every other word gets one hash that none of them has."""
+
+    def __init__(self, words: Iterator[str]):
+        hashes = WordHashes()
+        self.known = {w: hashes[w] for w in words}
+        taken = set(self.known.values())
+        self.other = next(k for k in range(len(taken) + 1) if k not in taken)
+
+    def of(self, words: list[list[str]]) -> np.ndarray:
+        """The hashes of all words, one text after the other."""
+        found = map(self.known.get, chain.from_iterable(words), repeat(self.other))
+        return np.fromiter(found, dtype=np.uint64, count=sum(map(len, words)))
 
 
 def align(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
@@ -150,21 +171,19 @@ def _spans(item: np.ndarray, band: np.ndarray, low: np.ndarray, high: np.ndarray
     return item[cuts], band[cuts], np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts)
 
 
-def _document_counts(docs: DataFrame, words: np.ndarray) -> dict[int, int]:
-    """In how many documents each of ``words`` (distinct hashes, of bounded number) stands."""
-    sent = docs.sparkSession.sparkContext.broadcast(Lookup(words))
+def _document_counts(docs: DataFrame, words: ItemWords) -> dict[int, int]:
+    """In how many documents each of ``words`` (of bounded number) stands."""
+    sent = docs.sparkSession.sparkContext.broadcast(words)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, known = WordHashes(), sent.value
-        counts = np.zeros(len(known.hashes), dtype=np.int64)
+        give_back()
+        hashes = sent.value.known
+        known, counts = frozenset(hashes), Counter()
         for batch in batches:
-            for text in batch.column("text"):
-                _, first, _ = known.find(hashes.of(list(set(words_of(text.as_py())))))
-                counts[first] += 1
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(known.hashes[at].view(np.int64)), pa.array(counts[at])], names=["word", "n"]
-        )
+            for text in batch.column("text").to_pylist():
+                counts.update(known.intersection(words_of(text)))
+        found = np.array([hashes[w] for w in counts], dtype=np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array([*counts.values()], pa.int64())], names=["word", "n"])
 
     seen = docs.select("text").mapInArrow(of, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
     return dict(zip(seen["word"].to_numpy(np.int64).view(np.uint64).tolist(), seen["n"].tolist(), strict=True))
@@ -211,9 +230,10 @@ def _copies(docs: DataFrame, items: DataFrame, min_score: float, n: int) -> Data
     parts = []
     for block in _blocks(items):
         rows = block.collect()
-        words = [np.array(r["item"], dtype=np.int64).view(np.uint64) for r in rows]
-        counts = _document_counts(docs, np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *words])))
-        parts.append(_aligned(keyed, ItemBlock([r["item_id"] for r in rows], words, counts, min_score, n)))
+        words = ItemWords(chain.from_iterable(r["item"] for r in rows))
+        counts = _document_counts(docs, words)
+        block = ItemBlock([r["item_id"] for r in rows], [words.of([r["item"]]) for r in rows], counts, min_score, n)
+        parts.append(_aligned(keyed, words, block))
     if not parts:
         parts = [keyed.limit(0).selectExpr("doc", "doc_id", "doc_id AS item_id", "0D AS score", "0L AS start_word", "0L AS end_word")]
     found = reduce(DataFrame.unionAll, parts)
@@ -232,10 +252,9 @@ def _copies(docs: DataFrame, items: DataFrame, min_score: float, n: int) -> Data
 
 
 def _item_words(items: DataFrame) -> DataFrame:
-    @F.pandas_udf("array<long>")
+    @F.pandas_udf("array<string>")
     def of(texts: pd.Series) -> pd.Series:
-        hashes = WordHashes()
-        return pd.Series([hashes.of(words_of(t)).view(np.int64) for t in texts])
+        return pd.Series([words_of(t) for t in texts])
 
     return items.select("item_id", of("text").alias("item"))
 
@@ -262,17 +281,28 @@ def windows(words: np.ndarray, item: np.ndarray, starts: list[tuple[int, int]],
     return out
 
 
-def _aligned(texts: DataFrame, block: ItemBlock) -> DataFrame:
+def _seeded(block: ItemBlock, words: np.ndarray, starts: np.ndarray) -> list[int]:
+    """Which of the texts that begin at ``starts`` of ``words`` hold a seed; the last start is the end."""
+    spots, _, _ = block.seeds.find(ngram_hashes(words, block.n))
+    text = np.searchsorted(starts, spots, side="right") - 1
+    return np.unique(text[spots + block.n <= starts[text + 1]]).tolist()
+
+
+def _aligned(texts: DataFrame, words: ItemWords, block: ItemBlock) -> DataFrame:
     """``doc, doc_id, item_id, score, start_word, end_word`` of passages of ``texts`` that reach the score."""
-    sent = texts.sparkSession.sparkContext.broadcast(block)
+    sent = texts.sparkSession.sparkContext.broadcast((words, block))
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, block = WordHashes(), sent.value
-        for batch in batches:
+        give_back()
+        known, block = sent.value
+        for part in (batch.slice(a, STEP_ROWS) for batch in batches for a in range(0, batch.num_rows, STEP_ROWS)):
             rows: list[tuple] = []
-            for key, doc_id, text in zip(*(batch.column(c) for c in ("doc", "doc_id", "text")), strict=True):
-                words = hashes.of(words_of(text.as_py()))
+            split = [words_of(text) for text in part.column("text").to_pylist()]
+            step, at = known.of(split), np.cumsum([0, *map(len, split)])
+            for number in _seeded(block, step, at):
+                key, doc_id = part.column("doc")[number], part.column("doc_id")[number]
+                words = step[at[number] : at[number + 1]]
                 for k, starts in block.candidates(words):
                     item = block.items[k].view(np.int64)
                     for lo, hi in windows(words.view(np.int64), item, starts, block.min_score):

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import WordHashes, flag_among, groups, mix64, ngram_hashes
+from riskloom.llm.common import WordHashes, flag_among, give_back, groups, mix64, ngram_hashes
 from riskloom.llm.components import components
 from riskloom.session import materialize
 
@@ -90,6 +90,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: i
     """``doc_id, n, set_key, bands, bits`` of each document; no bands and bits for an empty set."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         hashes = WordHashes()
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
@@ -117,6 +118,7 @@ def shingle_sets(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
     """``doc_id, items binary`` of ``docs(doc_id, text, set_key)``: full sets, as sorted hashes, where the key is theirs."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         hashes = WordHashes()
         for batch in batches:
             for a in range(0, batch.num_rows, 500):

@@ -139,7 +139,7 @@ def pack_documents(
     )
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()
+        give_back(encoders=True)
         packer = Packer(max_tokens, max_segments, max_loss, pool, TaskContext.get().partitionId() << 32, with_ids)
         tool, end = encoder(tokenizer, cache_bytes), np.array([end_id], dtype="<u4").tobytes()
 
