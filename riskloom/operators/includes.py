@@ -87,21 +87,24 @@ def candidates(includes: DataFrame, profile: str | Profile, root: str | None = N
             F.concat(F.lit(f"{root}/"), parent(F.col("src")), F.lit("/"), local)
         )
         from_root = F.concat(F.lit(f"{root}/"), F.regexp_replace(local, "^/+", ""))
-        places = [from_dir, _with_php(from_dir), from_root, _with_php(from_root)]
-    return (
+        places = [from_dir, from_root]
+    placed = (
         includes.select("src", "raw", F.posexplode(F.array(*places)).alias("prio", "place"))
         .filter("place is not null")
         .withColumn("place", normalize_path(F.col("place")))
-        .filter(F.startswith("place", F.lit(f"{root}/")) | (F.col("place") == root))
-        .select(
-            "src", "raw", "prio", F.substring("place", len(root) + 2, 2**31 - 1).alias("path")
-        )
+    )
+    if prof.name == "span":
+        # Each place is folded once; the one with .php comes right after it.
+        both = F.array(F.col("place"), _with_php(F.col("place")))
+        placed = placed.select("src", "raw", F.col("prio").alias("nth"), F.posexplode(both).alias("php", "place"))
+        placed = placed.select("src", "raw", (2 * F.col("nth") + F.col("php")).alias("prio"), "place")
+    return placed.filter(F.startswith("place", F.lit(f"{root}/")) | (F.col("place") == root)).select(
+        "src", "raw", "prio", F.substring("place", len(root) + 2, 2**31 - 1).alias("path")
     )
 
 
-def _with_php(place: Column) -> Column:
-    """The place with ``.php``; the suffix is judged after folding, so ``lib/`` is ``lib.php`` too."""
-    folded = normalize_path(place)
+def _with_php(folded: Column) -> Column:
+    """A folded place with ``.php`` if it lacks a suffix, so ``lib/`` is ``lib.php`` too."""
     return F.when(lacks_suffix(folded), F.concat(folded, F.lit(".php")))
 
 
@@ -126,10 +129,10 @@ def resolve_includes(
     """``(src, raw, dst, is_node)``: the first place that exists, per include.
 
     A place wins even when it is no project file; such includes give no edge.
-    A popular target is the heavy key of this join.  ``includes`` is used more
-    than once and should be materialized.
+    A popular target is the heavy key of this join.  The places are looked at
+    more than once, so they are materialized; ``includes`` is read once.
     """
-    placed = candidates(includes, profile, root)
+    placed = materialize(candidates(includes, profile, root))
     found = join_unique(placed, existing_paths(listing, profile), "path", min_rows=heavy_min_rows)
     if profile_of(profile).name == "block":
         # One place per include: nothing to choose from.

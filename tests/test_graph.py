@@ -241,6 +241,28 @@ def test_include_of_a_folder_form_names_the_file(spark, listing):
     assert {r.raw: r.dst for r in found.collect()} == dict.fromkeys((raw for _, raw in raws), "lib.php")
 
 
+def test_includes_are_read_once(spark, listing):
+    from riskloom.operators.includes import resolve_includes
+
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    raws = [("a.php", "lib"), ("b.php", "./lib.php"), ("b.php", "/x/../a"), ("x/c.php", "../lib.php"), ("x/c.php", "none")]
+    ddl = "src string, raw string"
+    includes = spark.createDataFrame(raws, ddl).mapInArrow(count, ddl)
+    for profile in ("line", "span", "block"):
+        read.value = 0
+        found = resolve_includes(includes, listing("a.php", "b.php", "lib.php", "x/c.php"), profile, heavy_min_rows=2)
+        got = {(r.src, r.raw, r.dst) for r in found.collect()}
+        assert read.value == len(raws) and ("x/c.php", "../lib.php", "lib.php") in got
+        if profile == "span":
+            assert got == {("a.php", "lib", "lib.php"), ("b.php", "./lib.php", "lib.php"), ("b.php", "/x/../a", "a.php"), ("x/c.php", "../lib.php", "lib.php")}
+
+
 def test_assignment_pattern_is_linear_in_a_word(spark):
     import time
 
