@@ -16,9 +16,11 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from riskloom.session import materialize
 from riskloom.sources.tree import CHUNK_BYTES, Place, place_of
 
 MANY, ONE = "many", "one"
@@ -81,7 +83,7 @@ class DocumentWriter(DataSourceArrowWriter):
                 rest = found.end()
                 kind, slot = found.group(1), int(found.group(2))
                 runs = [(part.path, a, b) for part in parts for s, a, b in part.runs if s == slot]
-                out.write(b"[" if kind == MANY else b"" if runs else b"null")
+                out.write((b"[\n" if runs else b"[") if kind == MANY else b"" if runs else b"null")
                 for n, (path, a, b) in enumerate(runs):
                     if n:
                         out.write(b",\n")
@@ -91,7 +93,7 @@ class DocumentWriter(DataSourceArrowWriter):
                             chunk = source.read(min(CHUNK_BYTES, b - a))
                             out.write(chunk)
                             a += len(chunk)
-                out.write(b"]" if kind == MANY else b"")
+                out.write((b"\n]" if runs else b"]") if kind == MANY else b"")
             out.write(self.layout[rest:].encode())
         files.move(temporary, target)
         self.abort(messages)
@@ -118,3 +120,31 @@ def write_document(rows: DataFrame, layout: dict, output: str) -> None:
     writer = rows.select("slot", "text").write.format("jsondocument").mode("append")
     writer = writer.option("place", Place.of(output).pack()).option("parts", f".parts-{uuid.uuid4().hex}")
     writer.option("layout", json.dumps(layout, indent=2, ensure_ascii=False)).save()
+
+
+#: How lines of the layout begin; values begin with none of these, or are not alone on the line.
+_LAYOUT_LINE = r"^(?:[ \]]|[{}]\z)"
+_OPENS = re.compile(r' *"([^"\\]+)": \[')
+
+
+def read_document(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
+    """The layout of a written document, its arrays empty, and their values ``(key string, text string)``.
+
+    The values must have no line feeds, and the keys of arrays no quotes and must not repeat.  Lines are read by as many
+    tasks as the file has splits; only lines of the layout come to the driver.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path)
+    lines = lines.select(
+        F.input_file_block_start().alias("split"), F.monotonically_increasing_id().alias("line"), F.col("value").alias("text")
+    )
+    layout = F.rlike("text", F.lit(_LAYOUT_LINE))
+    found = lines.filter(layout).collect()
+    found.sort(key=lambda r: (r.split, r.line))
+    starts = [(m.group(1), r.split, r.line) for r in found if (m := _OPENS.fullmatch(r.text))]
+    at = F.struct("split", "line")
+    key = F.lit(None).cast("string")
+    for name, split, line in starts:  # the last start before a value is that of its array
+        key = F.when(at > F.struct(F.lit(split).cast("long"), F.lit(line).cast("long")), F.lit(name)).otherwise(key)
+    values = lines.filter(~layout).select(key.alias("key"), F.regexp_replace("text", r",\z", "").alias("text"))
+    # Places of lines hold for these splits only, so the values are not left to a later plan.
+    return json.loads("\n".join(r.text for r in found)), materialize(values)

@@ -24,7 +24,7 @@ from riskloom.operators import (
 from riskloom.plans import analyze as plan
 from riskloom.plans import report as rp
 from riskloom.session import materialize, run_dir
-from riskloom.sources import sinks, tree
+from riskloom.sources import jsondoc, sinks, tree
 from riskloom.streaming import scan as streaming
 from riskloom.workload import corpus
 from riskloom.workload.corpus import source_files
@@ -725,10 +725,7 @@ def _(spark, sf_dir):
     )
 
 
-_RECORD = "struct<file:string,line:int,rule:string,severity:string,match:string>"
-_DOCUMENT = f"""generated_at string, root string, stats struct<total_files:long>, credential_findings array<{_RECORD}>,
-    security_findings array<{_RECORD}>, dead_findings array<{_RECORD}>, dependency_results struct<node_count:long,
-    edge_count:long,hubs:array<array<string>>,orphans:array<string>,cycles:array<array<string>>>"""
+_RECORD = "file string, line int, rule string, severity string, match string"
 GENERATED = "2000-01-01T00:00:00"
 
 
@@ -738,15 +735,18 @@ def _(spark, sf_dir):
     result = plan.analyze(source_files(spark, sf_dir), "line", "all", "HIGH")
     output = run_dir(spark, "document")
     plan.write_document(result, ROOT, output, GENERATED)
-    document = spark.read.schema(_DOCUMENT).option("multiLine", "true").json(output)
-    return document.select(
-        "generated_at",
-        "root",
-        F.col("stats.total_files").alias("total_files"),
-        F.col("dependency_results.node_count").alias("nodes"),
-        F.col("dependency_results.edge_count").alias("edges"),
-        F.size("dependency_results.cycles").cast("long").alias("cycles"),
-        F.inline(F.concat("credential_findings", "security_findings", "dead_findings")),
+    layout, values = jsondoc.read_document(spark, output)
+    graph_part = layout["dependency_results"]
+    cycles = values.filter("key = 'cycles'").count()
+    findings = values.filter("key in ('credential_findings', 'security_findings', 'dead_findings')")
+    return findings.select(
+        F.lit(layout["generated_at"]).alias("generated_at"),
+        F.lit(layout["root"]).alias("root"),
+        F.lit(layout["stats"]["total_files"]).cast("long").alias("total_files"),
+        F.lit(graph_part["node_count"]).cast("long").alias("nodes"),
+        F.lit(graph_part["edge_count"]).cast("long").alias("edges"),
+        F.lit(cycles).cast("long").alias("cycles"),
+        F.inline(F.array(F.from_json("text", _RECORD))),
     )
 
 

@@ -279,6 +279,25 @@ def test_document_after_a_failed_attempt(tmp_path):
     assert os.listdir(tmp_path) == ["run.json"]
 
 
+def test_many_tasks_read_one_document(spark, tmp_path):
+    target = str(tmp_path / "run.json")
+    values = [(k % 3, json.dumps({"k": k, "text": "],é\n" * 50}, ensure_ascii=False)) for k in range(3000)]
+    rows = spark.createDataFrame([*values, (4, '["a"]'), (5, '{"n": 1}')], "slot int, text string").repartition(5).sortWithinPartitions("slot")
+    layout = {"a": jsondoc.many(0), "in": {"b": jsondoc.many(1), "none": jsondoc.many(3)}, "c": jsondoc.many(2), "one": jsondoc.one(5), "d": jsondoc.many(4)}
+    jsondoc.write_document(rows, layout, target)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        frame, read = jsondoc.read_document(spark, target)
+        got = [tuple(r) for r in read.collect()]
+        assert len(read.inputFiles()) > 10  # written by as many tasks
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert frame == {"a": [], "in": {"b": [], "none": []}, "c": [], "one": {"n": 1}, "d": []}
+    assert Counter(got) == Counter([("abc"[slot], text) for slot, text in values] + [("d", '["a"]')])
+    assert len(json.load(open(target, encoding="utf-8"))["in"]["b"]) == 1000
+
+
 # ------------------------------------------------------------ snapshots
 
 
