@@ -21,7 +21,8 @@ class Analysis:
     """Result tables of one run; the graph ones are None when not asked for, or when their search failed.
 
     ``skipped(path, reason)`` are files whose contents could not be read; it is None when no contents were asked for.
-    ``counts`` are of the one read of the contents: files, bytes, skipped files.  ``failures`` names what failed.
+    ``counts`` are of the one read of the contents: files, bytes, skipped files.  ``failures`` names what failed;
+    ``whole`` gives only a run without any.
     """
 
     profile: Profile
@@ -36,7 +37,16 @@ class Analysis:
     orphans: DataFrame | None = None
     cycles: DataFrame | None = None
 
+    def whole(self) -> Analysis:
+        """This run, if nothing of it failed; else an error that names what did."""
+        if self.failures:
+            raise RuntimeError("; ".join(f"{name} failed: {reason}" for name, reason in self.failures.items()))
+        return self
+
     def tables(self) -> dict[str, DataFrame]:
+        failed = None
+        if self.failures:
+            failed = self.findings.sparkSession.createDataFrame([*self.failures.items()], "name string, reason string")
         named = {
             "findings": self.findings,
             "stats": self.stats,
@@ -45,6 +55,7 @@ class Analysis:
             "hubs": self.hubs,
             "orphans": self.orphans,
             "cycles": self.cycles,
+            "failures": failed,
         }
         return {name: table for name, table in named.items() if table is not None}
 
@@ -61,7 +72,7 @@ def analyze(
 
     ``listing(path)`` is the unfiltered tree when ``files`` holds only project files.  Findings, include paths and
     skipped files come out of one read of the contents, which mode ``dead`` does without.  A cycle search that fails
-    leaves all other results.
+    leaves all other results; it is named in ``failures``, in reports and in documents.
     """
     prof = profile_of(profile)
     weight_of(severity)
@@ -124,6 +135,8 @@ def markdown(result: Analysis, root: str, generated: str | None = None) -> DataF
                 prof,
             )
         )
+    if result.failures:
+        parts.append(rp.failure_rows(spark, result.failures))
     if prof.name == "line":
         parts.append(rp.dead_file_rows(findings))
     return rp.ordered(rp.joined(*parts))
@@ -157,7 +170,8 @@ def run_job(
 ) -> Analysis:
     """List, read and analyse a tree and write ``output.md`` and/or ``output.json`` and ``output.document.json``.
 
-    The first two are folders of parts; the third is one file with the same tables, the root and the time.
+    The first two are folders of parts; the third is one file with the same tables, the root and the time.  A run of
+    which a part failed is an error once all else is written.
     """
     if fmt not in ("md", "json", "both"):
         raise ValueError(f"unknown format {fmt!r}, expected md, json or both")
@@ -170,4 +184,4 @@ def run_job(
     if fmt in ("json", "both"):
         sinks.write_json(result.tables(), f"{output}.json")
         write_document(result, base, f"{output}.document.json", now.isoformat())
-    return result
+    return result.whole()

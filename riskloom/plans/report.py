@@ -329,6 +329,12 @@ def graph_rows(
     )
 
 
+def failure_rows(spark: SparkSession, failures: dict[str, str]) -> DataFrame:
+    """What failed, behind the include-graph part."""
+    lines = [f"- **Failed:** {name}: {' '.join(reason.split())}" for name, reason in failures.items()]
+    return fixed(spark, 6, *lines, "", k1=15)
+
+
 def no_issue_rows(findings: DataFrame) -> DataFrame:
     """The one line of a block report without any finding or graph."""
     some = findings.select(F.lit(1)).limit(1).exists()

@@ -692,7 +692,7 @@ _NO_SUCH = [rules.RuleSpec("goto_call", "HIGH", (r"\bgoto_label\s*\(",), keyword
 @query("write_markdown")
 def _(spark, sf_dir):
     """The whole span report, written as text and read back."""
-    result = plan.analyze(source_files(spark, sf_dir), "span", "all", "HIGH")
+    result = plan.analyze(source_files(spark, sf_dir), "span", "all", "HIGH").whole()
     output = run_dir(spark, "markdown")
     sinks.write_markdown(plan.markdown(result, ROOT), output)
     return spark.read.text(output).select(F.col("value").alias("text"))
@@ -701,7 +701,7 @@ def _(spark, sf_dir):
 @query("write_json")
 def _(spark, sf_dir):
     """All findings of the line profile, written as JSON and read back."""
-    result = plan.analyze(source_files(spark, sf_dir), "line", "all", "HIGH")
+    result = plan.analyze(source_files(spark, sf_dir), "line", "all", "HIGH").whole()
     output = run_dir(spark, "json")
     sinks.write_json(result.tables(), output)
     ddl = "file string, line int, rule string, severity string, match string, scanner string"
@@ -711,7 +711,7 @@ def _(spark, sf_dir):
 @query("write_json_tables")
 def _(spark, sf_dir):
     """Sizes of the other tables of the same JSON output."""
-    result = plan.analyze(source_files(spark, sf_dir), "span", "deps")
+    result = plan.analyze(source_files(spark, sf_dir), "span", "deps").whole()
     output = run_dir(spark, "json")
     sinks.write_json(result.tables(), output)
     stats = spark.read.schema("nodes long, edges long").json(f"{output}/graph_stats")
@@ -732,7 +732,7 @@ GENERATED = "2000-01-01T00:00:00"
 @query("write_json_document")
 def _(spark, sf_dir):
     """The whole run of the line profile as one JSON document, read back: its findings, root, time and sizes."""
-    result = plan.analyze(source_files(spark, sf_dir), "line", "all", "HIGH")
+    result = plan.analyze(source_files(spark, sf_dir), "line", "all", "HIGH").whole()
     output = run_dir(spark, "document")
     plan.write_document(result, ROOT, output, GENERATED)
     layout, values = jsondoc.read_document(spark, output)
